@@ -15,11 +15,24 @@ runs AS (
   SELECT doc_id, size, p, array_to_string(w[p : p + size - 1], ' ') AS text
   FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM d, sizes WHERE len(w) >= size)),
 hit AS (SELECT DISTINCT doc_id, r.size, p, item_id FROM runs r JOIN win USING (size, text)),
-words AS (SELECT doc_id, count(DISTINCT at) AS n FROM (SELECT doc_id, unnest(range(p, p + size)) AS at FROM (SELECT DISTINCT doc_id, p, size FROM hit)) GROUP BY doc_id),
+words AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(p, p + size)) AS k FROM (SELECT DISTINCT doc_id, p, size FROM hit)) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n, string_agg(k, ',' ORDER BY k) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AND 20 * coalesce(words.n, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES = {"op3_decontamination": DECONTAMINATION}
+NGRAM_JOIN = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WHITE_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), p -> array_to_string(w[p : p + 4], ' '))) AS g FROM d WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_in AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM both_in JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, y) AS (SELECT x, y FROM ways UNION SELECT r.x, w.y FROM reach r JOIN ways w ON w.x = r.y),
+least_of AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least(d.doc_id, y), d.doc_id) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least_of ON x = d.doc_id
+"""
+
+ORACLES = {"op3_decontamination": DECONTAMINATION, "op7_ngram_jaccard_join": NGRAM_JOIN}

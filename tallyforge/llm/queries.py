@@ -31,7 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality": lambda s, d: quality.outliers(documents(s, d)),
         "op5_license_scan": lambda s, d: license_scan.license_labels(documents(s, d)),
         "op6_sharding": lambda s, d: sharding.shards(documents(s, d)),
-        "op7_ngram_jaccard_join": lambda s, d: ngram_join.similarity_components(documents(s, d)),
+        "op7_ngram_jaccard_join": lambda s, d: ngram_join.similarity_components(documents(s, d)).drop("class_id"),
         "op8_chat_format": lambda s, d: chat.chat_digest(_table(s, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.probe(s))),
         "op9_sentencepiece": lambda s, d: sp_codec.encoding_digest(documents(s, d), model_path()),
         "op10_toxicity": lambda s, d: toxicity.toxicity(documents(s, d), _table(s, d, "labels")),
