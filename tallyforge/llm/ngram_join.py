@@ -13,7 +13,8 @@ measured). Pivots are therefore taken where distances differ, in two levels:
    (triangle inequality); the pivot leaves and the rest of the cell is joined in the same way, until the pairs
    that remain are few beside the cells' rows and are tested one by one.
 
-Every test is exact on the sets (as 64-bit hashes of 5-grams); no pair of different sets within t is lost, whatever
+Before a test the pivots of both documents, which are a fifth of their sets, are intersected: pairs whose sets cannot
+share enough beside them go no further. Every test is exact on the sets (as 64-bit hashes of 5-grams); no pair of different sets within t is lost, whatever
 the sizes of cells. Equal sets are one class from the start. The order of 5-grams only steers the cost: 5-grams that are
 frequent in some batch are counted over all documents, and at most `most_common` of them are sent to the workers.
 
@@ -187,6 +188,18 @@ def sets_of(docs: DataFrame, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
     return docs.select("text", b0.alias("b0"), b1.alias("b1")).mapInArrow(run, "sig long, set array<bigint>")
 
 
+def possible(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (p, sig) whose first pivots in the order leave room for enough common shingles.
+
+    Up to the smaller of both sets' last listed pivots the lists hold all, so that the sets share at most what the lists
+    share and what either set has beyond its list.
+    """
+    x = firsts.select("sig", F.col("n").alias("na"), F.col("pivots").alias("a"))
+    y = firsts.select(F.col("sig").alias("p"), F.col("n").alias("nb"), F.col("pivots").alias("b"))
+    room = F.size(F.array_intersect("a", "b")) + F.greatest(F.col("na") - F.size("a"), F.col("nb") - F.size("b"))
+    return pairs.join(x, "sig").join(y, "p").where((100 + percent) * room >= percent * (F.col("na") + F.col("nb"))).select("p", "sig")
+
+
 def tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """p, sig, distance, linked for pairs (p, sig) of classes, by the intersection of their sets."""
     x = sets.select("sig", F.col("set").alias("a"))
@@ -212,14 +225,18 @@ def class_links(docs: DataFrame, table: DataFrame, percent: int, few: float = 4.
     total = rows.count()
     if not total:
         return None
-    # one document stands for each class
-    ids = table.join(rows.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    sets = stored(sets_of(docs, ids).join(rows.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.first("set").alias("set")), "sets")
+    own = table.where(F.col("rare").isNotNull()).join(rows.select("sig").distinct(), "sig", "left_semi")
+    firsts = stored(own.groupBy("sig").agg(F.min("n").alias("n"), F.first(F.concat("rare", "common")).alias("pivots")), "pivots")
     links: list[DataFrame] = []
     slack = (100 - percent) / 100 + 1e-9
 
     def settle(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        found = stored(tested(pairs, sets, percent), "tested")
+        able = stored(possible(pairs, firsts, percent), "pairs")
+        classes = able.select(F.explode(F.array("p", "sig")).alias("sig")).distinct()
+        # one document stands for each class
+        ids = table.join(classes, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
+        sets = sets_of(docs, ids).join(classes, "sig", "left_semi").groupBy("sig").agg(F.first("set").alias("set"))
+        found = stored(tested(able, stored(sets, "sets"), percent), "tested")
         links.append(found.where("linked").select(F.col("p").alias("u"), F.col("sig").alias("v")))
         return found, stored(components(reduce(DataFrame.unionByName, links)), "comps")
 

@@ -1,14 +1,14 @@
 """DuckDB SQL for the operators of this subpackage that SQL can express; the others are tested by brute force."""
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_ALNUM_WORDS = rf"list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '')"
-_WHITE_WORDS = rf"list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), x -> x <> '')"
+_ALNUM_WORDS = rf"list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+_WHITE_WORDS = rf"list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 DECONTAMINATION = f"""
 WITH d AS (SELECT doc_id, {_ALNUM_WORDS} AS w FROM documents),
 i AS (SELECT item_id, {_ALNUM_WORDS} AS w FROM benchmark),
 win AS (
-  SELECT item_id, least(13, len(w)) AS size, unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1), p -> array_to_string(w[p : p + least(13, len(w)) - 1], ' '))) AS text
+  SELECT item_id, least(13, len(w)) AS size, unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1), lambda p: array_to_string(w[p : p + least(13, len(w)) - 1], ' '))) AS text
   FROM i WHERE len(w) > 0),
 sizes AS (SELECT DISTINCT size FROM win),
 runs AS (
@@ -24,7 +24,7 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 NGRAM_JOIN = f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_WHITE_WORDS} AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), p -> array_to_string(w[p : p + 4], ' '))) AS g FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda p: array_to_string(w[p : p + 4], ' '))) AS g FROM d WHERE len(w) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 both_in AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 links AS (SELECT x, y FROM both_in JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
