@@ -138,17 +138,18 @@ def cells(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int)
 
 
 def crowded(table: DataFrame) -> DataFrame:
-    """h, sig, n: the rows of cells in which two or more classes meet.
+    """h, sig, n, pos: the rows of cells in which two or more classes meet; pos is h's place in the order of the set.
 
     Cells of rare shingles are met in one shuffle by h. Cells of common shingles, which may hold any share of all
     rows, are summed map-side first and joined with the (bounded) list of those that hold two classes.
     """
     by = Window.partitionBy("h")
-    rare = table.select(F.explode("rare").alias("h"), "sig", "n")
-    rare = rare.withColumns({"lo": F.min("sig").over(by), "hi": F.max("sig").over(by)}).where(F.col("lo") < F.col("hi")).groupBy("h", "sig").agg(F.max("n").alias("n"))
-    often = table.select(F.explode("common").alias("h"), "sig", "n").groupBy("h", "sig").agg(F.max("n").alias("n"))
+    rare = table.select(F.posexplode("rare").alias("pos", "h"), "sig", "n")
+    rare = rare.withColumns({"lo": F.min("sig").over(by), "hi": F.max("sig").over(by)}).where(F.col("lo") < F.col("hi")).groupBy("h", "sig").agg(F.max("n").alias("n"), F.min("pos").alias("pos"))
+    often = table.select(F.posexplode("common").alias("pos", "h"), "sig", "n", F.size("rare").alias("before"))
+    often = often.groupBy("h", "sig").agg(F.max("n").alias("n"), F.min(F.col("pos") + F.col("before")).alias("pos"))
     two = often.groupBy("h").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where(F.col("lo") < F.col("hi")).select("h")
-    return rare.select("h", "sig", "n").unionByName(often.join(two, "h").select("h", "sig", "n"))
+    return rare.select("h", "sig", "n", "pos").unionByName(often.join(two, "h").select("h", "sig", "n", "pos"))
 
 
 def bit_places(key: Column, bits: int) -> list[Column]:
@@ -209,8 +210,12 @@ def tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out.select("p", "sig", (1 - F.col("both") / F.col("either")).alias("distance"), (100 * F.col("both") >= percent * F.col("either")).alias("linked"))
 
 
-def near_size(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def may_begin(na: Column, a: Column, nb: Column, b: Column, percent: int) -> Column:
+    """Whether sets of na and nb shingles could be within reach if places a and b were their first common one.
+
+    A pair that is within reach passes in the cell of its first common shingle.
+    """
+    return (100 + percent) * F.least(na - a, nb - b) >= percent * (na + nb)
 
 
 def open_pairs(rows: DataFrame) -> int:
@@ -219,8 +224,8 @@ def open_pairs(rows: DataFrame) -> int:
     return int(each.agg(F.sum((F.col("c") * F.col("c") - F.col("q")) / 2)).first()[0] or 0)
 
 
-def class_links(docs: DataFrame, table: DataFrame, percent: int, few: float = 4.0, rounds: int = 64) -> DataFrame | None:
-    """u, v: links between classes that join every component of the similarity graph; None without any."""
+def class_components(docs: DataFrame, table: DataFrame, percent: int, few: float = 4.0) -> DataFrame | None:
+    """node, component of every class that is linked with another; None if no cell holds two classes."""
     rows = stored(crowded(table).withColumns({"comp": F.col("sig"), "distance": F.lit(None).cast("double")}), "cells")
     total = rows.count()
     if not total:
@@ -240,38 +245,35 @@ def class_links(docs: DataFrame, table: DataFrame, percent: int, few: float = 4.
         links.append(found.where("linked").select(F.col("p").alias("u"), F.col("sig").alias("v")))
         return found, stored(components(reduce(DataFrame.unionByName, links)), "comps")
 
-    for _ in range(rounds):
-        pivots = rows.groupBy("h").agg(F.min(F.struct("sig", "n", "comp")).alias("pivot"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") < F.col("hi"))
-        live = rows.join(pivots.select("h", F.col("pivot.sig").alias("p"), F.col("pivot.n").alias("pn"), F.col("pivot.comp").alias("pcomp")), "h").where(F.col("sig") != F.col("p"))
-        pairs = live.where((F.col("comp") != F.col("pcomp")) & near_size(F.col("n"), F.col("pn"), percent)).select("p", "sig").distinct()
+    while True:
+        pivots = rows.groupBy("h").agg(F.min(F.struct("sig", "n", "comp", "pos")).alias("pivot"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") < F.col("hi"))
+        live = rows.join(pivots.select("h", F.col("pivot.sig").alias("p"), F.col("pivot.n").alias("pn"), F.col("pivot.comp").alias("pcomp"), F.col("pivot.pos").alias("ppos")), "h").where(F.col("sig") != F.col("p"))
+        pairs = live.where((F.col("comp") != F.col("pcomp")) & may_begin(F.col("n"), F.col("pos"), F.col("pn"), F.col("ppos"), percent)).select("p", "sig").distinct()
         found, comps = settle(pairs)
         after = live.drop("comp", "distance").join(found.select("p", "sig", "distance"), ["p", "sig"], "left").join(comps.select(F.col("node").alias("sig"), F.col("component")), "sig", "left")
-        after = after.select("h", "sig", "n", F.coalesce("component", "sig").alias("comp"), "distance")
+        after = after.select("h", "sig", "n", "pos", F.coalesce("component", "sig").alias("comp"), "distance")
         mixed_cells = after.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") < F.col("hi")).select("h")
         rows = stored(after.join(mixed_cells, "h", "left_semi"), "cells")
         left = open_pairs(rows)
         if not left:
-            break
+            return comps
         if left <= few * total:
             a, b = rows.alias("a"), rows.alias("b")
             apart = F.coalesce(F.abs(F.col("a.distance") - F.col("b.distance")) > slack, F.lit(False))
-            pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.sig") < F.col("b.sig")) & (F.col("a.comp") != F.col("b.comp")) & near_size(F.col("a.n"), F.col("b.n"), percent) & ~apart)
-            settle(pairs.select(F.col("a.sig").alias("p"), F.col("b.sig").alias("sig")).distinct())
-            break
-    return reduce(DataFrame.unionByName, links)
+            pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.sig") < F.col("b.sig")) & (F.col("a.comp") != F.col("b.comp")) & may_begin(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"), percent) & ~apart)
+            return settle(pairs.select(F.col("a.sig").alias("p"), F.col("b.sig").alias("sig")).distinct())[1]
 
 
 def similarity_components(docs: DataFrame, *, percent: int = 80, common_least: int = 32, most_common: int = 200_000) -> DataFrame:
     """The contract's rows: doc_id, n_shingles, component_id; class_id (the set's signature, null without a set) beside them."""
     common = common_shingles(docs, common_least, most_common)
     table = stored(cells(docs, common, percent), "sets")
-    links = class_links(docs, table, percent)
+    comps = class_components(docs, table, percent)
     own = table.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig"))
-    if links is None:
+    if comps is None:
         labelled = own.withColumn("label", F.col("sig"))
     else:
-        comps = stored(components(links), "comps").select(F.col("node").alias("sig"), "component")
-        labelled = own.join(comps, "sig", "left").withColumn("label", F.coalesce("component", "sig"))
+        labelled = own.join(comps.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("label", F.coalesce("component", "sig"))
     least = labelled.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least"))
     out = labelled.join(least, "label", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.col("sig").alias("class_id"))
