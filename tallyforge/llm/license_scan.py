@@ -52,7 +52,8 @@ def placed(words: Column, k: int) -> Column:
 def template_grams(spark: SparkSession) -> DataFrame:
     """template, label, phrase, words, k, n_grams, t_at, hash: a row for each place of each template."""
     rows = [(f"phrase:{p}", label, True, p.split(), K_PHRASE) for p, label in PHRASES.items()] + [(f"text:{label}", label, False, t.split(), K_TEXT) for label, t in TEXTS.items()]
-    df = spark.createDataFrame(rows, "template string, label string, phrase boolean, t_words array<string>, k int")
+    row = lambda r: F.struct(F.lit(r[0]).alias("template"), F.lit(r[1]).alias("label"), F.lit(r[2]).alias("phrase"), F.split(F.lit(" ".join(r[3])), " ").alias("t_words"), F.lit(r[4]).alias("k"))
+    df = spark.range(1).select(F.inline(F.array(*map(row, rows))))
     gram = F.when(F.col("k") == K_PHRASE, grams(F.col("t_words"), K_PHRASE)).otherwise(grams(F.col("t_words"), K_TEXT))
     df = df.withColumn("g", gram)
     return df.select("template", "label", "phrase", "t_words", F.size("g").alias("n_grams"), F.posexplode("g").alias("t_at", "hash"))

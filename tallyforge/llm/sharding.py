@@ -58,15 +58,11 @@ def permuted(p: Column, n: int, seed: int = 20240601) -> Column:
 def numbered(rows: DataFrame, order: list[str], buckets: int = 4096) -> tuple[DataFrame, int]:
     """rows with row_number_ (bigint, from 0), and their count."""
     dealt = rows.withColumn("bucket_", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    spark = rows.sparkSession
-    counts = {r.bucket_: r.n for r in dealt.groupBy("bucket_").agg(F.count("*").alias("n")).collect()}  # at most `buckets` rows
-    offsets, total = [], 0
-    for b, n in sorted(counts.items()):
-        offsets.append((b, total))
-        total += n
-    starts = spark.createDataFrame(offsets, "bucket_ int, offset_ bigint")
+    # at most `buckets` rows from here to the join
+    counts = dealt.groupBy("bucket_").agg(F.count("*").alias("n_"))
+    total = counts.agg(F.sum("n_")).first()[0] or 0
+    starts = counts.select("bucket_", (F.sum("n_").over(Window.orderBy("bucket_")) - F.col("n_")).alias("offset_"))
     rank = F.row_number().over(Window.partitionBy("bucket_").orderBy(*order)) - 1
-    # starts has at most `buckets` rows
     out = dealt.withColumn("rank_", rank).join(F.broadcast(starts), "bucket_").withColumn("row_number_", F.col("offset_") + F.col("rank_"))
     return out.drop("bucket_", "rank_", "offset_"), total
 
