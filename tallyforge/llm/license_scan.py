@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import alnum_words, let
+from .common import alnum_words, let, stored
 
 #: Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -98,7 +98,7 @@ def license_labels(docs: DataFrame, least: float = 0.6) -> DataFrame:
 
     score: 1 if a phrase stands in the text, else the best coverage of a license text found, else 0.
     """
-    found = votes(docs)
+    found = stored(votes(docs), "votes")  # a row per document and hit; texts are read once
     each = found.where("at = -1").groupBy("doc_id", "text_hash", "n_words").agg(F.count("*").alias("rows"))
     spot = spans(found, least)
     per = spot.groupBy("doc_id", "text_hash").agg(
