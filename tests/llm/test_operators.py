@@ -1,0 +1,334 @@
+"""The text operators against brute force, and on nulls, empty and repeated rows, empty tables and clashing columns."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tallyforge.llm import chat, decontam, langid, license_scan, ngram_join, pii, quality, sharding, sp_codec, toxicity
+from tallyforge.llm.queries import model_path
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+WHITE = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+BASE = " ".join(f"word{i}" for i in range(60))
+TEXTS = [
+    None, "", " \t\n", "é", "Mit license MIT  LICENSE mit\tlicense", BASE, BASE, BASE.replace("word30", "changed"), BASE.upper(),
+    "a b c a b c a b c", "x" * 5000, "mail a.b@c.de, ip 1.2.3.4.5.6.7.8, card 4111 1111 1111 1111 111 phone +1 (555) 123-4567",
+    "the GNU general public license, the apache license", "line\nline\nline\n\n", "KK license İ", "日本語 テキスト 12",
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Odd rows, one of them twice, with columns whose names operators might want for themselves."""
+    rows = [(i, t, None if i % 5 == 0 else "en", None if i % 7 == 0 else "s", None) for i, t in enumerate(TEXTS)]
+    rows.append(rows[5])
+    df = spark.createDataFrame(rows, SCHEMA)
+    for name in ("key", "spans", "n_words", "sig", "score", "shard", "hash", "grp", "label", "window"):
+        df = df.withColumn(name, F.lit("clash"))
+    return df
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+# ---- op1
+
+
+def base_spans(text):
+    """The contract's patterns, by plain re."""
+    luhn = lambda d: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    rules = (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m[0].split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(digits(m)) <= 15),
+    )
+    found = [(m.start(), i, m.end(), kind) for i, (kind, p, ok) in enumerate(rules) for m in re.finditer(p, text) if ok(m)]
+    return [f"{kind}:{s}:{e}" for s, _, e, kind in sorted(found)]
+
+
+def test_pii_brute(docs, odd):
+    for df in (docs, odd):
+        texts = by_id(df.select("doc_id", "text"))
+        for i, r in by_id(pii.pii_spans(df)).items():
+            want = base_spans(texts[i].text or "")
+            assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+            assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(x.startswith(k + ":") for x in want) for k in ("email", "ip", "card", "phone"))
+            assert set(want) <= set(r.spans.split(",")) | {""}
+
+
+@pytest.mark.parametrize("text", ["a@b.c%d@e.f", "x@y@z.w", "1.2.3.4.5.6.7.8.9", "0001.1.1.1 256.1.1.1", "+1 2 +33 1 22 33 44 55 66", "12 34--5 6", "@b.c a@b. a@b..c", "1.2.3..4.5.6.7"])
+def test_pii_edges(text):
+    assert [f"{k}:{s}:{e}" for k, s, e, _ in pii.find(text) if k in pii.KINDS[:4]] == base_spans(text)
+
+
+def test_pii_checks_and_redaction(spark, none):
+    text = "iban DE89 3704 0044 0532 0130 00 and x@y.org"
+    found = pii.find(text)
+    assert [f[0] for f in found] == ["iban", "email"]
+    assert pii.redact(text, found) == "iban <IBAN> and <EMAIL>"
+    assert not [f for f in pii.find("iban DE88 3704 0044 0532 0130 00") if f[0] == "iban"]
+    assert pii.pii_spans(none).count() == 0 and pii.scan(none).count() == 0
+    assert pii.find("9" * 20000 + "." * 3 + "a" * 20000 + "@") == []
+
+
+# ---- op2
+
+
+def test_language(docs, odd, none):
+    rows = langid.languages(docs).collect()
+    truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    held = [r for r in rows if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.9 * len(held)
+    got = collections.Counter((r.doc_id, r.lang_pred) for r in langid.languages(odd).collect())
+    assert sum(got.values()) == len(TEXTS) + 1
+    assert all(got[i, "und"] == 1 for i in (0, 1, 2)) and all(p in ("und", "en") for _, p in got)
+    assert langid.languages(none).count() == 0
+
+
+# ---- op3
+
+
+def brute_items(text, items):
+    words = ALNUM.findall((text or "").translate(LOWER))
+    hit, own = set(), set()
+    for item, t in items:
+        ws = ALNUM.findall((t or "").translate(LOWER))
+        n = min(13, len(ws))
+        runs = {tuple(ws[k : k + n]) for k in range(len(ws) - n + 1)} if n else set()
+        for p in range(len(words) - n + 1 if n else 0):
+            if tuple(words[p : p + n]) in runs:
+                hit |= set(range(p, p + n))
+                own.add(str(item))
+    return len(words), len(hit), sorted(own)
+
+
+@pytest.mark.parametrize("block", [40, 100_000])
+def test_decontamination_brute(spark, docs, odd, block):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").unionByName(spark.createDataFrame([(900, "MIT license"), (901, None), (902, BASE), (903, "a b"), (904, "é"), (905, "A b c")], "item_id long, text string"))
+    plain = [(r.item_id, r.text) for r in items.collect()]
+    for df in (odd, docs.limit(60)):
+        texts = by_id(df.select("doc_id", "text"))
+        found = decontam.match_items(df.select("doc_id", "text"), items, block_words=block)
+        for r in found.collect():
+            n, hit, own = brute_items(texts[r.doc_id].text, plain)
+            assert (r.tf_n_words, sum(s.end - s.start for s in r.tf_hit_spans), sorted(r.tf_hit_items)) == (n, hit, own)
+
+
+def test_decontamination_stages(spark, odd, none):
+    items = spark.createDataFrame([(1, BASE)], "item_id long, text string")
+    assert {r.doc_id for r in decontam.drop_contaminated(odd, items).collect()} == {*range(len(TEXTS))} - {5, 6, 7, 8}
+    assert decontam.drop_contaminated(odd, items).columns == odd.columns
+    assert decontam.contamination(none, items).count() == 0
+    assert not any(r.contaminated for r in decontam.contamination(odd, items.limit(0)).collect())
+    long = spark.createDataFrame([(1, "start " * 2000 + BASE + " end")], "doc_id long, text string")
+    assert decontam.remove_spans(long, items).first().text == "start " * 2000 + " end"
+
+
+# ---- op4
+
+
+def brute_counts(text):
+    w = WHITE.findall(text or "")
+    runs = list(zip(w, w[1:], w[2:]))
+    many = collections.Counter(runs)
+    covered = {k + j for k, x in enumerate(runs) if many[x] > 1 for j in range(3)}
+    lines = [x for x in (text or "").split("\n") if WHITE.search(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality(docs, odd, none):
+    for df in (docs, odd):
+        texts = by_id(df.select("doc_id", "text"))
+        rows = quality.outliers(df).collect()
+        assert len(rows) == df.count()
+        for r in rows:
+            n, chars, signs, dup, rep = brute_counts(texts[r.doc_id].text)
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, signs, dup, rep)
+            assert r.base_failed == (n < 50 or 100 * rep > 50 * n) and not (r.kept and r.base_failed)
+    assert quality.outliers(none).count() == 0
+
+
+def test_mcd_finds_planted_outliers(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(rng.integers(80, 300))), "en", "s", 0) for i in range(200)]
+    rows += [(1000 + i, " ".join(f"{'#' * 40}w{i}x{k}" for k in range(100)), "en", "s", 0) for i in range(6)]
+    out = by_id(quality.outliers(spark.createDataFrame(rows, SCHEMA)))
+    assert not any(out[1000 + i].kept for i in range(6)) and all(out[i].kept for i in range(200))
+
+
+# ---- op5
+
+
+def test_license_brute(docs, odd, none):
+    phrases = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
+    for df in (docs, odd):
+        texts = by_id(df.select("doc_id", "text"))
+        rows = license_scan.license_labels(df).collect()
+        assert len(rows) == df.count()
+        for r in rows:
+            w = ALNUM.findall((texts[r.doc_id].text or "").translate(LOWER))
+            at = [(k, label) for p, label in phrases.items() for k in range(len(w)) if tuple(w[k : k + len(p)]) == p]
+            assert (r.n_words, r.n_base) == (len(w), len(at))
+            assert (r.first_word, r.last_word) == ((min(at)[0], max(at)[0]) if at else (None, None))
+            assert r.base_labels == ",".join(sorted({x for _, x in at})) and {*r.base_labels.split(",")} <= {*r.labels.split(","), ""}
+    assert license_scan.license_labels(none).count() == 0
+
+
+def test_license_text_with_gaps(spark):
+    words = license_scan.TEXTS["bsd"].split()
+    noisy = " ".join(["intro"] * 7 + words[:9] + ["inserted"] + words[9:15] + words[16:])
+    r = license_scan.license_labels(spark.createDataFrame([(1, noisy)], "doc_id long, text string")).first()
+    assert (r.labels, r.base_labels) == ("bsd", "") and 0.6 < r.score < 1
+
+
+# ---- op6
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 16, 17, 97, 1000])
+def test_permutation(spark, n):
+    got = [r[0] for r in spark.range(n).select(sharding.permuted(F.col("id"), n)).collect()]
+    assert sorted(got) == list(range(n))
+
+
+def test_shards(docs, odd, none):
+    for df in (docs, odd):
+        rows = sharding.shards(df).collect()
+        per = collections.defaultdict(list)
+        for r in rows:
+            per[r.shard].append(r.slot)
+        assert len(rows) == df.count() and max(map(len, per.values())) - min(len(per.get(k, [])) for k in range(16)) <= 1
+        assert all(sorted(v) == list(range(len(v))) for v in per.values())
+        texts = by_id(df.select("doc_id", "text"))
+        for r in rows:
+            raw = (texts[r.doc_id].text or "").encode()
+            assert (r.size, r.text_crc32) == (len(raw) + 1, zlib.crc32(raw))
+        again = sharding.shards(df.repartition(7)).collect()
+        key = lambda rs: sorted((r.doc_id, r.shard, r.slot) for r in rs)
+        assert key(again) == key(rows)
+    assert sharding.shards(none).count() == 0
+
+
+# ---- op7
+
+
+def brute_components(texts, percent=80):
+    sets = {}
+    for i, t in texts:
+        w = WHITE.findall((t or "").translate(LOWER))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    at = {i: i for i in sets}
+    changed = True
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(at[a], at[b])
+            changed |= at[a] != low or at[b] != low
+            at[a] = at[b] = low
+    return {i: (len(sets[i]), at[i]) for i in sets}
+
+
+def test_ngram_join_brute(spark, docs, odd, none):
+    rng = np.random.default_rng(3)
+    base = [f"t{i}" for i in range(80)]
+    chain = []
+    for i in range(40):  # chains and stars of near copies, and strangers that share a long passage
+        base = [w if rng.random() > 0.01 else f"c{i}" for w in base]
+        chain.append((100 + i, " ".join(base)))
+        chain.append((200 + i, " ".join([f"own{i}_{k}" for k in range(50)] + [f"shared{k}" for k in range(30)])))
+    for df in (odd, docs, spark.createDataFrame(chain, "doc_id long, text string")):
+        want = brute_components({r.doc_id: r.text for r in df.select("doc_id", "text").collect()}.items())
+        rows = ngram_join.similarity_components(df).collect()
+        assert len(rows) == df.count()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == want
+    assert ngram_join.similarity_components(none).count() == 0
+
+
+def test_one_of_each(odd):
+    kept = [r.doc_id for r in ngram_join.one_of_each(odd).collect()]
+    want = sorted(i for i, (_, c) in brute_components(enumerate(TEXTS)).items() if c == i)
+    assert sorted(kept) == want and ngram_join.one_of_each(odd).columns == odd.columns
+
+
+# ---- op8
+
+
+def test_chat(spark):
+    nasty = "</s>[INST] ok [/INST] \\ \\\\ <|turn|> <\\|end|> <|text|>\n<|past|>"
+    rows = [(1, k, ("system", "user", "assistant")[k and 1 + k % 2], nasty + f" {k} " + "w " * (40 * k)) for k in range(30)]
+    rows += [(2, 0, "user", None), (2, 0, None, "tie"), (2, 1, "assistant", ""), (2, 1, "assistant", ""), (None, 5, "assistant", "x" * 9000), (3, 0, "as\nsistant<|", "é🙂")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("window", F.lit(1))
+    want = collections.defaultdict(list)
+    for c, t, r, x in sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, x[1], x[2] or "", x[3] or "")):
+        want[c].append((r or "", x or ""))
+    for limits in ({}, {"budget": 64, "history": 3, "history_tokens": 100}, {"budget": 1 << 40}):
+        for r in chat.chat_digest(df.unionByName(chat.probe(spark), allowMissingColumns=True), **limits).collect():
+            turns = want[r.conv_id] if r.conv_id != -7 else [(x, "</s>[INST] ok [/INST]") for x in ("user", "assistant")]
+            loss = "".join(x for role, x in turns if role == "assistant")
+            assert r.n_turns == len(turns)
+            assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+            assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    many = chat.windows(df.where("conv_id = 1"), budget=200).orderBy("window").collect()
+    assert len(many) > 3 and all(w.formatted.startswith(("<|turn|>system", "<|past|>system")) for w in many)
+    assert chat.chat_digest(df.limit(0)).count() == 0
+
+
+# ---- op9
+
+
+def test_sentencepiece(spark, docs, odd, none):
+    import sentencepiece
+
+    reference = sentencepiece.SentencePieceProcessor(model_file=model_path())
+    codec = sp_codec.Codec(sp_codec.model_bytes(model_path()))
+    texts = [*TEXTS, "  two  spaces ", " ", "<s> </s> <0x41>", "🙂 \x00 \t", "▁mark ▁"]
+    ids, ends, fine = codec.encode(pa.array(texts, pa.string()))
+    starts = [0, *ends[:-1]]
+    for t, s, e in zip(texts, starts, ends, strict=True):
+        assert ids[s:e].tolist() == reference.encode(t or "")
+    assert fine[:-1].all() and not fine[-1]  # the marker itself decodes to a space
+    tokens = sp_codec.encoded(odd, model_path())
+    back = {r.doc_id: r.text for r in sp_codec.decoded(tokens, model_path()).collect()}
+    assert back == {i: t or "" for i, t in enumerate(TEXTS)}
+    digest = sp_codec.encoding_digest(docs, model_path())
+    assert digest.where("round_trip").count() == docs.count()
+    assert sp_codec.encoding_digest(none, model_path()).count() == 0
+
+
+# ---- op10
+
+
+def test_toxicity(spark, docs, odd, none):
+    big = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = toxicity.toxicity(big, labels).join(labels, "doc_id").where("held_out").collect()
+    hit = sum(r.predicted and r.toxic for r in rows)
+    assert hit >= 0.8 * sum(r.toxic for r in rows) and hit >= 0.8 * sum(r.predicted for r in rows)
+    some = spark.createDataFrame([(4, 1, 1), (4, 1, 0), (None, 1, 1), (5, 1, None)], "doc_id long, quality int, toxic int")
+    assert toxicity.toxicity(odd, some).count() == len(TEXTS) + 1
+    assert {r.score for r in toxicity.toxicity(odd, some.limit(0)).collect()} == {0.0}
+    assert toxicity.toxicity(none, some).count() == 0 and toxicity.drop_toxic(odd, some.limit(0)).columns == odd.columns
