@@ -1,8 +1,8 @@
 """Exact join of documents whose sets of word 5-grams have a Jaccard similarity of 0.8 or more.
 
 Jaccard distance is a metric. Its balls say little about sparse sets when pivots are documents: unrelated documents are
-at distance 1 from nearly every pivot, so that windows around Voronoi borders would replicate everything (README,
-measured). Pivots are therefore taken where distances differ, in two levels:
+at distance 1 from nearly every pivot, so that windows around Voronoi borders would replicate everything (README).
+Pivots are therefore taken where distances differ, in two levels:
 
 1. Pivots {s}, one for each 5-gram s. A document A is at distance 1 - 1/|A| from the pivots it contains and at 1 from the
    others; ties are broken by one global order (common 5-grams last, then by hash), which makes its first 5-gram its Voronoi
@@ -224,18 +224,29 @@ def open_pairs(rows: DataFrame) -> int:
     return int(each.agg(F.sum((F.col("c") * F.col("c") - F.col("q")) / 2)).first()[0] or 0)
 
 
-def class_components(docs: DataFrame, table: DataFrame, percent: int, few: float = 4.0) -> DataFrame | None:
-    """node, component of every class that is linked with another; None if no cell holds two classes."""
+def small(ids: DataFrame, most: int) -> DataFrame:
+    """ids, marked for broadcast if they are at most `most` rows."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
+def class_components(docs: DataFrame, table: DataFrame, percent: int, few: float = 4.0, most_sent: int = 2_000_000) -> DataFrame | None:
+    """node, component of every class that is linked with another; None if no cell holds two classes.
+
+    Pivots are shuffled only for classes in pairs. Up to `most_sent` of these are broadcast to the scan (their number
+    is checked); more are joined.
+    """
     rows = stored(crowded(table).withColumns({"comp": F.col("sig"), "distance": F.lit(None).cast("double")}), "cells")
     total = rows.count()
     if not total:
         return None
-    own = table.where(F.col("rare").isNotNull()).join(rows.select("sig").distinct(), "sig", "left_semi")
-    firsts = stored(own.groupBy("sig").agg(F.min("n").alias("n"), F.first(F.concat("rare", "common")).alias("pivots")), "pivots")
     links: list[DataFrame] = []
     slack = (100 - percent) / 100 + 1e-9
 
     def settle(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        pairs = stored(pairs, "met")
+        met = stored(pairs.select(F.explode(F.array("p", "sig")).alias("sig")).distinct(), "classes")
+        own = table.where(F.col("rare").isNotNull()).join(small(met, most_sent), "sig", "left_semi")
+        firsts = stored(own.groupBy("sig").agg(F.min("n").alias("n"), F.first(F.concat("rare", "common")).alias("pivots")), "pivots")
         able = stored(possible(pairs, firsts, percent), "pairs")
         classes = able.select(F.explode(F.array("p", "sig")).alias("sig")).distinct()
         # one document stands for each class
@@ -288,10 +299,9 @@ def one_of_each(docs: DataFrame, *, most_sent: int = 2_000_000, **options: int)
     found = stored(similarity_components(docs, **options).select("doc_id", "component_id"), "groups")
     drop = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     twice = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
-    small = lambda ids: F.broadcast(ids) if ids.count() <= most_sent else ids
-    kept = docs.join(small(drop), "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(small(drop, most_sent), "doc_id", "left_anti").select(*docs.columns)
     if twice.isEmpty():
         return kept
-    twice = small(twice)
+    twice = small(twice, most_sent)
     again = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(twice, "doc_id", "left_anti").unionByName(again).select(*docs.columns)
