@@ -117,3 +117,31 @@ def os_release(df: DataFrame) -> DataFrame:
     """path, id, version_id, codename."""
     own = lambda k: F.nullif(F.regexp_extract("text", rf'(?m)^{k}="?([^"\n]*)"?$', 1), F.lit(""))
     return df.select("path", own("ID").alias("id"), own("VERSION_ID").alias("version_id"), F.coalesce(own("VERSION_CODENAME"), own("UBUNTU_CODENAME")).alias("codename"))
+
+
+def pipfile_lock(df: DataFrame) -> DataFrame:
+    """path, name, version (of == pins, else null), is_dev of Pipfile.lock; a package in both groups gives two rows."""
+    group = "map<string,struct<version:string>>"
+    doc = F.from_json("text", f"`default` {group}, develop {group}")
+    each = lambda key, dev: df.select("path", F.explode(doc[key]).alias("name", "p"), F.lit(dev).alias("is_dev"))
+    rows = each("default", False).unionByName(each("develop", True))
+    return rows.select("path", "name", F.nullif(F.regexp_extract("p.version", r"^==\s*(\S+)$", 1), F.lit("")).alias("version"), "is_dev")
+
+
+def go_mod(df: DataFrame) -> DataFrame:
+    """path, ord, kind (module, require, replace, exclude), module, version, new_module, new_version, indirect of go.mod.
+
+    A directive stands on its own line or opens a block in brackets; the last two names are those of replacements.
+    """
+    by = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    code = F.regexp_replace("line", r"//.*$|^\s+|\s+(//.*)?$", "")
+    rows = _lines(df).select("path", "line_no", code.alias("code"), F.col("line").rlike(r"//\s*indirect").alias("indirect"))
+    opened = F.regexp_extract("code", r"^(\w+)\s*\($", 1)
+    block = F.when(opened != "", opened).when(F.col("code") == ")", F.lit(""))
+    rows = rows.withColumn("block", F.coalesce(F.last(block, ignorenulls=True).over(by), F.lit(""))).where(~F.col("code").rlike(r"^\)$|\($|^$"))
+    alone = F.col("block") == ""
+    kind = F.when(alone, F.regexp_extract("code", r"^\w+", 0)).otherwise(F.col("block"))
+    rows = rows.select("path", "line_no", "indirect", kind.alias("kind"), F.when(alone, F.regexp_replace("code", r"^\w+\s+", "")).otherwise(F.col("code")).alias("rest"))
+    sides = F.split("rest", r"\s*=>\s*")
+    name = lambda side, i: F.get(F.split(F.get(sides, side), r"\s+"), i)
+    return rows.where(F.col("kind").isin("module", "require", "replace", "exclude")).select("path", F.col("line_no").alias("ord"), "kind", name(0, 0).alias("module"), name(0, 1).alias("version"), name(1, 0).alias("new_module"), name(1, 1).alias("new_version"), "indirect")

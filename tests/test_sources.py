@@ -56,3 +56,22 @@ def test_keys(spark):
     df = spark.createDataFrame([(p,) for p in paths], "p string")
     got = [r[0] for r in df.select(keys.url_key(df.p)).collect()]
     assert got == ["pkg:cargo/serde@1.0.1", "pkg:npm/%40scope/pkg@2.0.0", "pkg:npm/left-pad@1.3.0", "pkg:golang/github.com/a/b@v1.2.3", "pkg:pypi/my_pkg@1.0", None]
+
+
+def test_pipfile_lock_and_go_mod(spark):
+    body = '{"_meta": {}, "default": {"a": {"version": "==1.0"}, "b": {"git": "x"}}, "develop": {"c": {"version": "==2"}}}'
+    rows = text.pipfile_lock(one(spark, body)).orderBy("name").collect()
+    assert [(r.name, r.version, r.is_dev) for r in rows] == [("a", "1.0", False), ("b", None, False), ("c", "2", True)]
+    assert text.pipfile_lock(one(spark, None)).count() == 0
+    body = "module m.io/own\n\ngo 1.22\n\nrequire (\n\ta.io/x v1.0.0\n\tb.io/y v2.0.0 // indirect\n)\nrequire c.io/z v0.1.0\nreplace a.io/x => ../x\nreplace (\n\tb.io/y v2.0.0 => d.io/y v2.1.0\n)\nexclude c.io/z v0.0.9\n"
+    rows = text.go_mod(one(spark, body)).orderBy("ord").collect()
+    assert [tuple(r)[2:] for r in rows] == [
+        ("module", "m.io/own", None, None, None, False),
+        ("require", "a.io/x", "v1.0.0", None, None, False),
+        ("require", "b.io/y", "v2.0.0", None, None, True),
+        ("require", "c.io/z", "v0.1.0", None, None, False),
+        ("replace", "a.io/x", None, "../x", None, False),
+        ("replace", "b.io/y", "v2.0.0", "d.io/y", "v2.1.0", False),
+        ("exclude", "c.io/z", "v0.0.9", None, None, False),
+    ]
+    assert text.go_mod(one(spark, None)).count() == 0
