@@ -13,8 +13,8 @@ Pivots are therefore taken where distances differ, in two levels:
    (triangle inequality); the pivot leaves and the rest of the cell is joined in the same way, until the pairs
    that remain are few beside the cells' rows and are tested one by one.
 
-Before a test the pivots of both documents, which are a fifth of their sets, are intersected: pairs whose sets cannot
-share enough beside them go no further. Every test is exact on the sets (as 64-bit hashes of 5-grams); no pair of different sets within t is lost, whatever
+Before a test the parity maps of both sets (about two bits for each shingle) are compared: where they differ, the sets
+do, and pairs that differ too much go no further. Every test is exact on the sets (as 64-bit hashes of 5-grams); no pair of different sets within t is lost, whatever
 the sizes of cells. Equal sets are one class from the start. The order of 5-grams only steers the cost: 5-grams that are
 frequent in some batch are counted over all documents, and at most `most_common` of them are sent to the workers.
 
@@ -28,6 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -104,7 +105,7 @@ def common_shingles(docs: DataFrame, least: int, most_common: int, in_batch: int
 
 
 def cells(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
-    """doc_id, n, sig, and for the first text of a batch with that set its pivots: rare and common (arrays of hashes)."""
+    """doc_id, n, sig, and for the first text of a batch with that set its pivots, rare and common (arrays of hashes), and its parity map."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,11 +119,12 @@ def cells(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int)
                 where[where == len(keys)] = 0
                 order = np.where(keys[where] == sets, rank[where], 0) if len(keys) else where
                 take = size - -(-size * percent // 100) + 1
-                rare, common_own = [], []
+                rare, common_own, repeats = [], [], np.zeros(len(size), bool)
                 for i, (s, e) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
                     if s == e or int(sig[i]) in seen:
                         rare.append(None)
                         common_own.append(None)
+                        repeats[i] = True
                         continue
                     seen.add(int(sig[i]))
                     own, o = sets[s:e], order[s:e]
@@ -131,10 +133,12 @@ def cells(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int)
                     heavy = np.flatnonzero(o > 0)
                     common_own.append(own[heavy[np.argsort(o[heavy])]][: take[i] - len(light)].view(np.int64))
                 kind = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(sig), pa.array(rare, kind), pa.array(common_own, kind)], names=["doc_id", "n", "sig", "rare", "common"])
+                maps = pc.if_else(pa.array(repeats), pa.scalar(None, kind), parity_maps(sets, edges))
+                columns = [batch.column("doc_id"), pa.array(size), pa.array(sig), pa.array(rare, kind), pa.array(common_own, kind), maps]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sig", "rare", "common", "map"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, n long, sig long, rare array<bigint>, common array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, n long, sig long, rare array<bigint>, common array<bigint>, map array<bigint>")
 
 
 def crowded(table: DataFrame) -> DataFrame:
@@ -189,16 +193,37 @@ def sets_of(docs: DataFrame, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
     return docs.select("text", b0.alias("b0"), b1.alias("b1")).mapInArrow(run, "sig long, set array<bigint>")
 
 
-def possible(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (p, sig) whose first pivots in the order leave room for enough common shingles.
+def parity_maps(sets: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """For each text the parities of how many of its shingles fall on each of m places, in words of 64 bits.
 
-    Up to the smaller of both sets' last listed pivots the lists hold all, so that the sets share at most what the lists
-    share and what either set has beyond its list.
+    m is the least power of two that isn't below the set's size (64 at least). A shingle that two sets share falls on one
+    place in both, so that maps which differ in k places belong to sets which differ in k shingles or more.
     """
-    x = firsts.select("sig", F.col("n").alias("na"), F.col("pivots").alias("a"))
-    y = firsts.select(F.col("sig").alias("p"), F.col("n").alias("nb"), F.col("pivots").alias("b"))
-    room = F.size(F.array_intersect("a", "b")) + F.greatest(F.col("na") - F.size("a"), F.col("nb") - F.size("b"))
-    return pairs.join(x, "sig").join(y, "p").where((100 + percent) * room >= percent * (F.col("na") + F.col("nb"))).select("p", "sig")
+    size = np.diff(edges)
+    places = np.int64(1) << np.maximum(6, np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    begin = np.concatenate([[0], np.cumsum(places)])
+    at = np.repeat(begin[:-1], size) + (sets & np.repeat(places - 1, size).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(at, minlength=int(begin[-1])) & 1).astype(np.uint8)
+    return pa.ListArray.from_arrays(pa.array(begin // 64, pa.int32()), pa.array(np.packbits(odd, bitorder="little").view(np.int64)))
+
+
+def folded(a: Column, b: Column) -> Column:
+    """a's map, with its halves laid on each other where it has twice the places of b's."""
+    half = F.size(b)
+    return F.when(F.size(a) == 2 * half, F.zip_with(F.slice(a, 1, half), F.slice(a, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(a)
+
+
+def possible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (p, sig) whose parity maps don't already differ in more places than linked sets may differ in shingles.
+
+    Sets of na and nb shingles within reach differ in (100 - percent) / (100 + percent) of na + nb at most. Their sizes
+    are so near that one map has at most twice the places of the other.
+    """
+    x = maps.select("sig", F.col("n").alias("na"), F.col("map").alias("a"))
+    y = maps.select(F.col("sig").alias("p"), F.col("n").alias("nb"), F.col("map").alias("b"))
+    apart = F.zip_with(folded(F.col("a"), F.col("b")), folded(F.col("b"), F.col("a")), lambda s, t: F.bit_count(s.bitwiseXOR(t)))
+    differ = F.aggregate(apart, F.lit(0), lambda s, k: s + F.coalesce(k, F.lit(0)))
+    return pairs.join(x, "sig").join(y, "p").where((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))).select("p", "sig")
 
 
 def tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -232,8 +257,8 @@ def small(ids: DataFrame, most: int) -> DataFrame:
 def class_components(docs: DataFrame, table: DataFrame, percent: int, few: float = 4.0, most_sent: int = 2_000_000) -> DataFrame | None:
     """node, component of every class that is linked with another; None if no cell holds two classes.
 
-    Pivots are shuffled only for classes in pairs. Up to `most_sent` of these are broadcast to the scan (their number
-    is checked); more are joined.
+    Parity maps are shuffled only for classes in pairs. Up to `most_sent` of these, of tested pairs and of linked classes
+    are broadcast to the tables they are joined with (their number is checked); more are joined by a shuffle.
     """
     rows = stored(crowded(table).withColumns({"comp": F.col("sig"), "distance": F.lit(None).cast("double")}), "cells")
     total = rows.count()
@@ -246,8 +271,8 @@ def class_components(docs: DataFrame, table: DataFrame, percent: int, few: float
         pairs = stored(pairs, "met")
         met = stored(pairs.select(F.explode(F.array("p", "sig")).alias("sig")).distinct(), "classes")
         own = table.where(F.col("rare").isNotNull()).join(small(met, most_sent), "sig", "left_semi")
-        firsts = stored(own.groupBy("sig").agg(F.min("n").alias("n"), F.first(F.concat("rare", "common")).alias("pivots")), "pivots")
-        able = stored(possible(pairs, firsts, percent), "pairs")
+        maps = stored(own.groupBy("sig").agg(F.min("n").alias("n"), F.first("map").alias("map")), "maps")
+        able = stored(possible(pairs, maps, percent), "pairs")
         classes = able.select(F.explode(F.array("p", "sig")).alias("sig")).distinct()
         # one document stands for each class
         ids = table.join(classes, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
@@ -261,7 +286,8 @@ def class_components(docs: DataFrame, table: DataFrame, percent: int, few: float
         live = rows.join(pivots.select("h", F.col("pivot.sig").alias("p"), F.col("pivot.n").alias("pn"), F.col("pivot.comp").alias("pcomp"), F.col("pivot.pos").alias("ppos")), "h").where(F.col("sig") != F.col("p"))
         pairs = live.where((F.col("comp") != F.col("pcomp")) & may_begin(F.col("n"), F.col("pos"), F.col("pn"), F.col("ppos"), percent)).select("p", "sig").distinct()
         found, comps = settle(pairs)
-        after = live.drop("comp", "distance").join(found.select("p", "sig", "distance"), ["p", "sig"], "left").join(comps.select(F.col("node").alias("sig"), F.col("component")), "sig", "left")
+        own = small(comps.select(F.col("node").alias("sig"), "component"), most_sent)
+        after = live.drop("comp", "distance").join(small(found.select("p", "sig", "distance"), most_sent), ["p", "sig"], "left").join(own, "sig", "left")
         after = after.select("h", "sig", "n", "pos", F.coalesce("component", "sig").alias("comp"), "distance")
         mixed_cells = after.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") < F.col("hi")).select("h")
         rows = stored(after.join(mixed_cells, "h", "left_semi"), "cells")
