@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+Dealt = Callable[[DataFrame], DataFrame]
+
+
+def _star(edges: DataFrame, large: bool, dealt: Dealt) -> DataFrame:
     """Each node's neighbours (larger ones, or smaller ones and itself) tied to the least of its neighbourhood.
 
     The least is found with map-side aggregation; the join that hands it out can be split where a node has very many edges.
     """
     if large:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = dealt(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
@@ -22,28 +27,32 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
+        out = dealt(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v"))))
     return out.where(F.col("u") != F.col("v")).distinct()
 
 
-def _settled(edges: DataFrame) -> bool:
+def _settled(edges: DataFrame, dealt: Dealt) -> bool:
     """Whether every node points at one other that points nowhere."""
     ends = edges.groupBy("u").agg(F.count("*").alias("n"))
     targets = edges.select(F.col("v").alias("u")).distinct().withColumn("n", F.lit(1).cast("bigint"))
-    return ends.unionByName(targets).groupBy("u").agg(F.sum("n").alias("n")).where("n > 1").isEmpty()
+    return dealt(ends.unionByName(targets)).groupBy("u").agg(F.sum("n").alias("n")).where("n > 1").isEmpty()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, most: int = 60, alone: int = 50_000) -> DataFrame:
     """(node, component) of every node of edges (u, v): component is the least node reachable.
 
     Each step is written to the shared folder. Every component ends as a star around its least node; the number of
-    steps grows with the logarithm of its size.
+    steps grows with the logarithm of its size. Up to `alone` edges (they are counted) make the same steps in one partition,
+    which needs no exchanges; more are shuffled.
     """
     now = stored(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    few = now.count() <= alone
+    dealt = (lambda df: df.coalesce(1)) if few else (lambda df: df)
     for _ in range(most):
-        if _settled(now):
+        now = dealt(now)
+        if _settled(now, dealt):
             break
-        now = stored(_star(_star(now, large=True), large=False), "edges")
+        now = stored(_star(_star(now, True, dealt), False, dealt), "edges")
     else:
         raise RuntimeError("components did not settle")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
