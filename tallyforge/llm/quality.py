@@ -3,9 +3,12 @@
 Each text gives the contract's counts and from them a vector of four transformed statistics, as whole thousandths, so that all
 sums over documents are exact and do not depend on their order: log of words, log of the mean word length, and the
 inverse hyperbolic sines of symbols and of repeated words per 100 words. Per language and source the minimum covariance
-determinant is sought by concentration steps: from medians and interquartile ranges, then means and covariances of the
-`share` of documents with the smallest distances, again and again. A document whose squared Mahalanobis distance
-passes `limit` (scaled to each group's median) is rejected; base rules reject on their own.
+determinant is sought by concentration steps: from three starts (medians with half-widths about the median, shortest
+halves, medians with interquartile ranges) means and covariances of the `share` of documents with the smallest
+distances are taken again and again until the determinant falls no more, and the start with the least one counts. A last
+fit takes all documents that the half-sample fit doesn't reject, so that junk of up to about 40 % of a group neither
+moves the centre nor widens the spread. A document whose squared Mahalanobis distance (scaled to the median of the
+documents fitted) passes `limit`, a quantile of chi-squared, is rejected; base rules reject on their own.
 
 The statistics are written once to the shared folder; every step reads that narrow table and sums it by (group, bin of
 distance), so that a group of any size is summed map-side and only a few hundred rows a group are shuffled. Groups of fewer
@@ -29,6 +32,12 @@ STATS = ("x0", "x1", "x2", "x3")
 FLOOR = (100, 100, 700, 700)
 #: The median of chi-squared with four degrees of freedom.
 CHI2_MEDIAN = 3.3567
+#: Its 0.999 quantile.
+CHI2_LIMIT = 18.467
+#: The starts read values at so many even steps of each statistic's distribution (a multiple of 4).
+GRID = 40
+#: Centre and Cholesky factor of a fit.
+PARAMS = [*(f"m{k}" for k in range(4)), *(f"l{k}{i}" for k in range(4) for i in range(k + 1))]
 
 
 def repeated_words(words: Column, run: int = 3) -> Column:
@@ -90,16 +99,24 @@ def grouped(rows: DataFrame, least: int) -> DataFrame:
     return joined.withColumn("grp", name).drop("pooled", "grp_lang", "grp_source")
 
 
-def medians(rows: DataFrame) -> DataFrame:
-    """grp, n_rows and a start for each group: exact medians as centre, interquartile ranges as diagonal of the spread."""
+def starts(rows: DataFrame) -> DataFrame:
+    """grp, start, n_rows and a centre and diagonal factor for each group and start, from exact quantiles."""
     long = rows.select("grp", F.posexplode(F.array(*STATS)).alias("k", "v")).groupBy("grp", "k", "v").agg(F.count("*").alias("c"))
     by = Window.partitionBy("grp", "k")
     long = long.withColumns({"below": F.sum("c").over(by.orderBy("v")), "all": F.sum("c").over(by)})
-    at = lambda q: F.min(F.when(F.col("below") >= q * F.col("all"), F.col("v")))
-    each = long.groupBy("grp", "k").agg(at(0.25).alias("lo"), at(0.5).alias("mid"), at(0.75).alias("hi"), F.max("all").alias("n_rows"))
-    pick = lambda k, c: F.max(F.when(F.col("k") == k, c))
-    spread = F.greatest((F.col("hi") - F.col("lo")) / 1.349, F.element_at(F.array(*(F.lit(float(f)) for f in FLOOR)), F.col("k") + 1))
-    return each.groupBy("grp").agg(F.max("n_rows").alias("n_rows"), *(pick(k, F.col("mid")).cast("double").alias(f"m{k}") for k in range(4)), *((pick(k, spread) if i == k else F.lit(0.0)).alias(f"l{k}{i}") for k in range(4) for i in range(k + 1)))
+    at = [F.min(F.when(F.col("below") * GRID >= q * F.col("all"), F.col("v"))) for q in range(GRID + 1)]
+    each = long.groupBy("grp", "k").agg(F.array(*at).alias("at"), F.max("all").alias("n_rows"))
+    half, mid = GRID // 2, F.get("at", F.lit(GRID // 2))
+    wide = lambda of: F.array_min(F.array(*(of(F.get("at", F.lit(j)), F.get("at", F.lit(j + half)), F.get("at", F.lit(j + half // 2))) for j in range(half + 1))))
+    about = wide(lambda lo, hi, _: F.greatest(hi - mid, mid - lo)) * 1.4826
+    shortest = wide(lambda lo, hi, centre: F.struct((hi - lo).alias("width"), centre.alias("centre")))
+    quartiles = (F.get("at", F.lit(3 * GRID // 4)) - F.get("at", F.lit(GRID // 4))) / 1.349
+    ways = [(mid, about), (shortest["centre"], shortest["width"] / 1.349), (mid, quartiles)]
+    floor = F.element_at(F.array(*(F.lit(float(f)) for f in FLOOR)), F.col("k") + 1)
+    way = F.array(*(F.struct(F.lit(i).alias("start"), m.cast("double").alias("mid"), F.greatest(w.cast("double"), floor).alias("spread")) for i, (m, w) in enumerate(ways)))
+    each = each.select("grp", "k", "n_rows", F.inline(way))
+    pick = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    return each.groupBy("grp", "start").agg(F.max("n_rows").alias("n_rows"), *(pick(k, "mid").alias(f"m{k}") for k in range(4)), *((pick(k, "spread") if i == k else F.lit(0.0)).alias(f"l{k}{i}") for k in range(4) for i in range(k + 1)))
 
 
 def distance(centre: str = "m", factor: str = "l") -> Column:
@@ -116,46 +133,75 @@ def binned(d: Column) -> Column:
     return F.floor(F.log2(1 + d) * 32).cast("int")
 
 
-def concentrated(rows: DataFrame, params: DataFrame, share: float) -> DataFrame:
-    """The next centre and factor: of the bins of smallest distance that hold `share` of each group."""
-    sums = {f"s{k}": F.sum(f"x{k}") for k in range(4)} | {f"q{k}{i}": F.sum(F.col(f"x{k}") * F.col(f"x{i}")) for k in range(4) for i in range(k + 1)}
-    bins = rows.join(sent(params).select("grp", *(f"m{k}" for k in range(4)), *(f"l{k}{i}" for k in range(4) for i in range(k + 1))), "grp").withColumn("bin", binned(distance()))
-    bins = bins.groupBy("grp", "bin").agg(F.count("*").alias("c"), *(v.alias(k) for k, v in sums.items()))
-    by = Window.partitionBy("grp")
-    bins = bins.withColumns({"below": F.sum("c").over(by.orderBy("bin")), "all": F.sum("c").over(by)})
-    inside = bins.where(F.col("below") - F.col("c") < share * F.col("all"))
-    half = F.min(F.when(F.col("below") >= 0.5 * F.col("all"), F.col("bin")))
-    own = inside.groupBy("grp").agg(F.sum("c").alias("n"), F.max("all").alias("n_rows"), half.alias("half_bin"), *(F.sum(k).alias(k) for k in sums))
-    n = F.col("n").cast("double")
+def sums() -> dict[str, Column]:
+    """n_in, and the sums that a mean and a covariance need."""
+    one = {"n_in": F.lit(1).cast("bigint")} | {f"s{k}": F.col(f"x{k}") for k in range(4)}
+    return one | {f"q{k}{i}": F.col(f"x{k}") * F.col(f"x{i}") for k in range(4) for i in range(k + 1)}
+
+
+def fitted(own: DataFrame) -> DataFrame:
+    """own, which has sums(), with centre, Cholesky factor and logdet of the covariance (floors added)."""
+    n = F.col("n_in").cast("double")
     own = own.withColumns({f"m{k}": F.col(f"s{k}") / n for k in range(4)})
     cov = {(k, i): F.col(f"q{k}{i}") / n - F.col(f"m{k}") * F.col(f"m{i}") + (float(FLOOR[k]) ** 2 if k == i else 0.0) for k in range(4) for i in range(k + 1)}
     for k in range(4):
         for i in range(k + 1):
             part = cov[k, i] - sum((F.col(f"l{k}{j}") * F.col(f"l{i}{j}") for j in range(i)), F.lit(0.0))
             own = own.withColumn(f"l{k}{i}", F.sqrt(F.greatest(part, F.lit(1.0))) if k == i else part / F.col(f"l{i}{i}"))
-    # the distance that half of the group stays under, by the factor before this step
-    return own.select("grp", "n_rows", "half_bin", *(f"m{k}" for k in range(4)), *(f"l{k}{i}" for k in range(4) for i in range(k + 1)))
+    return own.withColumn("logdet", 2 * sum((F.log(f"l{k}{k}") for k in range(1, 4)), F.log("l00"))).drop(*sums())
+
 
+def concentrated(rows: DataFrame, params: DataFrame, share: float) -> DataFrame:
+    """grp, start and the next fit: of the bins of smallest distance that hold `share` of each group."""
+    bins = rows.join(sent(params).select("grp", "start", *PARAMS), "grp").withColumn("bin", binned(distance()))
+    bins = bins.groupBy("grp", "start", "bin").agg(*(F.sum(v).alias(k) for k, v in sums().items()))
+    by = Window.partitionBy("grp", "start")
+    bins = bins.withColumns({"below": F.sum("n_in").over(by.orderBy("bin")), "all": F.sum("n_in").over(by)})
+    inside = bins.where(F.col("below") - F.col("n_in") < share * F.col("all"))
+    return fitted(inside.groupBy("grp", "start").agg(*(F.sum(k).alias(k) for k in sums())))
+
+
+def scaled(rows: DataFrame, params: DataFrame, limit: float | None = None) -> DataFrame:
+    """params with scale: the median squared distance over its normal value, at least 1.
 
-def mcd(rows: DataFrame, steps: int = 4, share: float = 0.75) -> DataFrame:
-    """grp, n_rows, centre m0..m3, Cholesky factor l00..l33 and scale (median squared distance over its normal value)."""
-    params = stored(medians(rows), "mcd")
-    for _ in range(steps):
-        params = stored(concentrated(rows, params, share), "mcd")
-    bins = rows.join(sent(params), "grp").groupBy("grp", binned(distance()).alias("bin")).agg(F.count("*").alias("c"))
+    With limit, the median is that of rows whose distance by params' own earlier fit (p_m0.., p_l00.., p_scale) keeps within it.
+    """
+    joined = rows.join(sent(params), "grp")
+    joined = joined if limit is None else joined.where(distance("p_m", "p_l") <= limit * F.col("p_scale"))
+    bins = joined.groupBy("grp", binned(distance()).alias("bin")).agg(F.count("*").alias("c"))
     by = Window.partitionBy("grp")
     bins = bins.withColumns({"below": F.sum("c").over(by.orderBy("bin")), "all": F.sum("c").over(by)})
     half = bins.where(F.col("below") >= 0.5 * F.col("all")).groupBy("grp").agg(F.min("bin").alias("half_bin"))
     scale = F.greatest((F.pow(F.lit(2.0), (F.col("half_bin") + 1) / 32) - 1) / CHI2_MEDIAN, F.lit(1.0))
-    return stored(params.drop("half_bin").join(half.select("grp", scale.alias("scale")), "grp"), "mcd")
+    return stored(params.join(half.select("grp", scale.alias("scale")), "grp"), "mcd")
+
 
+def mcd(rows: DataFrame, share: float = 0.5, limit: float = CHI2_LIMIT) -> DataFrame:
+    """grp, n_rows, centre m0..m3, Cholesky factor l00..l33 and scale of the last fit.
 
-def outliers(docs: DataFrame, *, limit: float = 80.0, least: int = 50, steps: int = 4, share: float = 0.75) -> DataFrame:
+    Every step lowers the determinant of the groups and starts that are still moving by a thousandth at least, and the
+    floors bound it from below, so the loop ends.
+    """
+    params = stored(starts(rows).withColumns({"logdet": F.lit(float("inf")), "moving": F.lit(True)}), "mcd")
+    while not params.where("moving").isEmpty():
+        new = concentrated(rows, params.where("moving").drop("moving"), share).select("grp", "start", *(F.col(c).alias(f"new_{c}") for c in (*PARAMS, "logdet")))
+        falls = F.coalesce(F.col("new_logdet") < F.col("logdet") - 0.001, F.lit(False))
+        own = [F.when(falls, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in (*PARAMS, "logdet")]
+        params = stored(params.join(new, ["grp", "start"], "left").select("grp", "start", "n_rows", *own, falls.alias("moving")), "mcd")
+    best = params.groupBy("grp").agg(F.min(F.struct("logdet", "start", "n_rows", *PARAMS)).alias("b")).select("grp", "b.n_rows", *(f"b.{c}" for c in PARAMS))
+    half = scaled(rows, stored(best, "mcd"))
+    # the last fit, by all rows that the half-sample fit doesn't reject
+    inside = rows.join(sent(half), "grp").where(distance() <= limit * F.col("scale"))
+    last = fitted(inside.groupBy("grp").agg(*(F.sum(v).alias(k) for k, v in sums().items()))).select("grp", *PARAMS)
+    before = half.select("grp", "n_rows", *(F.col(c).alias(f"p_{c}") for c in (*PARAMS, "scale")))
+    return scaled(rows, stored(before.join(last, "grp"), "mcd"), limit)
+
+
+def outliers(docs: DataFrame, *, limit: float = CHI2_LIMIT, least: int = 50, share: float = 0.5) -> DataFrame:
     """The contract's rows, with grp and distance (squared, scaled to the group) beside them."""
     rows = stored(statistics(counts(docs)), "quality")
     rows = stored(grouped(rows, least), "quality")
-    params = mcd(rows, steps, share)
-    own = ["grp", "n_rows", "scale", *(f"m{k}" for k in range(4)), *(f"l{k}{i}" for k in range(4) for i in range(k + 1))]
-    joined = rows.join(sent(params).select(*own), "grp", "left").withColumn("distance", F.when(F.col("n_rows") >= least, distance() / F.col("scale")))
+    params = mcd(rows, share, limit)
+    joined = rows.join(sent(params).select("grp", "n_rows", "scale", *PARAMS), "grp", "left").withColumn("distance", F.when(F.col("n_rows") >= least, distance() / F.col("scale")))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= limit)
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "grp", "distance")

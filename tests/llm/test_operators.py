@@ -180,6 +180,17 @@ def test_mcd_finds_planted_outliers(spark):
     assert not any(out[1000 + i].kept for i in range(6)) and all(out[i].kept for i in range(200))
 
 
+@pytest.mark.parametrize("part", [0.3, 0.4])
+def test_mcd_rejects_junk_that_is_a_large_part(spark, part):
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 9)))
+    rows = [(i, " ".join(word() for _ in range(rng.integers(80, 300))), "en", "s", 0) for i in range(180)]
+    junk = int(180 * part / (1 - part))
+    rows += [(1000 + i, " ".join(word() + "#" * (rng.random() < 0.95) for _ in range(rng.integers(80, 300))), "en", "s", 0) for i in range(junk)]
+    out = by_id(quality.outliers(spark.createDataFrame(rows, SCHEMA)))
+    assert not any(out[1000 + i].kept for i in range(junk)) and all(out[i].kept for i in range(180))
+
+
 # ---- op5
 
 
