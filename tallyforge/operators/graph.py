@@ -40,20 +40,21 @@ def roots(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     return nodes.select(key).distinct().join(edges.select(F.col("dst").alias(key)).distinct(), key, "left_anti")
 
 
-def closure(edges: DataFrame, seeds: DataFrame, depth: int = 64) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """node, level: what the seeds (node) reach, each at its least level; cycles end the walk.
 
-    The frontier is joined with the edges level by level and met with what was seen; checkpoint() cuts the lineage.
+    The frontier is joined with the edges level by level and met with what was seen, until it is empty; checkpoint() cuts
+    the lineage.
     """
     seen = seeds.select("node").distinct().withColumn("level", F.lit(0)).checkpoint()
-    front = seen
-    for level in range(1, depth + 1):
+    front, level = seen, 0
+    while True:
+        level += 1
         step = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node")).distinct()
         front = step.join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(level)).checkpoint()
         if front.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(front).checkpoint()
-    return seen
 
 
 def inherited(values: DataFrame, ancestors: DataFrame) -> DataFrame:
