@@ -109,6 +109,16 @@ def test_language(docs, odd, none):
     assert langid.languages(none).count() == 0
 
 
+def test_language_model_keeps_rare_grams(spark):
+    rng = np.random.default_rng(4)
+    words = ["".join(map(chr, x)) for x in rng.integers(0x4E00, 0x9000, (60_000, 4)).tolist()]
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2][:60]
+    df = spark.createDataFrame([(x, " ".join(words[1000 * k : 1000 * k + 1000]), "zh") for k, x in enumerate(ids)], "doc_id long, text string, lang string")
+    padded = ["   " + w + " " for w in words]
+    grams = {w[k : k + 4] for w in padded for k in range(5)}
+    assert len(grams) > 200_000 and len(langid.trained(df).orders[3][0]) == len(grams)
+
+
 # ---- op3
 
 
