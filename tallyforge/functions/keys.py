@@ -70,12 +70,19 @@ def url_key(path: Column) -> Column:
     )
 
 
+def _pnpm_name(x: Column) -> Column:
+    """@scope+name of a pnpm store as %40scope/name; in names without scope the slash is encoded."""
+    return F.when(x.startswith("@"), F.replace(F.replace(x, F.lit("+"), F.lit("/")), F.lit("@"), F.lit("%40"))).otherwise(F.replace(x, F.lit("+"), F.lit("%2F")))
+
+
 def path_key(path: Column) -> Column:
     """The purl that a file's path names: cargo, pip, npm, go, deb; else null."""
     return F.coalesce(
         _found(path, r"/registry/cache/[^/]+/(.+)-([0-9]+\.[^/]*)\.crate$", lambda g: purl(F.lit("cargo"), None, g(1), g(2))),
         _found(path, r"(?:^|/)([^/-]+)-([0-9][^/-]*)(?:-[^/-]+){3,4}\.whl$", lambda g: purl(F.lit("pypi"), None, F.replace(F.lower(g(1)), F.lit("_"), F.lit("-")), g(2))),
         _found(path, r"(?:^|/)([^/]+)-([0-9][^/-]*)\.(?:dist-info|egg-info)(?:/|$)", lambda g: purl(F.lit("pypi"), None, F.replace(F.lower(g(1)), F.lit("_"), F.lit("-")), g(2))),
+        _found(path, r"(?:^|/)([^/]+)-([0-9][^/]*)\.tgz$", lambda g: purl(F.lit("npm"), None, g(1), g(2))),
+        _found(path, r"^.*?node_modules/\.pnpm/([^/]+)@([^/@]+)(?:/|$)", lambda g: F.concat(F.lit("pkg:npm/"), _pnpm_name(g(1)), F.lit("@"), purl_segment(g(2)))),
         _found(path, r"/pkg/mod/(?:cache/download/)?(.+)/@v/([^/]+)\.(?:zip|mod|info)$", lambda g: purl(F.lit("golang"), None, g(1), g(2))),
         _found(path, r"/pkg/mod/(.+)@(v[^/]+)(?:/|$)", lambda g: purl(F.lit("golang"), None, g(1), g(2))),
         _found(path, r"(?:^|/)([a-z0-9][a-z0-9+.-]+)_([^_/]+)_([a-z0-9]+)\.deb$", lambda g: F.concat(purl(F.lit("deb"), F.lit("debian"), g(1), F.replace(g(2), F.lit("%3a"), F.lit(":"))), F.lit("?arch="), g(3))),

@@ -106,3 +106,14 @@ def first_tier(rows: DataFrame, root: str, tier: str) -> DataFrame:
     """Per root only the rows of its lowest tier."""
     low = rows.groupBy(root).agg(F.min(tier).alias("low_"))
     return rows.join(low, root).where(F.col(tier) == F.col("low_")).drop("low_")
+
+
+def with_file(connections: DataFrame, files: DataFrame) -> DataFrame:
+    """connections (path) with hash and file_path of files (path, hash, ord) of the same basename, else null.
+
+    The hash is the last one that isn't null; file_path is the first file of that name, with or without a hash of its own.
+    """
+    base = lambda path: F.element_at(F.split(path, "/"), -1)
+    named = files.withColumn("base_", base(F.rtrim(F.col("path"), F.lit("/")))).where("base_ <> ''")
+    each = named.groupBy("base_").agg(F.max_by("hash", F.when(F.col("hash").isNotNull(), F.col("ord"))).alias("hash"), F.min_by("path", "ord").alias("file_path")).where("hash is not null")
+    return connections.withColumn("base_", base(F.col("path"))).join(each, "base_", "left").drop("base_")
