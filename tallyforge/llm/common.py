@@ -38,15 +38,18 @@ def shuffles_released(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str, rows: int | None = None, per_task: int = 200_000) -> DataFrame:
     """df written as Parquet in the shared folder and read back, which cuts its lineage.
 
+    rows: about how many rows its last stage handles, if known; then no more tasks and files are made than these need.
     Unlike localCheckpoint the table outlives executors; unlike checkpoint() readers prune its columns.
     The folder is temporary by its name and is left to the cluster's cleaning of spark.checkpoint.dir,
     since results that are not computed yet read from it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyforge-{what}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(8, rows // per_task))
     with shuffles_released(spark):
         df.select("*").write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

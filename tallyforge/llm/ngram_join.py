@@ -8,10 +8,12 @@ Pivots are therefore taken where distances differ, in two levels:
    others; ties are broken by one global order (common 5-grams last, then by hash), which makes its first 5-gram its Voronoi
    cell. A set within distance t = 0.2 of A lacks at most t|A| of A's 5-grams, so replicating A to the cells of its first
    floor(t|A|) + 1 pivots is the window that meets every partner.
-2. Within a cell the least document is the pivot. Distances to it are computed exactly. Documents in one component
-   need no further test among themselves; documents whose distances to the pivot differ by more than t cannot be linked
-   (triangle inequality); the pivot leaves and the rest of the cell is joined in the same way, until the pairs
-   that remain are few beside the cells' rows and are tested one by one.
+   The place of the cell's pivot among A's own bounds the sizes of partners that A can have there, so that rows of a
+   cell meet only within each other's reach, and most cells of common 5-grams hold no two rows that do.
+2. Within a cell the pivot is, of the documents whose reach covers their own size, the one that stands in most cells. Distances to it are computed exactly. Documents
+   in one component need no further test among themselves; documents whose distances to the pivot differ by more than t
+   cannot be linked (triangle inequality); the pivot leaves and the rest of the cell is joined in the same way, until
+   the pairs that may remain are few beside the cells' rows and are tested one by one.
 
 Before a test the parity maps of both sets (about two bits for each shingle) are compared: where they differ, the sets
 do, and pairs that differ too much go no further. Every test is exact on the sets (as 64-bit hashes of 5-grams); no pair of different sets within t is lost, whatever
@@ -77,28 +79,50 @@ def signatures(sets: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.where(size > 0, own, np.uint64(0)).view(np.int64)
 
 
-def common_shingles(docs: DataFrame, least: int, most_common: int, in_batch: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, sorted; ranks by rising count) of shingles that `in_batch` or more texts of a batch share and `least` of all.
+def dealt(docs: DataFrame, task_bytes: int) -> tuple[DataFrame, int | None]:
+    """docs in tasks of about task_bytes of stored input or more, without a shuffle; how many at most, if it is known."""
+    tasks = max(1, -(-docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() // task_bytes))
+    return (docs.coalesce(tasks), tasks) if tasks < 1 << 20 else (docs, None)  # sizes that Spark doesn't know are huge
 
-    Every document is counted. A shingle that never reaches in_batch texts in one batch may be missed: then it is
+
+def common_shingles(docs: DataFrame, least: int, most_common: int, in_batch: int = 2, at_once: int = 6_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sorted; ranks by rising count) of shingles that `in_batch` texts of a batch share and `least` of all.
+
+    Every document is counted; a batch holds about at_once shingles, however the table is dealt. A shingle that never
+    reaches in_batch texts in one batch may be missed, as those beyond the `most_common` most frequent are: then it is
     ordered as a rare one, which costs time but loses nothing.
     """
 
+    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+        sets = np.concatenate(parts)
+        sets.sort()
+        # runs of equal hashes of in_batch or more
+        keys = np.unique(sets[in_batch - 1 :][sets[in_batch - 1 :] == sets[: len(sets) - in_batch + 1]]) if len(sets) >= in_batch else sets[:0]
+        n = np.searchsorted(sets, keys, side="right") - np.searchsorted(sets, keys, side="left")
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["h", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, 24 << 20):
-            parts = [shingle_sets(part.column("text"))[0] for part in text_slices(iter([batch]))]
-            sets = np.concatenate(parts)
-            sets.sort()
-            # runs of equal hashes of in_batch or more
-            same = np.flatnonzero(sets[in_batch - 1 :] == sets[: len(sets) - in_batch + 1]) if len(sets) >= in_batch else np.zeros(0, np.int64)
-            keys = np.unique(sets[same])
-            n = np.searchsorted(sets, keys, side="right") - np.searchsorted(sets, keys, side="left")
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["h", "n"])
-
-    found = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    rows = found.orderBy(F.desc("n"), "h").limit(most_common).toPandas()
-    keys, n = rows.h.to_numpy(np.int64).view(np.uint64), rows.n.to_numpy(np.int64)
-    rank = np.empty(len(keys), np.int64)
+        parts, held = [], 0
+        for batch in text_slices(batches):
+            parts.append(shingle_sets(batch.column("text"))[0])
+            held += len(parts[-1])
+            if held >= at_once:
+                yield counted(parts)
+                parts, held = [], 0
+        if parts:
+            yield counted(parts)
+
+    rows, tasks = dealt(docs.select("text"), 4 << 20)
+    found = rows.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    found = stored(found.where(F.col("n") >= least).withColumn("level", F.floor(8 * F.log2("n")).cast("int")), "common", tasks and 500_000 * tasks)
+    floor = held = 0
+    for r in found.groupBy("level").agg(F.count("*").alias("c")).orderBy(F.desc("level")).collect():  # some hundred levels at most
+        if held and held + r.c > most_common:
+            break
+        floor, held = r.level, held + r.c
+    rows = found.where(F.col("level") >= floor).select("h", "n").limit(most_common).toArrow()
+    keys, n = rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    rank = np.empty(len(keys), np.int32)
     rank[np.lexsort((keys, n))] = np.arange(1, len(keys) + 1)
     order = np.argsort(keys)
     return keys[order], rank[order]
@@ -110,14 +134,18 @@ def cells(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, rank = sent.value
+        some = np.zeros(1 << 24, bool)  # the first bits of common shingles, so that few others are looked up
+        some[keys >> np.uint64(40)] = True
         for big in text_slices(batches, 64 << 20):
             seen: set[int] = set()
             for batch in text_slices(iter([big])):
                 sets, edges = shingle_sets(batch.column("text"))
                 sig, size = signatures(sets, edges), np.diff(edges)
-                where = np.searchsorted(keys, sets) if len(keys) else np.zeros(len(sets), np.int64)
+                order = np.zeros(len(sets), np.int32)
+                maybe = np.flatnonzero(some[sets >> np.uint64(40)])
+                where = np.searchsorted(keys, sets[maybe])
                 where[where == len(keys)] = 0
-                order = np.where(keys[where] == sets, rank[where], 0) if len(keys) else where
+                order[maybe] = np.where(keys[where] == sets[maybe], rank[where], 0) if len(maybe) else 0
                 take = size - -(-size * percent // 100) + 1
                 rare, common_own, repeats = [], [], np.zeros(len(size), bool)
                 for i, (s, e) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
@@ -141,56 +169,48 @@ def cells(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, n long, sig long, rare array<bigint>, common array<bigint>, map array<bigint>")
 
 
-def crowded(table: DataFrame) -> DataFrame:
-    """h, sig, n, pos: the rows of cells in which two or more classes meet; pos is h's place in the order of the set.
+def reach(n: Column, pos: Column, percent: int) -> Column:
+    """The size up to which sets may be within reach of one with n shingles if its place pos is the first common one.
 
-    Cells of rare shingles are met in one shuffle by h. Cells of common shingles, which may hold any share of all
-    rows, are summed map-side first and joined with the (bounded) list of those that hold two classes.
+    A linked pair meets in the cell of its first common shingle with both sizes within the other's reach. Sets whose
+    reach is below their own size can only meet smaller ones.
     """
-    by = Window.partitionBy("h")
-    rare = table.select(F.posexplode("rare").alias("pos", "h"), "sig", "n")
-    rare = rare.withColumns({"lo": F.min("sig").over(by), "hi": F.max("sig").over(by)}).where(F.col("lo") < F.col("hi")).groupBy("h", "sig").agg(F.max("n").alias("n"), F.min("pos").alias("pos"))
-    often = table.select(F.posexplode("common").alias("pos", "h"), "sig", "n", F.size("rare").alias("before"))
-    often = often.groupBy("h", "sig").agg(F.max("n").alias("n"), F.min(F.col("pos") + F.col("before")).alias("pos"))
-    two = often.groupBy("h").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where(F.col("lo") < F.col("hi")).select("h")
-    return rare.select("h", "sig", "n", "pos").unionByName(often.join(two, "h").select("h", "sig", "n", "pos"))
-
+    return F.floor((100 + percent) * (n - pos) / percent).cast("bigint") - n
 
-def bit_places(key: Column, bits: int) -> list[Column]:
-    """Two places of a key in a bit map."""
-    text = F.coalesce(key.cast("string"), F.lit(""))
-    return [F.pmod(F.crc32(text), F.lit(bits)), F.pmod(F.crc32(F.concat(text, F.lit("#"))), F.lit(bits))]
 
+def crowded(table: DataFrame, percent: int) -> DataFrame:
+    """h, sig, n, hi: the rows of cells in which two or more classes may meet; hi is how far the row reaches there.
 
-def bit_map(ids: DataFrame, bits: int) -> np.ndarray:
-    """A bit map of fixed size over the doc_ids of ids; at most bits / 64 rows come to the driver."""
-    places = ids.select(F.explode(F.array(*bit_places(F.col("doc_id"), bits))).alias("b"))
-    words = places.groupBy(F.floor(F.col("b") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v")).toPandas()
-    out = np.zeros(bits // 64, np.int64)
-    out[words.w.to_numpy(np.int64)] = words.v.to_numpy(np.int64)
-    return out.view(np.uint64)
+    Cells of rare shingles are met in one shuffle by h. Cells of common shingles, which may hold any share of all
+    rows, are summed map-side first and joined with the (bounded) list of those in which classes may meet.
+    """
+    rare = table.select(F.posexplode("rare").alias("pos", "h"), "sig", "n")
+    rare = rare.select("h", "sig", "n", reach(F.col("n"), F.col("pos"), percent).alias("hi"))
+    often = table.select(F.posexplode("common").alias("pos", "h"), "sig", "n", F.size("rare").alias("before"))
+    often = often.select("h", "sig", "n", reach(F.col("n"), F.col("pos") + F.col("before"), percent).alias("hi"))
+    by = Window.partitionBy("h")
+    least = F.min(F.when(F.col("hi") >= F.col("n"), F.col("n")))
+    two = {"lo": F.min("sig").over(by), "hi_sig": F.max("sig").over(by)}
+    rare = rare.withColumns(two | {"least": least.over(by)}).where((F.col("lo") < F.col("hi_sig")) & (F.col("hi") >= F.col("least")))
+    rare = rare.groupBy("h", "sig").agg(F.max("n").alias("n"), F.max("hi").alias("hi")).withColumns(two).where(F.col("lo") < F.col("hi_sig"))
+    met = often.groupBy("h").agg(least.alias("least"), F.min("sig").alias("lo"), F.max("sig").alias("hi_sig")).where((F.col("lo") < F.col("hi_sig")) & F.col("least").isNotNull())
+    often = often.join(F.broadcast(met.select("h", "least")), "h").where(F.col("hi") >= F.col("least")).groupBy("h", "sig").agg(F.max("n").alias("n"), F.max("hi").alias("hi"))
+    return rare.select("h", "sig", "n", "hi").unionByName(often.select("h", "sig", "n", "hi"))
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
-    """sig and set (array of hashes) of the documents in ids, and of a few others that the bit map can't tell from them.
+def sets_of(docs: DataFrame, ids: DataFrame, most_sent: int) -> DataFrame:
+    """sig and set (array of hashes) of the documents whose doc_id is in ids.
 
-    Texts aren't shuffled: each task drops the rows whose bits are not set before it makes sets.
+    Up to most_sent ids are broadcast, so that texts aren't shuffled.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(bit_map(ids, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
-        for batch in text_slices(batches, 64 << 20):
-            keep = np.ones(batch.num_rows, bool)
-            for name in ("b0", "b1"):
-                b = batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
-                keep &= (table[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) > 0
-            for part in text_slices(iter([batch.filter(pa.array(keep))])):
-                sets, edges = shingle_sets(part.column("text"))
-                yield pa.RecordBatch.from_arrays([pa.array(signatures(sets, edges)), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(sets.view(np.int64)))], names=["sig", "set"])
+        for part in text_slices(batches):
+            sets, edges = shingle_sets(part.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.array(signatures(sets, edges)), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(sets.view(np.int64)))], names=["sig", "set"])
 
-    b0, b1 = bit_places(F.col("doc_id"), bits)
-    return docs.select("text", b0.alias("b0"), b1.alias("b1")).mapInArrow(run, "sig long, set array<bigint>")
+    own = small(ids.select(F.col("doc_id").alias("own_id")), most_sent)
+    return docs.select("doc_id", "text").join(own, F.col("doc_id").eqNullSafe(F.col("own_id")), "left_semi").select("text").mapInArrow(run, "sig long, set array<bigint>")
 
 
 def parity_maps(sets: np.ndarray, edges: np.ndarray) -> pa.Array:
@@ -235,18 +255,17 @@ def tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out.select("p", "sig", (1 - F.col("both") / F.col("either")).alias("distance"), (100 * F.col("both") >= percent * F.col("either")).alias("linked"))
 
 
-def may_begin(na: Column, a: Column, nb: Column, b: Column, percent: int) -> Column:
-    """Whether sets of na and nb shingles could be within reach if places a and b were their first common one.
-
-    A pair that is within reach passes in the cell of its first common shingle.
-    """
-    return (100 + percent) * F.least(na - a, nb - b) >= percent * (na + nb)
+def meet(a: str, b: str) -> Column:
+    """Whether rows a and b of a cell are within each other's reach."""
+    return (F.col(f"{a}n") <= F.col(f"{b}hi")) & (F.col(f"{b}n") <= F.col(f"{a}hi"))
 
 
-def open_pairs(rows: DataFrame) -> int:
-    """How many pairs of rows of a cell are in different components."""
-    each = rows.groupBy("h", "comp").agg(F.count("*").alias("c")).groupBy("h").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    return int(each.agg(F.sum((F.col("c") * F.col("c") - F.col("q")) / 2)).first()[0] or 0)
+def open_cells(rows: DataFrame) -> DataFrame:
+    """h, most: the cells in which rows of two components may meet, and a bound on the pairs there."""
+    one = F.when(F.col("hi") >= F.col("n"), 1).otherwise(0)
+    each = rows.groupBy("h", "comp").agg(F.count("*").alias("c"), F.sum(one).alias("i"))
+    cells = each.groupBy("h").agg((F.sum("c") * F.sum("i") - F.sum(F.col("c") * F.col("i"))).alias("most"))
+    return cells.where("most > 0")
 
 
 def small(ids: DataFrame, most: int) -> DataFrame:
@@ -254,80 +273,110 @@ def small(ids: DataFrame, most: int) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
-def class_components(docs: DataFrame, table: DataFrame, percent: int, few: float = 4.0, most_sent: int = 2_000_000) -> DataFrame | None:
+def class_components(docs: DataFrame, table: DataFrame, percent: int, few: float = 2.0, most_sent: int = 2_000_000) -> DataFrame | None:
     """node, component of every class that is linked with another; None if no cell holds two classes.
 
-    Parity maps are shuffled only for classes in pairs. Up to `most_sent` of these, of tested pairs and of linked classes
+    Parity maps are shuffled only for classes in pairs. Up to `most_sent` of these, of tested pairs, cells and linked classes
     are broadcast to the tables they are joined with (their number is checked); more are joined by a shuffle.
     """
-    rows = stored(crowded(table).withColumns({"comp": F.col("sig"), "distance": F.lit(None).cast("double")}), "cells")
+    places = table.agg(F.sum(F.coalesce(F.size("rare") + F.size("common"), F.lit(0)))).first()[0] or 0
+    rows = stored(crowded(table, percent).withColumns({"comp": F.col("sig"), "distance": F.lit(None).cast("double")}), "cells", places)
     total = rows.count()
     if not total:
         return None
+    # in how many cells a class is: one that many are near to shares its 5-grams with more of them than they do
+    weight = small(stored(rows.groupBy("sig").agg(F.count("*").alias("w")), "weights", total), most_sent)
     links: list[DataFrame] = []
     slack = (100 - percent) / 100 + 1e-9
 
-    def settle(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        pairs = stored(pairs, "met")
-        met = stored(pairs.select(F.explode(F.array("p", "sig")).alias("sig")).distinct(), "classes")
+    def settle(pairs: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+        pairs = stored(pairs, "met", most)
+        n = 2 * pairs.count()
+        met = stored(pairs.select(F.explode(F.array("p", "sig")).alias("sig")).distinct(), "classes", n)
         own = table.where(F.col("rare").isNotNull()).join(small(met, most_sent), "sig", "left_semi")
-        maps = stored(own.groupBy("sig").agg(F.min("n").alias("n"), F.first("map").alias("map")), "maps")
-        able = stored(possible(pairs, maps, percent), "pairs")
-        classes = able.select(F.explode(F.array("p", "sig")).alias("sig")).distinct()
+        maps = stored(own.groupBy("sig").agg(F.min("n").alias("n"), F.first("map").alias("map"), F.min("doc_id").alias("doc_id")), "maps", n)
+        able = stored(possible(small(pairs, most_sent), maps, percent), "pairs", n)
         # one document stands for each class
-        ids = table.join(classes, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-        sets = sets_of(docs, ids).join(classes, "sig", "left_semi").groupBy("sig").agg(F.first("set").alias("set"))
-        found = stored(tested(able, stored(sets, "sets"), percent), "tested")
+        ids = stored(maps.join(able.select(F.explode(F.array("p", "sig")).alias("sig")), "sig", "left_semi").select("sig", "doc_id"), "ids", n)
+        sets = sets_of(docs, ids, most_sent).join(small(ids.select("sig"), most_sent), "sig", "left_semi").groupBy("sig").agg(F.first("set").alias("set"))
+        found = stored(tested(small(able, most_sent), stored(sets, "sets", n, 20_000), percent), "tested", n, 20_000)
         links.append(found.where("linked").select(F.col("p").alias("u"), F.col("sig").alias("v")))
         return found, stored(components(reduce(DataFrame.unionByName, links)), "comps")
 
     while True:
-        pivots = rows.groupBy("h").agg(F.min(F.struct("sig", "n", "comp", "pos")).alias("pivot"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") < F.col("hi"))
-        live = rows.join(pivots.select("h", F.col("pivot.sig").alias("p"), F.col("pivot.n").alias("pn"), F.col("pivot.comp").alias("pcomp"), F.col("pivot.pos").alias("ppos")), "h").where(F.col("sig") != F.col("p"))
-        pairs = live.where((F.col("comp") != F.col("pcomp")) & may_begin(F.col("n"), F.col("pos"), F.col("pn"), F.col("ppos"), percent)).select("p", "sig").distinct()
-        found, comps = settle(pairs)
+        index = rows.where(F.col("hi") >= F.col("n")).join(weight, "sig")
+        pivots = index.groupBy("h").agg(F.max(F.struct("w", "sig", "n", "hi", "comp")).alias("pivot"))
+        pivots = pivots.select("h", F.col("pivot.sig").alias("p"), F.col("pivot.n").alias("p_n"), F.col("pivot.hi").alias("p_hi"), F.col("pivot.comp").alias("p_comp"))
+        live = stored(rows.join(small(stored(pivots, "pivots", total), most_sent), "h").where(F.col("sig") != F.col("p")), "live", total)
+        pairs = live.where((F.col("comp") != F.col("p_comp")) & meet("", "p_")).select("p", "sig").distinct()
+        found, comps = settle(pairs, total)
         own = small(comps.select(F.col("node").alias("sig"), "component"), most_sent)
         after = live.drop("comp", "distance").join(small(found.select("p", "sig", "distance"), most_sent), ["p", "sig"], "left").join(own, "sig", "left")
-        after = after.select("h", "sig", "n", "pos", F.coalesce("component", "sig").alias("comp"), "distance")
-        mixed_cells = after.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") < F.col("hi")).select("h")
-        rows = stored(after.join(mixed_cells, "h", "left_semi"), "cells")
-        left = open_pairs(rows)
+        after = stored(after.select("h", "sig", "n", "hi", F.coalesce("component", "sig").alias("comp"), "distance"), "after", total)
+        cells = stored(open_cells(after), "open", total)
+        rows = stored(after.join(small(cells.select("h"), most_sent), "h", "left_semi"), "cells", total)
+        left = cells.agg(F.sum("most")).first()[0] or 0
         if not left:
             return comps
         if left <= few * total:
-            a, b = rows.alias("a"), rows.alias("b")
-            apart = F.coalesce(F.abs(F.col("a.distance") - F.col("b.distance")) > slack, F.lit(False))
-            pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.sig") < F.col("b.sig")) & (F.col("a.comp") != F.col("b.comp")) & may_begin(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"), percent) & ~apart)
-            return settle(pairs.select(F.col("a.sig").alias("p"), F.col("b.sig").alias("sig")).distinct())[1]
+            a, b = rows.select(*(F.col(c).alias(f"a_{c}") for c in rows.columns)), rows.select(*(F.col(c).alias(f"b_{c}") for c in rows.columns))
+            apart = F.coalesce(F.abs(F.col("a_distance") - F.col("b_distance")) > slack, F.lit(False))
+            pairs = a.join(b, (F.col("a_h") == F.col("b_h")) & (F.col("a_sig") < F.col("b_sig")) & (F.col("a_comp") != F.col("b_comp")) & meet("a_", "b_") & ~apart)
+            return settle(pairs.select(F.col("a_sig").alias("p"), F.col("b_sig").alias("sig")).distinct(), left)[1]
 
 
-def similarity_components(docs: DataFrame, *, percent: int = 80, common_least: int = 32, most_common: int = 200_000) -> DataFrame:
-    """The contract's rows: doc_id, n_shingles, component_id; class_id (the set's signature, null without a set) beside them."""
+def groups(docs: DataFrame, *, percent: int = 80, common_least: int = 4, most_common: int = 2_000_000) -> DataFrame:
+    """doc_id, n_shingles, class_id (the set's signature, null without a set) and label, the component's, for each row."""
     common = common_shingles(docs, common_least, most_common)
     table = stored(cells(docs, common, percent), "sets")
     comps = class_components(docs, table, percent)
-    own = table.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig"))
+    own = table.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sig")).alias("class_id"))
     if comps is None:
-        labelled = own.withColumn("label", F.col("sig"))
-    else:
-        labelled = own.join(comps.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("label", F.coalesce("component", "sig"))
+        return own.withColumn("label", F.col("class_id"))
+    named = small(comps.select(F.col("node").alias("class_id"), "component"), 2_000_000)
+    return own.join(named, "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("label"))
+
+
+def similarity_components(docs: DataFrame, **options: int) -> DataFrame:
+    """The contract's rows: doc_id, n_shingles, component_id; class_id (the set's signature, null without a set) beside them."""
+    labelled = groups(docs, **options)
     least = labelled.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least"))
     out = labelled.join(least, "label", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.col("sig").alias("class_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "class_id")
+
+
+def signed(docs: DataFrame) -> DataFrame:
+    """docs with tf_class: the signature of each text's set, null where it is empty."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            own = signatures(*shingle_sets(part.column("text")))
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(own, mask=own == 0)], names=[*names, "tf_class"])
+
+    return docs.mapInArrow(run, docs.withColumn("tf_class", F.lit(None).cast("bigint")).schema)
 
 
 def one_of_each(docs: DataFrame, *, most_sent: int = 2_000_000, **options: int) -> DataFrame:
-    """docs with one document kept of each component, the one with the least doc_id.
+    """docs with one row kept of each component: of the least doc_id (null counts as the largest), then of the least class.
 
     Up to `most_sent` ids to drop are broadcast (their number is checked), so that texts aren't shuffled; more are joined.
-    Rows without doc_id stay. Rows that repeat doc_id and text are kept once.
+    Rows whose doc_id is null or repeated are told apart by their texts' classes: of those with equal doc_id and class
+    one stays, so that a text no other row is near to is never lost. Texts without a set stay, repeated rows of them once.
     """
-    found = stored(similarity_components(docs, **options).select("doc_id", "component_id"), "groups")
-    drop = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    twice = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
-    kept = docs.join(small(drop, most_sent), "doc_id", "left_anti").select(*docs.columns)
-    if twice.isEmpty():
+    found = stored(groups(docs, **options), "groups")
+    key = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", F.col("class_id").alias("c"))
+    best = found.where(F.col("label").isNotNull()).groupBy("label").agg(F.min(key).alias("best"))
+    judged = found.join(best, "label", "left").select("doc_id", "class_id", F.coalesce(key == F.col("best"), F.lit(True)).alias("stays"))
+    ids = stored(judged.groupBy("doc_id").agg((F.count("*") > 1).alias("again"), F.bool_and("stays").alias("stays")), "ids")
+    again = ids.where(F.col("again") | F.col("doc_id").isNull())
+    drop = ids.where(F.col("doc_id").isNotNull() & (F.col("again") | ~F.col("stays"))).select("doc_id")
+    kept = docs.where(F.col("doc_id").isNotNull()).join(small(drop, most_sent), "doc_id", "left_anti").select(*docs.columns)
+    if again.isEmpty():
         return kept
-    twice = small(twice, most_sent)
-    again = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(twice, "doc_id", "left_anti").unionByName(again).select(*docs.columns)
+    own = small(again.select(F.col("doc_id").alias("own_id")), most_sent)
+    rows = signed(docs.join(own, F.col("doc_id").eqNullSafe(F.col("own_id")), "left_semi"))
+    stay = judged.where("stays and class_id is not null").select(F.col("doc_id").alias("own_id"), F.col("class_id").alias("own_class")).distinct()
+    stay = rows.where("tf_class is not null").join(stay, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("tf_class") == F.col("own_class")), "left_semi").dropDuplicates(["doc_id", "tf_class"])
+    empty = rows.where("tf_class is null").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(stay.unionByName(empty).select(*docs.columns))

@@ -295,6 +295,42 @@ def test_one_of_each(odd):
     assert sorted(kept) == want and ngram_join.one_of_each(odd).columns == odd.columns
 
 
+def test_one_of_each_loses_no_text(spark):
+    own = [" ".join(f"{x}{i}" for i in range(30)) for x in "abc"]
+    rows = [(3, own[0]), (5, own[0]), (5, own[1]), (None, own[0]), (None, own[2]), (None, own[2]), (7, None), (7, None), (9, "")]
+    kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(3, own[0]), (5, own[1]), (None, own[2]), (7, None), (9, "")], key=str)
+
+
+@pytest.mark.parametrize("alone", [0, 1000])
+def test_components(spark, alone):
+    rng = np.random.default_rng(6)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (40, 2))] + [(100 + i, 101 + i) for i in range(30)] + [(500, x) for x in range(400, 420)]
+    at = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in range(100):
+        for a, b in edges:
+            if a != b:
+                at[a] = at[b] = min(at[a], at[b])
+    from tallyforge.llm.graph import components
+
+    assert {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long"), alone=alone).collect()} == at
+
+
+@pytest.mark.parametrize("options", [{"few": 0.0}, {"few": 1e9}, {"most_sent": 0}])
+def test_ngram_join_other_plans(spark, docs, options):
+    """Pivots to the end, all pairs after one round, and joins without broadcasts give the same components."""
+    some = docs.where("doc_id < 120")
+    table = ngram_join.stored(ngram_join.cells(some, ngram_join.common_shingles(some, 4, 50), 80), "sets")
+    comps = ngram_join.class_components(some, table, 80, **options)
+    ids = {r.sig: r.doc_id for r in table.groupBy("sig").agg(F.min("doc_id").alias("doc_id")).collect()}
+    want = brute_components({r.doc_id: r.text for r in some.collect()}.items())
+    got = {}
+    for r in comps.collect():
+        got.setdefault(r.component, set()).add(want[ids[r.node]][1])
+    linked = {c for sig, i in ids.items() for c in [want[i][1]] if sum(want[j][1] == c for s, j in ids.items()) > 1}
+    assert {next(iter(x)) for x in got.values()} == linked and all(len(x) == 1 for x in got.values()) and len(got) == len(linked)
+
+
 # ---- op8
 
 
