@@ -18,9 +18,11 @@ NOT_ALNUM = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where all run in one process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         at = "/tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -89,7 +91,7 @@ def alnum_words(text: Column) -> Column:
     return spaced_words(F.translate(text, gaps + upper, " " * len(gaps) + upper.lower()))
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows with about most_bytes of text (a longer text stands alone)."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)

@@ -237,7 +237,7 @@ def _run(docs: DataFrame, model: str, threads: int, parity: bool, tail, kinds: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(data.value, threads, parity)
-        for batch in text_slices(batches, 12 << 20):
+        for batch in text_slices(batches, 3 << 20):
             ids, ends, fine = codec.encode(batch.column("text"))
             yield tail(batch.column("doc_id"), ids, np.concatenate([[0], ends]), fine)
 
