@@ -75,6 +75,18 @@ def layer_overlay(entries: DataFrame) -> DataFrame:
     return top.join(hidden.select("path").distinct(), "path", "left_anti")
 
 
+def longest_prefix(rows: DataFrame, path: str, modules: DataFrame, module: str) -> DataFrame:
+    """rows with the longest of modules that is the row's path or a leading part of it; null without one.
+
+    Each path is exploded into its leading parts, so that the match is an equi join.
+    """
+    parts = F.split(path, "/")
+    chain = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    paths = rows.select(path).distinct().select(path, F.explode(chain).alias(module))
+    best = paths.join(modules.select(module).distinct(), module).groupBy(path).agg(F.max_by(module, F.length(module)).alias(module))
+    return rows.join(best, path, "left").select(*rows.columns, module)
+
+
 def sessions(rows: DataFrame, key: str, order: list[str], opens: Column) -> DataFrame:
     """rows with session: a running count of openings per key; rows before the first opening are dropped."""
     by = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

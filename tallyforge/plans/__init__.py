@@ -1 +1,3 @@
-"""plans of tallyforge."""
+"""Named queries; importing the package registers them all."""
+
+from . import binaries, documents, inventory, joins, readers, scalars  # noqa: F401

@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Suffixes of package archives that a walk looks for.
+ARTIFACTS = (".deb", ".udeb", ".crate", ".whl", ".tar.gz", ".tgz", ".tar.bz2", ".tar.xz", ".jar", ".war", ".aar", ".gem", ".zip", ".egg")
+
+
 def files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """path and text of the files under root whose names match."""
     read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob)
     return read.text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def walk(spark: SparkSession, root: str, *, suffixes: tuple[str, ...] = (), most_bytes: int = 256 << 20, since: str | None = None) -> DataFrame:
+def walk(spark: SparkSession, root: str, *, suffixes: tuple[str, ...] = ARTIFACTS, most_bytes: int = 256 << 20, since: str | None = None) -> DataFrame:
     """path, size, mtime, sha256 of files with one of the suffixes (any case), up to a size, changed since."""
     out = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= most_bytes)
     if since:
@@ -27,6 +31,21 @@ def walk(spark: SparkSession, root: str, *, suffixes: tuple[str, ...] = (), most
     return out.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("sha256"))
 
 
+def project_roots(listing: DataFrame, markers: tuple[str, ...], *, most_depth: int = 6, skip: tuple[str, ...] = (), distinct: bool = True) -> DataFrame:
+    """root: folders of listing (path) that hold a marker file, at most most_depth folders deep, none named in skip."""
+    parts = F.split("path", "/")
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    kept = listing.where(F.element_at(parts, -1).isin(*markers) & (F.size(folders) - 1 <= most_depth) & ~F.arrays_overlap(folders, F.array(*map(F.lit, skip)).cast("array<string>")))
+    out = kept.select(F.array_join(folders, "/").alias("root"))
+    return out.distinct() if distinct else out
+
+
+def first_text(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """key, text: of the first table where it has a text, else of the second."""
+    a, b = first.select(key, F.col("text").alias("a_")), second.select(key, F.col("text").alias("b_"))
+    return a.join(b, key, "full").select(key, F.coalesce("a_", "b_").alias("text"))
+
+
 def _lines(df: DataFrame) -> DataFrame:
     return df.select("path", F.posexplode(F.split(F.replace(F.col("text"), F.lit("\r"), F.lit("")), "\n")).alias("line_no", "line"))
 
@@ -77,14 +96,28 @@ def go_sum(df: DataFrame) -> DataFrame:
 
 
 def requirements(df: DataFrame) -> DataFrame:
-    """path, ord, name, version (of == pins, else null), range_spec, hashes of requirements lines; options are skipped."""
+    """path, ord, name, version (of == pins), range_spec, source_type, hashes, tier of requirements lines; options are skipped.
+
+    A requirement from git, a URL or a local path has that source type; names come from #egg= or from before @. Those
+    without a pin and without such a source are of tier design.
+    """
     joined = df.withColumn("text", F.regexp_replace("text", r"\\\r?\n", " "))
     line = F.trim(F.regexp_replace("line", r"(^|\s)#.*$", ""))
     rows = _lines(joined).withColumn("line", line).where((F.col("line") != "") & ~F.startswith("line", F.lit("-")))
-    spec = F.trim(F.regexp_replace(F.regexp_replace("line", r"\s--hash=\S+", ""), r";.*$", ""))
-    rows = rows.withColumn("spec", spec).where(F.col("spec").rlike(r"^[A-Za-z0-9]"))
-    pin = F.nullif(F.regexp_extract("spec", r"^[^=<>!~]+===?\s*([^\s,*]+)$", 1), F.lit(""))
-    return rows.select("path", F.col("line_no").alias("ord"), F.regexp_extract("spec", r"^[A-Za-z0-9._-]+", 0).alias("name"), pin.alias("version"), F.nullif(F.trim(F.regexp_extract("spec", r"[=<>!~].*$", 0)), F.lit("")).alias("range_spec"), F.array_distinct(F.regexp_extract_all("line", F.lit(r"--hash=(sha(?:256|512|1):[0-9a-f]+)"), 1)).alias("hashes"))
+    spec = F.trim(F.regexp_replace(F.regexp_replace("line", r"\s--hash=\S+", ""), r"\s*;.*$", ""))
+    rows = rows.withColumn("spec", spec)
+    named_at = F.col("spec").rlike(r"^[A-Za-z0-9._-]+(\[[^\]]*\])?\s*@\s")
+    target = F.when(named_at, F.regexp_extract("spec", r"@\s+(\S+)", 1)).otherwise(F.col("spec"))
+    source = F.when(target.rlike(r"^(git|hg|svn|bzr)\+"), "git").when(target.rlike("^(https?|ftp)://"), "url").when(target.rlike(r"^(file:|\.{0,2}/)"), "local")
+    rows = rows.withColumn("source_type", source).where(F.col("source_type").isNotNull() | F.col("spec").rlike(r"^[A-Za-z0-9]"))
+    egg = F.regexp_extract("line", r"#egg=([A-Za-z0-9._-]+)", 1)
+    plain = F.regexp_extract("spec", r"^[A-Za-z0-9._-]+", 0)
+    name = F.when(named_at | F.col("source_type").isNull(), plain).otherwise(F.nullif(egg, F.lit("")))
+    free = F.col("source_type").isNull()
+    pin = F.when(free, F.nullif(F.regexp_extract("spec", r"^[^=<>!~]+===?\s*([^\s,*]+)$", 1), F.lit("")))
+    spec_of = F.when(free, F.nullif(F.trim(F.regexp_extract("spec", r"[=<>!~].*$", 0)), F.lit("")))
+    hashes = F.array_distinct(F.regexp_extract_all("line", F.lit(r"--hash=(sha(?:256|512|1):[0-9a-f]+)"), 1))
+    return rows.select("path", F.col("line_no").alias("ord"), name.alias("name"), pin.alias("version"), spec_of.alias("range_spec"), "source_type", hashes.alias("hashes"), F.when(free & pin.isNull(), "design").otherwise("source").alias("tier"))
 
 
 def gemfile_lock(df: DataFrame) -> DataFrame:

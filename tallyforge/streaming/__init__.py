@@ -1 +1 @@
-"""streaming of tallyforge."""
+"""Connections assembled from event streams."""
