@@ -1,10 +1,14 @@
 """Chat formatting in budgeted windows, with DataFrame functions only.
 
-Turns of a conversation are ordered by (turn, role, text). Prefix sums of their token costs deal them into windows: a
-turn belongs to the window in which its last token falls, so that windows are aligned to turns and no turn is ever
-cut or dropped. Each window repeats the conversation's system turn (its first row, if a system row) and up to
-`history` turns before it that fit `history_tokens`. Repeated turns carry the mark <|past|> instead of <|turn|>
-and are outside the loss mask, so that each assistant text is a target exactly once.
+Turns of a conversation are ordered by (turn, role, text). Each window repeats the conversation's system turn (its first
+row, if a system row) and up to `history` turns before it that fit `history_tokens`. Repeated turns carry the mark
+<|past|> instead of <|turn|> and are outside the loss mask, so that each assistant text is a target exactly once.
+
+What is repeated is charged first: the room of a window is the budget less the system turn and `history_tokens`. A turn that
+costs more than half the room stands alone; the turns between two such are dealt by prefix sums of their costs: a turn
+belongs to the half room in which its last token falls, so that a window's turns cost less than two halves. Windows
+are aligned to turns, and no turn is cut or dropped. A window passes the budget only if it holds a single turn (beside
+what is repeated) that costs more than the room, or if the system turn and the history leave none.
 
 Turn: mark, role, <|text|>, text, <|end|>. In roles and texts a backslash is doubled, and a backslash is put after the
 first character of every control string (<|, <s>, </s>, [INST], [/INST]); taking away a backslash before any
@@ -40,15 +44,26 @@ def windows(rows: DataFrame, budget: int = 1024, history: int = 2, history_token
     """
     turns = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     by = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    so_far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cost = F.ceil(F.octet_length("text") / 4) + 4
-    turns = turns.select("*", F.row_number().over(by).alias("at"), F.sum(cost).over(so_far).alias("to"), cost.alias("cost"))
-    turns = turns.withColumn("window", F.floor((F.col("to") - 1) / budget))
+    turns = turns.select("*", F.row_number().over(by).alias("at"), (F.ceil(F.octet_length("text") / 4) + 4).alias("cost"))
+    system = (F.col("at") == 1) & (F.col("role") == "system")
+    so_far = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    charged = F.max(F.when(system, F.col("cost"))).over(so_far)
+    half = F.floor((budget - history_tokens - F.coalesce(charged, F.lit(0))) / 2)
+    turns = turns.withColumns({"to": F.sum("cost").over(so_far), "half": F.greatest(half, F.lit(1))})
+    alone = (F.col("cost") > F.col("half")) & ~system
+    part = 2 * F.sum(alone.cast("int")).over(so_far) - alone.cast("int")
+    turns = turns.withColumn("part", part)
+    inside = Window.partitionBy("conv_id", "part").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bin_ = F.floor((F.sum(F.when(system, F.lit(0)).otherwise(F.col("cost"))).over(inside) - 1) / F.col("half"))
+    turns = turns.withColumn("bin", F.greatest(bin_, F.lit(0)))
+    before = Window.partitionBy("conv_id").orderBy("at")
+    begins = F.coalesce((F.lag("part").over(before) != F.col("part")) | (F.lag("bin").over(before) != F.col("bin")), F.lit(False))
+    turns = turns.withColumn("begins", begins.cast("bigint"))
+    turns = turns.withColumn("window", F.sum("begins").over(so_far)).drop("half", "part", "bin", "begins")
     # a turn is history of the window that begins k turns later, for k up to `history`
     first = Window.partitionBy("conv_id").orderBy("at")
     later = [F.when((F.lead("window", k).over(first) != (F.lead("window", k - 1).over(first) if k > 1 else F.col("window"))) & (F.lead("to", k - 1).over(first) - F.col("to") + F.col("cost") <= history_tokens if k > 1 else F.col("cost") <= history_tokens), F.lead("window", k).over(first)) for k in range(1, history + 1)]
     whole = Window.partitionBy("conv_id")
-    system = (F.col("at") == 1) & (F.col("role") == "system")
     turns = turns.select("*", F.array_compact(F.array(*later)).alias("later"), F.max("window").over(whole).alias("most"))
     past = F.when(system, F.when(F.col("most") > F.col("window"), F.sequence(F.col("window") + 1, F.col("most"))).otherwise(F.array().cast("array<bigint>"))).otherwise(F.array_distinct("later"))
     place = F.concat(F.array(F.struct(F.col("window").alias("window"), F.lit(False).alias("past"))), F.transform(past, lambda w: F.struct(w.alias("window"), F.lit(True).alias("past"))))

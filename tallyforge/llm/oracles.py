@@ -35,4 +35,31 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least(d.doc_id, y), d.
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least_of ON x = d.doc_id
 """
 
-ORACLES = {"op3_decontamination": DECONTAMINATION, "op7_ngram_jaccard_join": NGRAM_JOIN}
+
+def _escaped_length(x: str) -> str:
+    """Length of x with a backslash for each of its backslashes and control strings."""
+    return f"(length({x}) + length({x}) - length(replace({x}, '\\', '')) + len(regexp_extract_all({x}, '</?s>')) + len(regexp_extract_all({x}, '<[|]')) + len(regexp_extract_all({x}, '\\[/?INST\\]')))"
+
+
+CHAT = f"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS nr, (octet_length(encode(text)) + 3) // 4 + 4 AS cost FROM r),
+s AS (SELECT *, nr = 1 AND role = 'system' AS sys, sum(cost) OVER w AS upto, coalesce(max(CASE WHEN nr = 1 AND role = 'system' THEN cost END) OVER w, 0) AS charged FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY nr)),
+a AS (SELECT *, greatest((1024 - 256 - charged) // 2, 1) AS half, cost > greatest((1024 - 256 - charged) // 2, 1) AND NOT sys AS alone FROM s),
+p AS (SELECT *, 2 * sum(CAST(alone AS INTEGER)) OVER w - CAST(alone AS INTEGER) AS part FROM a WINDOW w AS (PARTITION BY conv_id ORDER BY nr)),
+b AS (SELECT *, greatest((sum(CASE WHEN sys THEN 0 ELSE cost END) OVER (PARTITION BY conv_id, part ORDER BY nr) - 1) // half, 0) AS bin FROM p),
+c AS (SELECT *, coalesce(lag(part) OVER w <> part, FALSE) OR coalesce(lag(bin) OVER w <> bin, FALSE) AS begins FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY nr)),
+d AS (SELECT *, sum(CAST(begins AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY nr) AS win FROM c),
+e AS (SELECT *, lead(win) OVER w AS w1, lead(win, 2) OVER w AS w2, lead(upto) OVER w AS to1, max(win) OVER (PARTITION BY conv_id) AS most FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY nr)),
+f AS (
+  SELECT *, CASE WHEN sys THEN 1 + most - win ELSE 1 + CAST(w1 IS NOT NULL AND w1 <> win AND cost <= 256 AS INTEGER) + CAST(w2 IS NOT NULL AND w2 <> w1 AND to1 - upto + cost <= 256 AS INTEGER) END AS copies,
+    8 + {_escaped_length('role')} + 8 + {_escaped_length('text')} + 7 AS size FROM e)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nr)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY nr) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(copies * size) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+ORACLES = {"op3_decontamination": DECONTAMINATION, "op7_ngram_jaccard_join": NGRAM_JOIN, "op8_chat_format": CHAT}
