@@ -7,7 +7,8 @@ a likelihood ratio, so that inflected words of any language are met. Lexicon and
 labelled rows (the ones with the smallest hash of doc_id, held-out rows excluded), a fifth of which calibrate the
 scores. Features, scores and decisions are made for every document.
 
-Null and empty texts have zero features and are scored like others. Labels that are null are ignored; a doc_id labelled twice
+Null and empty texts have zero features and are scored like others; texts of any length are read whole. Repeated rows each
+give a row; an empty table gives none. Equal features give equal scores. Labels that are null are ignored; a doc_id labelled twice
 takes the larger label. Without any labels, or with labels of one kind, the score is that kind's share (0 without
 labels). Extra columns aren't read.
 """
@@ -270,10 +271,11 @@ class Model:
 
 
 def sample_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """doc_id, text, y of at most `sample` labelled rows that are not held out (more if doc_ids repeat in docs)."""
+    """doc_id, text, y of at most `sample` labelled doc_ids that are not held out; of a repeated doc_id the least text."""
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id")  # at most `sample` ids
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(own), "doc_id")  # at most `sample` ids
+    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 def learned_lexicon(rows: DataFrame, most: int = 2000) -> np.ndarray:
@@ -320,8 +322,7 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> tuple[M
             x = features(batch.column("text"), lexicon)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    found = rows.mapInArrow(run, "doc_id long, y int, x array<double>").toPandas()
-    found = found.assign(order=found.x.map(tuple)).sort_values(["doc_id", "order"]).drop_duplicates("doc_id")
+    found = rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, x array<double>").toPandas().sort_values("doc_id")
     x = np.array(found.x.tolist(), float).reshape(len(found), len(FEATURES))
     shuffled = np.random.default_rng(7).permutation(len(found))
     return Model(x[shuffled], (found.y.to_numpy() > 0).astype(float)[shuffled]), lexicon
