@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .types import STRING
+
 #: Methods of requests.
 METHODS = "GET HEAD POST PUT DELETE CONNECT OPTIONS TRACE PATCH".split()
 
@@ -123,7 +125,7 @@ def _sorted_json(text: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(STRING)
 def canonical_json(text: pd.Series) -> pd.Series:
     """JSON with the keys of every object sorted and no white space; null for what isn't JSON."""
     return text.map(_sorted_json, na_action="ignore")
@@ -168,6 +170,6 @@ def _server_name(data: bytes | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(STRING)
 def server_name(payload: pd.Series) -> pd.Series:
     return payload.map(_server_name, na_action="ignore")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import licenses as lic
 from ..functions.keys import base32_id
+from .lineage import checkpoints
 
 COMPONENT = {
     "target": "string", "purl": "string", "ecosystem": "string", "name": "string", "version": "string", "parent_purl": "string", "technique": "string", "confidence": "double", "paths": "array<string>",
@@ -263,8 +264,9 @@ def planned(formats: list[str], outputs: list[str] = ()) -> dict[str, str]:
 
 
 def emitted(components: DataFrame, edges: DataFrame, formats: list[str], *, made_at: str) -> DataFrame:
-    """target, format, file, document of every planned format, all made from the same two tables."""
-    out = None
+    """target, format, file, document of every planned format, all made from the same two tables, which are stored once."""
+    checkpoints(components.sparkSession)
+    components, edges, out = complete(components).checkpoint(), edges.checkpoint(), None
     for kind, path in planned(formats).items():
         one = SERIALIZERS[kind](components, edges, made_at=made_at).select("target", F.lit(kind).alias("format"), F.lit(path).alias("file"), "document")
         out = one if out is None else out.unionByName(one)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lineage import checkpoints
+
 
 def normal_name(ecosystem: Column, name: Column) -> Column:
     return F.when(ecosystem == "pypi", F.lower(F.replace(name, F.lit("_"), F.lit("-")))).otherwise(F.lower(name))
@@ -46,15 +48,18 @@ def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     The frontier is joined with the edges level by level and met with what was seen, until it is empty; checkpoint() cuts
     the lineage.
     """
-    seen = seeds.select("node").distinct().withColumn("level", F.lit(0)).checkpoint()
-    front, level = seen, 0
+    checkpoints(edges.sparkSession)
+    front, level = seeds.select("node").distinct().withColumn("level", F.lit(0)).checkpoint(), 0
+    seen = front
     while True:
         level += 1
         step = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node")).distinct()
         front = step.join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(level)).checkpoint()
         if front.isEmpty():
             return seen
-        seen = seen.unionByName(front).checkpoint()
+        # levels stay apart as they were written; they are put together now and then, so that plans stay short
+        seen = seen.unionByName(front)
+        seen = seen.checkpoint() if level % 16 == 0 else seen
 
 
 def inherited(values: DataFrame, ancestors: DataFrame) -> DataFrame:

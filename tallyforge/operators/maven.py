@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import checkpoints
+
 ROUNDS = 16
 
 DEPENDENCY = "struct<groupId:string,artifactId:string,version:string,scope:string,type:string>"
@@ -50,6 +52,7 @@ def ancestors(poms: DataFrame, most: int = 64) -> DataFrame:
 
     One join a level until no row has a known parent that it hasn't met; more than `most` levels raise an error.
     """
+    checkpoints(poms.sparkSession)
     up = poms.where("pom is not null").groupBy("pom").agg(F.max("parent").alias("parent"))
     known = up.select(F.col("pom").alias("ancestor"), F.col("parent").alias("above"))
     front = known.select(F.col("ancestor").alias("pom"), "ancestor", "above", F.array("ancestor").alias("met"), F.lit(0).alias("distance")).checkpoint()
@@ -74,34 +77,35 @@ def effective_properties(poms: DataFrame, above: DataFrame) -> DataFrame:
 def effective_versions(poms: DataFrame, most: int = 16) -> DataFrame:
     """pom, group, artifact, version: the managed versions that hold for a pom.
 
-    Its own entries count before its parents' (the nearest), and these before imported lists (scope import, kind pom), in the
-    order of the imports; imports of imports come after. An entry whose version can't be resolved is left out.
+    Its own entries count before its parents' (the nearest), and these before imported lists (scope import, kind pom): those of
+    the topmost parent come first, its own last, each in order; a list brings in its own effective versions. Versions are
+    resolved where they stand; entries that can't be are left out.
     """
     above = ancestors(poms)
     own = effective_properties(poms, above)
-    entries = poms.where("pom is not null").select(F.col("pom").alias("ancestor"), F.posexplode("managed").alias("at", "m"))
-    entries = above.join(entries, "ancestor").join(own, "pom")
+    entries = poms.where("pom is not null").select("pom", F.posexplode("managed").alias("at", "m")).join(own, "pom")
     is_import = F.coalesce((F.col("m.scope") == "import") & (F.col("m.kind") == "pom"), F.lit(False))
     value = lambda x: resolved(F.col(x), F.col("properties"), F.col("pom"))
-    direct = entries.where(~is_import & F.col("m.version").isNotNull()).select("pom", "distance", F.col("m.group").alias("group"), F.col("m.artifact").alias("artifact"), value("m.version").alias("version"))
-    direct = direct.groupBy("pom", "group", "artifact").agg(F.min_by("version", "distance").alias("version"))
-    imports = entries.where(is_import & (F.col("distance") == 0)).select("pom", "at", F.concat_ws(":", value("m.group"), F.col("m.artifact"), value("m.version")).alias("bom")).where("bom is not null").checkpoint()
-    # lists that come in by imports, a level of imports at a time; places keep their order
-    met = imports.select("pom", F.array("at").alias("order"), "bom", F.array("pom", "bom").alias("met")).where("pom <> bom")
-    ranked = direct.withColumn("rank_", F.array(F.lit(-1)))
+    mine = entries.where(~is_import).select("pom", F.col("m.group").alias("group"), F.col("m.artifact").alias("artifact"), value("m.version").alias("version")).where("version is not null")
+    chain = above.withColumnRenamed("pom", "child").withColumnRenamed("ancestor", "pom")
+    direct = chain.join(mine, "pom").groupBy(F.col("child").alias("pom"), "group", "artifact").agg(F.min_by("version", "distance").alias("version")).checkpoint()
+    coordinate = F.when(value("m.group").isNotNull() & value("m.version").isNotNull(), F.concat_ws(":", value("m.group"), F.col("m.artifact"), value("m.version")))
+    imports = entries.where(is_import).select("pom", "at", coordinate.alias("bom")).where("bom is not null")
+    imports = chain.join(imports, "pom").select(F.col("child").alias("pom"), F.array(F.lit(1), -F.col("distance"), F.col("at")).alias("place"), "bom").checkpoint()
+    # lists that come in by imports, a level of imports at a time
+    met = imports.where("pom <> bom").select("pom", F.col("place").alias("order"), "bom", F.array("pom", "bom").alias("met"))
+    ranked = direct.withColumn("rank_", F.array(F.lit(0)))
     for _ in range(most):
         met = met.checkpoint()
         if met.isEmpty():
             break
-        listed = met.select("pom", "order", F.col("bom")).join(direct.withColumnRenamed("pom", "bom"), "bom").select("pom", "group", "artifact", "version", F.col("order").alias("rank_"))
+        listed = met.select("pom", "order", "bom").join(direct.withColumnRenamed("pom", "bom"), "bom").select("pom", "group", "artifact", "version", F.concat("order", F.array(F.lit(0))).alias("rank_"))
         ranked = ranked.unionByName(listed)
-        deeper = imports.select(F.col("pom").alias("bom"), "at", F.col("bom").alias("next"))
-        met = met.join(deeper, "bom").where(~F.array_contains("met", F.col("next"))).select("pom", F.concat("order", F.array("at")).alias("order"), F.col("next").alias("bom"), F.concat("met", F.array("next")).alias("met"))
+        deeper = imports.select(F.col("pom").alias("bom"), "place", F.col("bom").alias("next"))
+        met = met.join(deeper, "bom").where(~F.array_contains("met", F.col("next"))).select("pom", F.concat("order", "place").alias("order"), F.col("next").alias("bom"), F.concat("met", F.array("next")).alias("met"))
     else:
         raise RuntimeError(f"imports are nested more than {most} levels deep")
-    # a null version of the nearest entry hides the others, as an entry that can't be resolved does
-    best = ranked.groupBy("pom", "group", "artifact").agg(F.min_by(F.struct("version"), F.struct("rank_")).alias("b"))
-    return best.select("pom", "group", "artifact", F.col("b.version").alias("version")).where("version is not null")
+    return ranked.groupBy("pom", "group", "artifact").agg(F.min_by("version", "rank_").alias("version"))
 
 
 def dependencies(poms: DataFrame, include_test: bool = False) -> DataFrame:

@@ -53,16 +53,21 @@ def dedup_merge(rows: DataFrame, keys: list[str], *, conf: str, ord_: str, winne
     return out.select(*keys, *(F.col(f"best_.{w}").alias(w) for w in winner), "n_rows", *([flag] if flag else []), *firsts, *unions)
 
 
-#: Row kinds that only add provenance to rows found on disk.
-SECONDARY = ("declared-not-cached", "transitive")
+#: Row kinds that only add provenance to rows found on disk, and the marks they leave.
+MARKS = {"declared-not-cached": "deps.dev", "transitive": "maven-cache-bfs"}
+SECONDARY = tuple(MARKS)
+
+
+def mark_of(kind: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in MARKS.items() for x in kv)), kind)
 
 
 def merged_tier(rows: DataFrame, keys: list[str], conf: str, ord_: str) -> DataFrame:
     """keys, sbom_tier, source_type, provenance: the winner's tier changed by the rows after it, in order of confidence.
 
-    rows has ecosystem, sbom_tier, source_type and has_sha256. A secondary row marks its kind and, if the merged row has a
-    sha256 by then, raises a missing or `analyzed` tier to `deployed`; other rows fill what is missing. In ecosystem golang
-    analyzed and source together give source.
+    rows has ecosystem, sbom_tier, source_type and has_sha256. Where the merged row has a sha256 by then, a secondary row leaves its
+    mark and raises a missing or `analyzed` tier to `deployed`; other rows fill what is missing. In ecosystem golang a row of
+    tier source turns analyzed into source, whatever its kind.
     """
     one = F.struct((-F.col(conf)).alias("c"), F.col(ord_).alias("o"), "ecosystem", "sbom_tier", "source_type", "has_sha256")
     packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("all_"))
@@ -72,10 +77,10 @@ def merged_tier(rows: DataFrame, keys: list[str], conf: str, ord_: str) -> DataF
         secondary = F.coalesce(x["source_type"].isin(*SECONDARY), F.lit(False))
         sha = acc["sha"] | F.coalesce(x["has_sha256"], F.lit(False))
         raised = F.when(sha & (acc["tier"].isNull() | (acc["tier"] == "analyzed")), F.lit("deployed")).otherwise(acc["tier"])
-        golang = (x["ecosystem"] == "golang") & (F.coalesce(acc["tier"], F.lit("")) == "analyzed") & (F.coalesce(x["sbom_tier"], F.lit("")) == "source")
-        filled = F.when(golang, F.lit("source")).otherwise(F.coalesce(acc["tier"], x["sbom_tier"]))
-        marks = F.when(secondary, F.array_union(acc["marks"], F.array(x["source_type"]))).otherwise(acc["marks"])
-        return F.struct(F.when(secondary, raised).otherwise(filled).alias("tier"), F.when(secondary, acc["kind"]).otherwise(F.coalesce(acc["kind"], x["source_type"])).alias("kind"), sha.alias("sha"), marks.alias("marks"))
+        tier = F.when(secondary, raised).otherwise(F.coalesce(acc["tier"], x["sbom_tier"]))
+        golang = F.coalesce((x["ecosystem"] == "golang") & (tier == "analyzed") & (x["sbom_tier"] == "source"), F.lit(False))
+        marks = F.when(secondary & sha, F.array_union(acc["marks"], F.array(mark_of(x["source_type"])))).otherwise(acc["marks"])
+        return F.struct(F.when(golang, F.lit("source")).otherwise(tier).alias("tier"), F.when(secondary, acc["kind"]).otherwise(F.coalesce(acc["kind"], x["source_type"])).alias("kind"), sha.alias("sha"), marks.alias("marks"))
 
     out = packed.withColumn("m_", F.aggregate(F.slice("all_", 2, F.greatest(F.size("all_") - 1, F.lit(0))), start, step))
     return out.select(*keys, F.col("m_.tier").alias("sbom_tier"), F.col("m_.kind").alias("source_type"), F.col("m_.marks").alias("provenance"))
@@ -91,10 +96,26 @@ def fold(rows: DataFrame, keys: list[str], secondary: Column, twin: Column, mark
     return on_disk.unionByName(stay, allowMissingColumns=True).drop("sec_", "twin_")
 
 
+def fold_declared(rows: DataFrame) -> DataFrame:
+    """Secondary rows go where a row on disk has their coordinate; each such row gets their marks and, if it has a sha256 and
+    its tier is missing or analyzed, the tier deployed.
+
+    rows: ecosystem, namespace, name, version, source_type, has_sha256, shaded, sbom_tier; out: the same and marks. Relocated (shaded) rows are no twins.
+    """
+    keys = ["ecosystem", "namespace", "name", "version"]
+    plain = rows.withColumns({"namespace": F.coalesce("namespace", F.lit("")), "mark_": mark_of(F.col("source_type"))})
+    secondary = F.col("source_type").isin(*SECONDARY)
+    twin = F.col("has_sha256") & ~F.coalesce("shaded", F.lit(False))
+    out = fold(plain, keys, secondary, twin, "mark_", "marks")
+    raised = F.col("marks").isNotNull() & F.coalesce("has_sha256", F.lit(False)) & (F.col("sbom_tier").isNull() | (F.col("sbom_tier") == "analyzed"))
+    return out.withColumn("sbom_tier", F.when(raised, F.lit("deployed")).otherwise(F.col("sbom_tier"))).drop("mark_")
+
+
 def first_seen(rows: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
-    """The first row of each key in the given order."""
-    by = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("rn_", F.row_number().over(by)).where("rn_ = 1").drop("rn_")
+    """The first row of each key in the given order, by an aggregate that is combined before the shuffle."""
+    place = F.struct(*((F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)))
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*(c for c in rows.columns if c not in keys)), place).alias("best_"))
+    return best.select(*(F.col(c) if c in keys else F.col(f"best_.{c}").alias(c) for c in rows.columns))
 
 
 def without_override(existing: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.types import FACTS
 from .documents import PREFIX
 
 #: Row id: label and rule. Rows from C1 on are the properties named.
@@ -150,7 +151,7 @@ def _spdx3(doc: dict) -> set[tuple[str, str]]:
 _EXTRACTORS = {"cyclonedx-json": _cyclonedx, "spdx-2.3-json": _spdx2, "spdx-3-json": _spdx3}
 
 
-@F.pandas_udf("array<struct<row_id:string,value:string>>")
+@F.pandas_udf(FACTS)
 def _facts(kind: pd.Series, document: pd.Series) -> pd.Series:
     return pd.Series([[{"row_id": r, "value": v} for r, v in sorted(_EXTRACTORS[k](json.loads(d)))] for k, d in zip(kind, document, strict=True)])
 

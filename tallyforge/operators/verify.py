@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.types import STRING
+
 ENVELOPE = "payloadType string, payload string, signatures array<struct<keyid:string,sig:string,cert:string,bundle:string>>"
 STATEMENT = "_type string, subject array<struct<name:string,digest:map<string,string>>>, predicateType string, predicate string"
 PAYLOAD_TYPE = "application/vnd.in-toto+json"
@@ -164,7 +166,7 @@ def apply_patch(document: str, patch: str, source: str | None = None) -> str:
     return json.dumps(doc, separators=(",", ":"), ensure_ascii=False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(STRING)
 def patched(document: pd.Series, patch: pd.Series) -> pd.Series:
     """apply_patch a row; null documents stay null, null patches change nothing."""
     return pd.Series([d if d is None or p is None else apply_patch(d, p) for d, p in zip(document, patch, strict=True)])

@@ -209,9 +209,14 @@ def open_close_map(spark, d):
     return table(spark, d, "events").where("event_type <> 'error'").select("event_id", F.when(F.col("event_type") == "view", "read").otherwise(F.col("event_type")).alias("op"))
 
 
-@query("""WITH b AS (SELECT page_id, split_part(url, '/', -1) AS base FROM pages) SELECT base, count(*) AS n, max(page_id) AS last_page, min(page_id) AS first_page FROM b GROUP BY 1""")
+@query("""
+WITH f AS (SELECT split_part(rtrim(url, '/'), '/', -1) AS base, arg_max(md5(url), page_id) AS hash, arg_min(url, page_id) AS file_path FROM pages GROUP BY 1)
+SELECT event_id, hash, file_path FROM events LEFT JOIN f ON base = CAST(user_id AS VARCHAR) AND base <> ''""")
 def basename_join(spark, d):
-    return table(spark, d, "pages").groupBy(F.element_at(F.split("url", "/"), -1).alias("base")).agg(F.count("*").alias("n"), F.max("page_id").alias("last_page"), F.min("page_id").alias("first_page"))
+    """Events as connections to /pool/<user>, met with pages as files of the same basename."""
+    files = table(spark, d, "pages").select(F.col("url").alias("path"), F.md5("url").alias("hash"), F.col("page_id").alias("ord"))
+    connections = table(spark, d, "events").select("event_id", F.concat(F.lit("/pool/"), F.col("user_id").cast("string")).alias("path"))
+    return merge.with_file(connections, files).select("event_id", "hash", "file_path")
 
 
 @query("""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages""")
@@ -267,7 +272,7 @@ def line_forward_fill(spark, d):
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_partkey <= 500),
+WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem),
 c(node) AS (SELECT CAST(7 AS BIGINT) UNION SELECT dst FROM c JOIN e ON src = node)
 SELECT node FROM c""")
 def closure_bfs(spark, d):

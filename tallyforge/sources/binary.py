@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.types import struct as struct_of
+
 BINARY = "class string, imports array<string>, stripped boolean, build_id string, note_package string, debuglink string, runpath array<string>, macho_uuid string, macho_rpath array<string>, macho_min_os string, pe_pdb_id string, pe_machine string, pe_subsystem string"
 
 MOST_BINARY, MOST_RPM, MOST_ENTRY = 500 << 20, 200 << 20, 64 << 20
@@ -160,7 +162,7 @@ def scanned(raw: bytes | None) -> dict | None:
     return {n: out.get(n, [] if n in ("imports", "runpath", "macho_rpath") else None) for n in names} if out else None
 
 
-@F.pandas_udf(BINARY)
+@F.pandas_udf(struct_of(BINARY))
 def binary_scan(content: pd.Series) -> pd.DataFrame:
     names = [f.split()[0] for f in BINARY.split(", ")]
     return pd.DataFrame([scanned(c) or dict.fromkeys(names) for c in content], columns=names)
@@ -203,7 +205,7 @@ def build_info(raw: bytes | None) -> dict | None:
         return {"status": "unsupported", "go_version": None, "mod_info": None}
 
 
-@F.pandas_udf("status string, go_version string, mod_info string")
+@F.pandas_udf(struct_of("status string, go_version string, mod_info string"))
 def go_build_info(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([build_info(c) or {"status": None, "go_version": None, "mod_info": None} for c in content], columns=["status", "go_version", "mod_info"])
 
@@ -284,7 +286,7 @@ def rpm_file(raw: bytes | None) -> dict | None:
 def _struct_udf(decode: Callable[[bytes], dict | None], schema: str):
     names = [f.split()[0] for f in schema.split(", ")]
 
-    @F.pandas_udf(schema)
+    @F.pandas_udf(struct_of(schema))
     def run(content: pd.Series) -> pd.DataFrame:
         rows = [decode(c) or dict.fromkeys(names) for c in content]
         return pd.DataFrame({n: pd.Series([r[n] for r in rows], dtype="Int32" if n == "epoch" else object) for n in names})

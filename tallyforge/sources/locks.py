@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.types import STRING
 from ..functions.wire import requirement_name
 from .text import _lines
 
@@ -27,7 +28,7 @@ def _toml(text: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(STRING)
 def toml_json(text: pd.Series) -> pd.Series:
     """TOML as JSON; null for what isn't TOML."""
     return text.map(_toml, na_action="ignore")

@@ -42,7 +42,7 @@ def test_merge_rules(spark):
     from pyspark.sql import functions as F
 
     got = {r.k: (r.sbom_tier, r.source_type, r.provenance) for r in merge.merged_tier(rows.withColumn("ecosystem", F.lit("npm")), ["k"], "conf", "ord").collect()}
-    assert got == {"g": ("deployed", None, ["transitive"]), "n": ("source", "git", [])}
+    assert got == {"g": ("deployed", None, ["maven-cache-bfs"]), "n": ("source", "git", [])}
 
 
 def test_closure_ends_on_cycles(spark):
