@@ -12,7 +12,8 @@ documents fitted) passes `limit`, a quantile of chi-squared, is rejected; base r
 
 The statistics are written once to the shared folder; every step reads that narrow table and sums it by (group, bin of
 distance), so that a group of any size is summed map-side and only a few hundred rows a group are shuffled. Groups of fewer
-than `least` documents are pooled by language; a pool that is still smaller rejects nothing beyond the base rules.
+than `least` documents are pooled by language, pools that are still smaller with each other; only where fewer than `fewest`
+documents are left in that last pool is there no fit, and nothing beyond the base rules is rejected there.
 
 Null and empty texts have no words and fail the base rule; null lang and source form groups of their own. Equal rows
 each give a row. Extra columns aren't read.
@@ -91,12 +92,14 @@ def sent(groups: DataFrame, most: int = 50_000) -> DataFrame:
 
 
 def grouped(rows: DataFrame, least: int) -> DataFrame:
-    """rows with grp: a struct of language and source, the source empty where the group is pooled."""
+    """rows with grp: g: and language and source, p: and the language where the group is pooled, r: for the last pool."""
     sizes = rows.groupBy("grp_lang", "grp_source").agg(F.count("*").alias("rows"))
-    small = sizes.where(F.col("rows") < least).select(F.col("grp_lang").alias("l"), F.col("grp_source").alias("s"), F.lit(True).alias("pooled"))
+    small = sizes.where(F.col("rows") < least)
+    pools = small.groupBy(F.col("grp_lang").alias("pool_lang")).agg((F.sum("rows") < least).alias("rest"))
+    small = small.join(pools, F.col("grp_lang").eqNullSafe(F.col("pool_lang"))).select(F.col("grp_lang").alias("l"), F.col("grp_source").alias("s"), F.lit(True).alias("pooled"), "rest")
     joined = rows.join(sent(stored(small, "small")), F.col("grp_lang").eqNullSafe(F.col("l")) & F.col("grp_source").eqNullSafe(F.col("s")), "left").drop("l", "s")
-    name = F.when(F.col("pooled"), F.concat(F.lit("p:"), F.to_json(F.struct("grp_lang")))).otherwise(F.concat(F.lit("g:"), F.to_json(F.struct("grp_lang", "grp_source"))))
-    return joined.withColumn("grp", name).drop("pooled", "grp_lang", "grp_source")
+    name = F.when(F.col("rest"), F.lit("r:")).when(F.col("pooled"), F.concat(F.lit("p:"), F.to_json(F.struct("grp_lang")))).otherwise(F.concat(F.lit("g:"), F.to_json(F.struct("grp_lang", "grp_source"))))
+    return joined.withColumn("grp", name).drop("pooled", "rest", "grp_lang", "grp_source")
 
 
 def starts(rows: DataFrame) -> DataFrame:
@@ -197,11 +200,11 @@ def mcd(rows: DataFrame, share: float = 0.5, limit: float = CHI2_LIMIT) -> DataF
     return scaled(rows, stored(before.join(last, "grp"), "mcd"), limit)
 
 
-def outliers(docs: DataFrame, *, limit: float = CHI2_LIMIT, least: int = 50, share: float = 0.5) -> DataFrame:
+def outliers(docs: DataFrame, *, limit: float = CHI2_LIMIT, least: int = 50, fewest: int = 10, share: float = 0.5) -> DataFrame:
     """The contract's rows, with grp and distance (squared, scaled to the group) beside them."""
     rows = stored(statistics(counts(docs)), "quality")
     rows = stored(grouped(rows, least), "quality")
     params = mcd(rows, share, limit)
-    joined = rows.join(sent(params).select("grp", "n_rows", "scale", *PARAMS), "grp", "left").withColumn("distance", F.when(F.col("n_rows") >= least, distance() / F.col("scale")))
+    joined = rows.join(sent(params).select("grp", "n_rows", "scale", *PARAMS), "grp", "left").withColumn("distance", F.when(F.col("n_rows") >= fewest, distance() / F.col("scale")))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= limit)
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "grp", "distance")
