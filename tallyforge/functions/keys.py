@@ -199,13 +199,16 @@ def module_escaped(path: Column) -> Column:
 
 def base32_id(x: Column, length: int = 16) -> Column:
     """The first `length` base-32 characters of the sha256 of x: five bits each, read from pairs of hex digits."""
-    digest = F.sha2(x, 256)
-    chars = []
-    for i in range(length):
-        digit, bit = divmod(5 * i, 4)
-        pair = F.conv(F.substring(digest, digit + 1, 2), 16, 10).cast("int")
-        chars.append(F.substr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), F.shiftright(pair, 3 - bit).bitwiseAND(31) + 1, F.lit(1)))
-    return F.concat(*chars)
+    def spelled(digest: Column) -> Column:
+        chars = []
+        for i in range(length):
+            digit, bit = divmod(5 * i, 4)
+            pair = F.conv(F.substring(digest, digit + 1, 2), 16, 10).cast("int")
+            chars.append(F.substr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), F.shiftright(pair, 3 - bit).bitwiseAND(31) + 1, F.lit(1)))
+        return F.concat(*chars)
+
+    # a lambda's argument is computed once, however often it is used
+    return F.transform(F.array(F.sha2(x, 256)), spelled)[0]
 
 
 def _pnpm_name(x: Column) -> Column:

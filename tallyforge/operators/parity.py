@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.types import FACTS
 from .documents import PREFIX
+from .lineage import checkpoints
 
 #: Row id: label and rule. Rows from C1 on are the properties named.
 ROWS = {
@@ -178,6 +179,8 @@ def compared(found: DataFrame) -> DataFrame:
 
 def report(found: DataFrame, formats: int = 3) -> DataFrame:
     """target, row_id, n_formats, verdict: pass if every format has some fact, gap if only some have, none if no one has."""
+    checkpoints(found.sparkSession)
+    found = found.select("target", "format", "row_id").distinct().checkpoint()  # documents are read once
     ids = found.sparkSession.createDataFrame([(r,) for r in (*ROWS, *PROPERTIES)], "row_id string")
     each = found.groupBy("target", "row_id").agg(F.count_distinct("format").alias("n_formats"))
     out = found.select("target").distinct().join(F.broadcast(ids)).join(each, ["target", "row_id"], "left").withColumn("n_formats", F.coalesce("n_formats", F.lit(0)))
