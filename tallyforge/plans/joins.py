@@ -117,7 +117,7 @@ def managed_dirs(spark, d):
     return parts(spark, d).select("k", joins.managed_dir(case(cat("usr/bin/", "nm"), cat("lib64/", "nm"), cat("opt/lib/", "nm"), cat("usr/local/bin/", "nm"))).alias("managed"))
 
 
-@query("""WITH c AS (SELECT page_id, split_part(url, '/', -1) AS base, url FROM pages), f AS (SELECT split_part(url, '/', -1) AS base, page_id AS ord, CASE WHEN page_id % 3 > 0 THEN md5(url) END AS hash, url AS path FROM pages WHERE split_part(url, '/', -1) <> ''),
+@query("""WITH c AS (SELECT page_id, split_part(url, '/', -1) AS base, url FROM pages), f AS (SELECT split_part(rtrim(url, '/'), '/', -1) AS base, page_id AS ord, CASE WHEN page_id % 3 > 0 THEN md5(url) END AS hash, url AS path FROM pages),
 g AS (SELECT base, arg_max(hash, ord) FILTER (WHERE hash IS NOT NULL) AS hash, arg_min(path, ord) AS file_path FROM f GROUP BY 1)
 SELECT c.page_id, g.hash, CASE WHEN g.hash IS NOT NULL THEN g.file_path END AS file_path FROM c LEFT JOIN g ON g.base = c.base AND g.hash IS NOT NULL""")
 def connection_file_join(spark, d):
