@@ -57,6 +57,15 @@ def stored(df: DataFrame, what: str, rows: int | None = None, per_task: int = 20
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the folder of a table that stored() made, when nothing that is still to be computed reads it."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/tallyforge-" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, however often body uses it (even inside lambdas)."""
     return F.transform(F.array(value), body)[0]

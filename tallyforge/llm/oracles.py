@@ -62,4 +62,23 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM f GROUP BY conv_id
 """
 
-ORACLES = {"op3_decontamination": DECONTAMINATION, "op7_ngram_jaccard_join": NGRAM_JOIN, "op8_chat_format": CHAT}
+
+
+def _clusters(k: int = 8, rounds: int = 10, dims: int = 64, scale: int = 1024) -> str:
+    """Plain rounds over all vectors, one after another."""
+    steps = [
+        f"v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), vec_id, e) - 1 AS c, e FROM v ORDER BY c LIMIT {k})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, v.e, min((list_sum(list_transform(list_zip(v.e, c.e), lambda z: CAST((z[1] - z[2]) * (z[1] - z[2]) AS BIGINT))), c.c)) AS best FROM v, c{r} c GROUP BY ALL)")
+        if r < rounds:
+            steps.append(f"s{r} AS (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT best[2] AS c, unnest(e) AS x, unnest(range({dims})) AS i FROM a{r}) GROUP BY ALL)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.c, coalesce(n.e, c.e) AS e FROM c{r} c LEFT JOIN (SELECT c, list((s - (s % n + n) % n) // n ORDER BY i) AS e FROM s{r} GROUP BY c) n ON n.c = c.c)")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, CAST(best[2] AS INTEGER) AS cluster, CAST(best[1] AS BIGINT) AS distance, CAST(sum(best[1]) OVER (PARTITION BY best[2]) AS BIGINT) AS cluster_inertia,
+  CAST(sum(best[1]) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.e, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c ON c.c = best[2]"""
+
+
+ORACLES = {"op3_decontamination": DECONTAMINATION, "op7_ngram_jaccard_join": NGRAM_JOIN, "op8_chat_format": CHAT, "op13_centroids": _clusters()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, langid, license_scan, ngram_join, pii, quality, sharding, sp_codec, toxicity
+from . import alignment, centroids, chat, decontam, langid, license_scan, ngram_join, pii, quality, sharding, sp_codec, token_counts, toxicity
 from .common import documents
 from .oracles import ORACLES
 
@@ -19,6 +19,13 @@ def model_path() -> str:
     return os.environ.get("TOKENIZER_MODEL", MODEL)
 
 
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -35,6 +42,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": lambda s, d: chat.chat_digest(_table(s, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.probe(s))),
         "op9_sentencepiece": lambda s, d: sp_codec.encoding_digest(documents(s, d), model_path()),
         "op10_toxicity": lambda s, d: toxicity.toxicity(documents(s, d), _table(s, d, "labels")),
+        "op11_token_counts": lambda s, d: token_counts.token_counts(documents(s, d), vocabulary("piece_bpe_32k.model")),
+        "op12_alignment": lambda s, d: alignment.alignment(documents(s, d), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")),
+        "op13_centroids": lambda s, d: centroids.clusters(_table(s, d, "embeddings")),
     }
 
 
