@@ -20,7 +20,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -35,7 +36,8 @@ from .sp_codec import MARK, _gathered
 #: A place where neither tokenizer joins: before spaces that follow what isn't white space and are followed by more text.
 CUT = re.compile(r"(?<=\S)(?= +[^ ])")
 
-A_LEADS, B_LEADS, EVEN = 1, -1, 0
+#: What a state says: neither side is ahead, A is, or B is.
+EVEN, A_LEADS, B_LEADS = 0, 1, 2
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -45,50 +47,75 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class TokenBytes(dict):
+    """The bytes of ids, looked up once each."""
+
+    def __init__(self, of: Callable[[int], bytes]) -> None:
+        self.of = of
+
+    def __missing__(self, token: int) -> bytes:
+        self[token] = out = self.of(token)
+        return out
+
+
 class Transducer:
-    """Groups of two token sequences; side_a and side_b: the bytes of each id."""
-
-    def __init__(self, side_a: list[bytes], side_b: list[bytes], most: int = 1 << 20) -> None:
-        self.bytes = {A_LEADS: side_b, B_LEADS: side_a}  # what the side behind reads
-        self.side_a, self.most = side_a, most
-        self.memo: dict[tuple[int, bytes, int], tuple[int, bytes] | None] = {}
-
-    def step(self, lead: int, left: bytes, token: int) -> tuple[int, bytes] | None:
-        """The state after the side behind has read a token; None where the bytes differ."""
-        key = (lead, left, token)
-        if key not in self.memo:
-            if len(self.memo) >= self.most:
-                self.memo.clear()
-            read = self.bytes[lead][token]
-            if left.startswith(read):
-                rest = left[len(read) :]
-                self.memo[key] = (lead if rest else EVEN, rest)
-            else:
-                self.memo[key] = (-lead, read[len(left) :]) if read.startswith(left) else None
-        return self.memo[key]
+    """Groups of two token sequences; side_a and side_b give the bytes of ids.
+
+    States are numbered (side that leads, unmatched bytes); 0 is the even one. A leads after its token was read in the even state. Steps
+    are kept by state and token; beyond `most` states all are forgotten between two calls.
+    """
+
+    def __init__(self, side_a, side_b, most: int = 1 << 18) -> None:
+        self.side_a, self.side_b, self.most = side_a, side_b, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.states, self.leads = [(EVEN, b"")], [EVEN]
+        self.numbers = {(EVEN, b""): 0}
+        self.memo: dict[int, int] = {}
+
+    def step(self, state: int, token: int) -> int:
+        """The state after the side that is behind has read a token; -1 where the bytes differ."""
+        lead, left = self.states[state]
+        read = (self.side_b if lead == A_LEADS else self.side_a)[token]
+        if lead == EVEN:
+            found = (A_LEADS, read)
+        elif left.startswith(read):
+            rest = left[len(read) :]
+            found = (lead if rest else EVEN, rest)
+        else:
+            found = (A_LEADS + B_LEADS - lead, read[len(left) :]) if read.startswith(left) else None
+        out = -1 if found is None else self.numbers.setdefault(found, len(self.states))
+        if out == len(self.states):
+            self.states.append(found)
+            self.leads.append(found[0])
+        self.memo[state << 32 | token] = out
+        return out
 
     def groups(self, a: list[int], b: list[int]) -> list[tuple[int, int]] | None:
         """Where each group ends in a and in b; None where the two write different bytes."""
-        ends, i, j, lead, left = [], 0, 0, EVEN, b""
+        if len(self.states) > self.most:
+            self.forget()
+        memo, leads, ends = self.memo, self.leads, []
+        i = j = state = 0
         while i < len(a) or j < len(b):
-            if lead == EVEN:
-                if i == len(a):
+            if leads[state] == A_LEADS:
+                if j == len(b):
                     return None
-                lead, left = A_LEADS, self.side_a[a[i]]
-                i += 1
-                continue
-            if lead == A_LEADS:
-                state = self.step(lead, left, b[j]) if j < len(b) else None
+                token = b[j]
                 j += 1
             else:
-                state = self.step(lead, left, a[i]) if i < len(a) else None
+                if i == len(a):
+                    return None
+                token = a[i]
                 i += 1
-            if state is None:
+            to = memo.get(state << 32 | token)
+            state = self.step(state, token) if to is None else to
+            if state < 0:
                 return None
-            lead, left = state
-            if lead == EVEN:
+            if state == 0:
                 ends.append((i, j))
-        return ends if lead == EVEN else None
+        return None if state else ends
 
 
 class Aligner:
@@ -104,11 +131,14 @@ class Aligner:
         self.a.no_truncation()
         self.a.no_padding()
         alphabet = byte_alphabet()
-        # ids of special tokens are never given; their strings may hold characters that stand for no byte
-        of_a = [bytes(alphabet.get(c, 0) for c in self.a.id_to_token(i) or "") for i in range(self.a.get_vocab_size())]
-        of_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(map(self.b.id_to_piece, range(self.b.vocab_size())))]
-        self.side_a = of_a
-        self.transducer = Transducer(of_a, of_b)
+
+        def of_b(i: int) -> bytes:
+            p = self.b.id_to_piece(i)
+            return bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode()
+
+        # special tokens are not written, so that all characters of an id stand for bytes
+        self.side_a = TokenBytes(lambda i: bytes(map(alphabet.__getitem__, self.a.id_to_token(i))))
+        self.transducer = Transducer(self.side_a, TokenBytes(of_b))
 
     def piece(self, piece: str, a: list[int], b: list[int]) -> list[tuple[int, int]] | None:
         """Group ends of a piece, or None where a side does not write its bytes."""
@@ -137,9 +167,10 @@ def linked(a: list[int], b: list[int], ends: list[tuple[int, int]]) -> dict[int,
             key = a[i] << 32 | b[j]
             out[key] = out.get(key, 0) + 1
         else:
-            ours, theirs = (np.unique(s, return_counts=True) for s in (a[i:x], b[j:y]))
-            for p, m in zip(*map(np.ndarray.tolist, ours), strict=True):
-                for q, n in zip(*map(np.ndarray.tolist, theirs), strict=True):
+            # large groups repeat ids, as in long runs of one character
+            theirs = Counter(b[j:y]).items()
+            for p, m in Counter(a[i:x]).items():
+                for q, n in theirs:
                     out[p << 32 | q] = out.get(p << 32 | q, 0) + m * n
         i, j = x, y
     return out
