@@ -133,19 +133,3 @@ def parent_coordinates(poms: DataFrame) -> DataFrame:
     out = poms.join(up, "parent_artifact", "left").select("artifact", F.coalesce(own("group"), own("parent_group"), F.col("up_.group")).alias("group"), F.coalesce(own("version"), own("parent_version"), F.col("up_.version")).alias("version"))
     return out.where("`group` is not null and version is not null")
 
-
-#: Groups that many unrelated projects share, so that a class path below them proves nothing.
-SHARED_GROUPS = ("org.apache", "com.google", "org.eclipse", "com.fasterxml", "org.codehaus", "javax", "jakarta")
-
-
-def with_bytecode(ancestors: DataFrame, classes: DataFrame) -> DataFrame:
-    """ancestors (jar, group, artifact) that the jar's classes (jar, path) show: below the group's folder, unless many share
-    it, or below a folder named like the artifact. Paths are exploded into their folders, so that both are equi joins.
-    """
-    parts = F.split("path", "/")
-    chain = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-    folders = classes.select("jar", F.explode(chain).alias("folder")).distinct()
-    leaves = classes.select("jar", F.explode(F.slice(parts, 1, F.size(parts) - 1)).alias("leaf")).distinct()
-    a = ancestors.withColumns({"folder": F.replace("group", F.lit("."), F.lit("/")), "leaf": F.lower("artifact")})
-    shown = a.where(~F.col("group").isin(*SHARED_GROUPS)).join(folders, ["jar", "folder"], "left_semi")
-    return shown.select(*ancestors.columns).unionByName(a.join(leaves, ["jar", "leaf"], "left_semi").select(*ancestors.columns)).distinct()

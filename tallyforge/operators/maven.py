@@ -47,23 +47,25 @@ def resolved(raw: Column, properties: Column, pom: Column) -> Column:
     return F.when((raw != "") & ~F.contains(out, F.lit("${")), out)
 
 
-def ancestors(poms: DataFrame, most: int = 64) -> DataFrame:
+def ancestors(poms: DataFrame) -> DataFrame:
     """pom, ancestor, distance: every pom itself (0) and the parents above it that are known; a cycle ends the walk.
 
-    One join a level until no row has a known parent that it hasn't met; more than `most` levels raise an error.
+    The distance that is covered doubles with each join, so that the number of joins grows with the logarithm of the depth. It ends
+    when no pom gains an ancestor: the chains have then ended or come back to where they were.
     """
     checkpoints(poms.sparkSession)
-    up = poms.where("pom is not null").groupBy("pom").agg(F.max("parent").alias("parent"))
-    known = up.select(F.col("pom").alias("ancestor"), F.col("parent").alias("above"))
-    front = known.select(F.col("ancestor").alias("pom"), "ancestor", "above", F.array("ancestor").alias("met"), F.lit(0).alias("distance")).checkpoint()
-    out = front.select("pom", "ancestor", "distance")
-    for level in range(1, most + 1):
-        step = front.select("pom", F.col("above").alias("ancestor"), "met").where(F.col("ancestor").isNotNull() & ~F.array_contains("met", F.col("ancestor")))
-        front = step.join(known, "ancestor").select("pom", "ancestor", "above", F.concat("met", F.array("ancestor")).alias("met"), F.lit(level).alias("distance")).checkpoint()
-        if front.isEmpty():
-            return out
-        out = out.unionByName(front.select("pom", "ancestor", "distance"))
-    raise RuntimeError(f"parents are nested more than {most} levels deep")
+    up = poms.where("pom is not null").groupBy("pom").agg(F.max("parent").alias("parent")).checkpoint()
+    row = lambda pom, ancestor, distance: (F.col(pom).alias("pom"), F.col(ancestor).alias("ancestor"), distance.alias("distance"))
+    new = up.join(up.select(F.col("pom").alias("parent")), "parent").where("pom <> parent").select(*row("pom", "parent", F.lit(1))).checkpoint()
+    out, reach = up.select(*row("pom", "pom", F.lit(0))), 1
+    while not new.isEmpty():
+        out = out.unionByName(new)
+        # who stands `reach` above a pom knows all its own ancestors up to `reach`
+        far = new.where(F.col("distance") == reach).select("pom", F.col("ancestor").alias("mid_"))
+        more = far.join(out.where("distance > 0").select(F.col("pom").alias("mid_"), "ancestor", "distance"), "mid_").select("pom", "ancestor", (F.col("distance") + reach).alias("distance"))
+        new = more.join(out.select("pom", "ancestor"), ["pom", "ancestor"], "left_anti").groupBy("pom", "ancestor").agg(F.min("distance").alias("distance")).checkpoint()
+        reach *= 2
+    return out
 
 
 def effective_properties(poms: DataFrame, above: DataFrame) -> DataFrame:
@@ -74,58 +76,134 @@ def effective_properties(poms: DataFrame, above: DataFrame) -> DataFrame:
     return above.select("pom").distinct().join(packed, "pom", "left").withColumn("properties", F.coalesce("properties", F.create_map().cast("map<string,string>")))
 
 
-def effective_versions(poms: DataFrame, most: int = 16) -> DataFrame:
-    """pom, group, artifact, version: the managed versions that hold for a pom.
+def _and(table: DataFrame | None, more: DataFrame) -> DataFrame:
+    return more if table is None else table.unionByName(more)
 
-    Its own entries count before its parents' (the nearest), and these before imported lists (scope import, kind pom): those of
-    the topmost parent come first, its own last, each in order; a list brings in its own effective versions. Versions are
-    resolved where they stand; entries that can't be are left out.
+
+class Models:
+    """Effective models of poms, made when they are asked for and each made once.
+
+    poms are stored, and who stands above whom is known for all; properties, managed versions and imports are made by load() for
+    the poms it is given, those above them and the lists they import, as far as they aren't there yet, and kept in tables that
+    grow. made: how many were made by each step of load().
     """
-    above = ancestors(poms)
-    own = effective_properties(poms, above)
-    entries = poms.where("pom is not null").select("pom", F.posexplode("managed").alias("at", "m")).join(own, "pom")
-    is_import = F.coalesce((F.col("m.scope") == "import") & (F.col("m.kind") == "pom"), F.lit(False))
-    value = lambda x: resolved(F.col(x), F.col("properties"), F.col("pom"))
-    mine = entries.where(~is_import).select("pom", F.col("m.group").alias("group"), F.col("m.artifact").alias("artifact"), value("m.version").alias("version")).where("version is not null")
-    chain = above.withColumnRenamed("pom", "child").withColumnRenamed("ancestor", "pom")
-    direct = chain.join(mine, "pom").groupBy(F.col("child").alias("pom"), "group", "artifact").agg(F.min_by("version", "distance").alias("version")).checkpoint()
-    coordinate = F.when(value("m.group").isNotNull() & value("m.version").isNotNull(), F.concat_ws(":", value("m.group"), F.col("m.artifact"), value("m.version")))
-    imports = entries.where(is_import).select("pom", "at", coordinate.alias("bom")).where("bom is not null")
-    imports = chain.join(imports, "pom").select(F.col("child").alias("pom"), F.array(F.lit(1), -F.col("distance"), F.col("at")).alias("place"), "bom").checkpoint()
-    # lists that come in by imports, a level of imports at a time
-    met = imports.where("pom <> bom").select("pom", F.col("place").alias("order"), "bom", F.array("pom", "bom").alias("met"))
-    ranked = direct.withColumn("rank_", F.array(F.lit(0)))
-    for _ in range(most):
-        met = met.checkpoint()
-        if met.isEmpty():
-            break
-        listed = met.select("pom", "order", "bom").join(direct.withColumnRenamed("pom", "bom"), "bom").select("pom", "group", "artifact", "version", F.concat("order", F.array(F.lit(0))).alias("rank_"))
-        ranked = ranked.unionByName(listed)
-        deeper = imports.select(F.col("pom").alias("bom"), "place", F.col("bom").alias("next"))
-        met = met.join(deeper, "bom").where(~F.array_contains("met", F.col("next"))).select("pom", F.concat("order", "place").alias("order"), F.col("next").alias("bom"), F.concat("met", F.array("next")).alias("met"))
-    else:
-        raise RuntimeError(f"imports are nested more than {most} levels deep")
-    return ranked.groupBy("pom", "group", "artifact").agg(F.min_by("version", "rank_").alias("version"))
+
+    def __init__(self, poms: DataFrame) -> None:
+        checkpoints(poms.sparkSession)
+        self.poms = poms.where("pom is not null").checkpoint()
+        self.above = ancestors(self.poms).checkpoint()
+        self.made: list[int] = []
+        self.done = self.own = self.mine = self.lists = self.direct = self.imports = None
+
+    def load(self, wanted: DataFrame) -> None:
+        """Makes the models of wanted (pom)."""
+        while True:
+            need = self.above.join(wanted.select("pom").distinct(), "pom").select(F.col("ancestor").alias("pom")).distinct()
+            need = (need if self.done is None else need.join(self.done, "pom", "left_anti")).checkpoint()
+            if need.isEmpty() and self.done is not None:
+                return
+            self.made.append(need.count())
+            self.done = _and(self.done, need)
+            chain = self.above.join(need, "pom").checkpoint()
+            own = effective_properties(self.poms, chain).checkpoint()
+            entries = self.poms.join(need, "pom", "left_semi").select("pom", F.posexplode("managed").alias("at", "m")).join(own, "pom")
+            is_import = F.coalesce((F.col("m.scope") == "import") & (F.col("m.kind") == "pom"), F.lit(False))
+            value = lambda x: resolved(F.col(x), F.col("properties"), F.col("pom"))
+            entries = entries.select("pom", "at", is_import.alias("is_import"), F.col("m.group").alias("raw_group"), value("m.group").alias("group"), F.col("m.artifact").alias("artifact"), value("m.version").alias("version")).where("version is not null").checkpoint()
+            mine = entries.where(~F.col("is_import")).select("pom", F.col("raw_group").alias("group"), "artifact", "version")
+            lists = entries.where(F.col("is_import") & F.col("group").isNotNull()).select("pom", "at", F.concat_ws(":", "group", "artifact", "version").alias("bom"))
+            self.own, self.mine, self.lists = _and(self.own, own), _and(self.mine, mine), _and(self.lists, lists)
+            above = chain.withColumnRenamed("pom", "child").withColumnRenamed("ancestor", "pom")
+            direct = above.join(self.mine, "pom").groupBy(F.col("child").alias("pom"), "group", "artifact").agg(F.min_by("version", "distance").alias("version")).checkpoint()
+            # the topmost parent's lists come first, a pom's own last, each in order
+            place = F.array(F.lit(1), -F.col("distance"), F.col("at"))
+            imports = above.join(self.lists, "pom").where("child <> bom").groupBy(F.col("child").alias("pom"), "bom").agg(F.min(place).alias("place")).checkpoint()
+            self.direct, self.imports = _and(self.direct, direct), _and(self.imports, imports)
+            wanted = imports.select(F.col("bom").alias("pom"))
+
+    def _lists(self, wanted: DataFrame) -> DataFrame:
+        """pom, bom, place: all lists that come in by imports of wanted, each at the best place at which it does.
+
+        A list that is met again at a worse place brings nothing that the better one doesn't; a place that is found to be better
+        is passed on, until none is.
+        """
+        best = front = self.imports.join(wanted, "pom", "left_semi").checkpoint()
+        deeper = self.imports.select(F.col("pom").alias("bom"), F.col("bom").alias("next"), F.col("place").alias("then"))
+        while not front.isEmpty():
+            found = front.join(deeper, "bom").where("pom <> next").groupBy("pom", F.col("next").alias("bom")).agg(F.min(F.concat("place", "then")).alias("place"))
+            known = best.select("pom", "bom", F.col("place").alias("before"))
+            front = found.join(known, ["pom", "bom"], "left").where("before is null or place < before").select("pom", "bom", "place").checkpoint()
+            if not front.isEmpty():
+                best = best.join(front, ["pom", "bom"], "left_anti").unionByName(front).checkpoint()
+        return best
+
+    def versions(self, wanted: DataFrame) -> DataFrame:
+        """pom, group, artifact, version: the managed versions that hold for wanted (pom), which load() has been given.
+
+        A pom's own entries count before its parents' (the nearest), and these before imported lists (scope import, kind pom): those
+        of the topmost parent come first, its own last, each in order; a list brings in its own effective versions. Versions are
+        resolved where they stand; entries that can't be are left out.
+        """
+        wanted = wanted.select("pom").distinct()
+        mine = self.direct.join(wanted, "pom", "left_semi").withColumn("rank_", F.array(F.lit(0)))
+        listed = self._lists(wanted).join(self.direct.withColumnRenamed("pom", "bom"), "bom").select("pom", "group", "artifact", "version", F.concat("place", F.array(F.lit(0))).alias("rank_"))
+        return mine.unionByName(listed).groupBy("pom", "group", "artifact").agg(F.min_by("version", "rank_").alias("version"))
+
+    def dependencies(self, wanted: DataFrame, include_test: bool = False) -> DataFrame:
+        """pom, group, artifact, version, scope: what wanted (pom) need, versions resolved or managed (else null), test scope left out."""
+        wanted = wanted.select("pom").distinct()
+        rows = self.poms.join(wanted, "pom", "left_semi").select("pom", F.explode("depends").alias("d")).join(self.own, "pom")
+        rows = rows if include_test else rows.where(F.coalesce(F.col("d.scope"), F.lit("compile")) != "test")
+        value = lambda x: resolved(F.col(x), F.col("properties"), F.col("pom"))
+        rows = rows.select("pom", value("d.group").alias("group"), F.col("d.artifact").alias("artifact"), value("d.version").alias("own_"), F.col("d.scope").alias("scope"))
+        return rows.join(self.versions(wanted), ["pom", "group", "artifact"], "left").select("pom", "group", "artifact", F.coalesce("own_", "version").alias("version"), "scope")
+
+
+def effective_versions(poms: DataFrame) -> DataFrame:
+    """Models.versions of all poms."""
+    models = Models(poms)
+    models.load(models.poms)
+    return models.versions(models.poms)
 
 
 def dependencies(poms: DataFrame, include_test: bool = False) -> DataFrame:
-    """pom, group, artifact, version, scope: what a pom needs, versions resolved or managed (else null), test scope left out."""
-    above = ancestors(poms)
-    own = effective_properties(poms, above)
-    managed = effective_versions(poms)
-    rows = poms.where("pom is not null").select("pom", F.explode("depends").alias("d")).join(own, "pom")
-    rows = rows if include_test else rows.where(F.coalesce(F.col("d.scope"), F.lit("compile")) != "test")
-    value = lambda x: resolved(F.col(x), F.col("properties"), F.col("pom"))
-    rows = rows.select("pom", value("d.group").alias("group"), F.col("d.artifact").alias("artifact"), value("d.version").alias("own_"), F.col("d.scope").alias("scope"))
-    return rows.join(managed, ["pom", "group", "artifact"], "left").select("pom", "group", "artifact", F.coalesce("own_", "version").alias("version"), "scope")
-
-
-def transitive(needs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """pom, level: what the seeds (pom) need directly and further on; each coordinate once, cycles end the walk."""
-    from .graph import closure
-
-    edges = needs.where("version is not null").select(F.col("pom").alias("src"), F.concat_ws(":", "group", "artifact", "version").alias("dst")).distinct()
-    return closure(edges, seeds.select(F.col("pom").alias("node"))).where("level > 0").select(F.col("node").alias("pom"), "level")
+    """Models.dependencies of all poms."""
+    models = Models(poms)
+    models.load(models.poms)
+    return models.dependencies(models.poms, include_test)
+
+
+def transitive(poms: DataFrame, seeds: DataFrame, *, on_disk: DataFrame | None = None, declared: bool = False, include_test: bool = False) -> DataFrame:
+    """pom, level, known, emitted, depends: what the seeds (pom) need directly and further on, with the seeds (level 0).
+
+    poms may have in_tree: whether the file lies in what is being scanned (true), or was found elsewhere. The walk goes through
+    every coordinate once, and on through all whose pom is known; emitted is what the inventory lists: a pom in the tree whose
+    archive is among on_disk (pom), or any if that isn't given; and if declared, also a coordinate whose pom isn't known. depends
+    are the artifacts that a pom needs in a version that is known. Models are made for the frontier only.
+    """
+    models = Models(poms)
+    text = lambda *xs: F.concat_ws(":", *xs)
+    front, level, needs = seeds.select("pom").where("pom is not null").distinct().withColumn("level", F.lit(0)).checkpoint(), 0, None
+    seen = front
+    while not front.isEmpty():
+        models.load(front)
+        found = models.dependencies(front, include_test).where("`group` is not null and version <> ''").checkpoint()
+        needs, level = _and(needs, found), level + 1
+        front = found.select(text("group", "artifact", "version").alias("pom")).distinct().join(seen.select("pom"), "pom", "left_anti").withColumn("level", F.lit(level)).checkpoint()
+        seen = seen.unionByName(front)
+    in_tree = F.col("in_tree") if "in_tree" in poms.columns else F.lit(True)
+    files = models.poms.groupBy("pom").agg(F.bool_or(in_tree).alias("in_tree_"))
+    out = seen.join(files, "pom", "left").withColumn("known", F.col("in_tree_").isNotNull())
+    if on_disk is None:
+        out = out.withColumn("there_", F.lit(True))
+    else:
+        out = out.join(on_disk.select("pom", F.lit(True).alias("there_")).distinct(), "pom", "left")
+    emitted = F.when(F.col("known"), F.col("in_tree_") & F.coalesce("there_", F.lit(False))).otherwise(F.lit(declared))
+    if needs is not None:
+        out = out.join(needs.groupBy("pom").agg(F.array_sort(F.collect_set("artifact")).alias("depends")), "pom", "left")
+    else:
+        out = out.withColumn("depends", F.lit(None).cast("array<string>"))
+    return out.select("pom", "level", "known", emitted.alias("emitted"), F.coalesce("depends", F.array().cast("array<string>")).alias("depends"))
 
 
 def reader_order(*tables: DataFrame) -> DataFrame:

@@ -1,3 +1,3 @@
 """Named queries; importing the package registers them all."""
 
-from . import binaries, chains, documents, inventory, joins, readers, scalars  # noqa: F401
+from . import binaries, chains, documents, inventory, joins, projects, readers, scalars  # noqa: F401

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import licenses
-from ..operators import joins, merge
+from ..operators import jars, joins, merge
 from .inventory import query, table
 from .scalars import P, case, cat, parts, sql_case
 
@@ -102,14 +102,17 @@ def sidecar_parents(spark, d):
     return joins.parent_coordinates(p.where("k % 3 <> 1 or k % 4 <> 3").drop("k").unionByName(base))
 
 
-@query(f"{P} SELECT b AS jar, 'org.o' || (k % 5) AS \"group\", nm AS artifact FROM p WHERE k % 5 < 2 OR k % 5 = 3 GROUP BY ALL UNION SELECT b, 'org.apache', 'a' || nm FROM p WHERE k % 7 = 0")
+@query(f"{P} SELECT b AS jar, 'org.o' || (k % 5) AS \"group\", replace(nm, '-', '_') AS artifact FROM p WHERE k % 5 IN (0, 3) GROUP BY ALL UNION SELECT b, 'org.apache', 'a' || replace(nm, '-', '_') FROM p WHERE k % 7 = 0")
 def bytecode_presence(spark, d):
-    p = parts(spark, d)
+    p = parts(spark, d).withColumn("nm", F.replace("nm", F.lit("-"), F.lit("_")))
     ancestors = p.select(F.col("b").alias("jar"), F.concat(F.lit("org.o"), (F.col("k") % 5).cast("string")).alias("group"), F.col("nm").alias("artifact")).distinct()
     shared = p.where("k % 7 < 2").select(F.col("b").alias("jar"), F.lit("org.apache").alias("group"), F.concat(F.when(F.col("k") % 7 == 0, "a").otherwise("z"), "nm").alias("artifact")).distinct()
-    classes = p.select(F.col("b").alias("jar"), F.explode(F.array(*(F.lit(f"org/o{i}/util/X.class") for i in (0, 1, 3)), F.lit("org/apache/X.class"))).alias("path"))
-    leaf = p.where("k % 7 = 0").select(F.col("b").alias("jar"), F.concat(F.lit("lib/a"), "nm", F.lit("/X.class")).alias("path"))
-    return joins.with_bytecode(ancestors.unionByName(shared), classes.unionByName(leaf))
+    # the jar's own group is org.o1, so that org/o1 proves nothing; nor do org/apache without a class, and first folders
+    own = F.struct(F.lit("org.o1").alias("group"), F.lit("own").alias("artifact"), F.lit("1").alias("version"))
+    classes = p.select(F.col("b").alias("jar"), F.explode(F.array(*(F.lit(f"org/o{i}/util/X.class") for i in (0, 1, 3)), F.lit("org/apache/x.txt"))).alias("path"))
+    leaf = p.where("k % 7 = 0").select(F.col("b").alias("jar"), F.concat(F.lit("lib/"), F.lit("a"), "nm", F.lit("/X.class")).alias("path"))
+    rows = ancestors.unionByName(shared).withColumn("own", own)
+    return jars.shown_by_bytecode(rows, classes.unionByName(leaf)).select("jar", "group", "artifact")
 
 
 @query(f"{P} SELECT k, {sql_case('TRUE', 'TRUE', 'FALSE', 'FALSE')} AS managed FROM p")

@@ -171,16 +171,16 @@ def go_imports(df: DataFrame) -> DataFrame:
 
 
 def jar_dependencies(df: DataFrame) -> DataFrame:
-    """path, ord, group, artifact, version, license of META-INF/DEPENDENCIES: `group:artifact:jar[:classifier]:version`.
+    """path, ord, group, artifact, version, classifier, license of META-INF/DEPENDENCIES: `group:artifact:jar[:classifier]:version`.
 
     The licence is on the next line that isn't blank, if that begins with `License:`.
     """
     by = Window.partitionBy("path").orderBy("line_no")
     rows = _lines(df).where(F.trim("line") != "").withColumn("next", F.trim(F.lead("line").over(by)))
-    form = r"\b([A-Za-z0-9_.-]+):([A-Za-z0-9_.-]+):jar:(?:[A-Za-z0-9_.-]+:)?([A-Za-z0-9_.+-]+)\s*$"
+    form = r"\b([A-Za-z0-9_.-]+):([A-Za-z0-9_.-]+):jar:(?:([A-Za-z0-9_.-]+):)?([A-Za-z0-9_.+-]+)\s*$"
     part = lambda k: F.regexp_extract("line", form, k)
     own = F.when(F.startswith("next", F.lit("License:")), F.trim(F.regexp_replace("next", r"^License:\s*|\s*\(.*$", "")))
-    return rows.where(F.col("line").rlike(form)).select("path", F.col("line_no").alias("ord"), part(1).alias("group"), part(2).alias("artifact"), part(3).alias("version"), F.nullif(own, F.lit("")).alias("license"))
+    return rows.where(F.col("line").rlike(form)).select("path", F.col("line_no").alias("ord"), part(1).alias("group"), part(2).alias("artifact"), part(4).alias("version"), F.nullif(part(3), F.lit("")).alias("classifier"), F.nullif(own, F.lit("")).alias("license"))
 
 
 def properties(df: DataFrame) -> DataFrame:
