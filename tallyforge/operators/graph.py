@@ -80,6 +80,46 @@ def layer_overlay(entries: DataFrame) -> DataFrame:
     return top.join(hidden.select("path").distinct(), "path", "left_anti")
 
 
+def linked_overlay(entries: DataFrame) -> DataFrame:
+    """path, layer, from_path, from_layer: what is visible of entries (layer, path, kind file|hardlink|whiteout|opaque, target), and which
+    file gives its content.
+
+    Files and whiteouts are as in layer_overlay. A hard link holds what its target is when all else of its layer is in place,
+    wherever the target stands in the layer, and keeps it when the target is replaced or removed later. A link to a link leads on to
+    its target; chains are halved in each round, and in each some link ends, until none that can is left. A link whose target isn't there, or that leads back to itself, takes away
+    what was at its path.
+    """
+    checkpoints(entries.sparkSession)
+    # of a file and a link at one path of a layer the link comes last
+    top = entries.where("kind in ('file', 'hardlink')").groupBy("path", "layer").agg(F.max("target").alias("target"), F.max(F.col("kind") == "hardlink").alias("is_link")).checkpoint()
+    hides = entries.where("kind in ('whiteout', 'opaque')").groupBy(F.col("path").alias("above_"), F.col("kind").alias("how_"), F.col("layer").alias("by_")).agg(F.lit(1).alias("one_"))
+    parts = F.split("to_path", "/")
+    chain = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    covers = (F.col("how_") == "whiteout") | (F.col("above_") != F.col("to_path"))
+
+    links = top.where("is_link and target is not null").select("path", "layer", F.col("target").alias("to_path"))
+    there = top.select(F.col("path").alias("to_path"), F.col("layer").alias("to_layer"))
+    seen = links.join(there, "to_path").where("to_layer <= layer").groupBy("path", "layer", "to_path").agg(F.max("to_layer").alias("to_layer"))
+    gone = seen.withColumn("above_", F.explode(chain)).join(hides, "above_").where((F.col("by_") > F.col("to_layer")) & (F.col("by_") <= F.col("layer")) & covers)
+    seen = seen.join(gone.select("path", "layer").distinct(), ["path", "layer"], "left_anti")
+    files = top.where("not is_link").select("path", "layer", F.col("path").alias("from_path"), F.col("layer").alias("from_layer"))
+    ways = seen.select("path", "layer", F.col("to_path").alias("mid_path"), F.col("to_layer").alias("mid_layer")).checkpoint()
+    held = files
+    while True:
+        goal = held.select(F.col("path").alias("mid_path"), F.col("layer").alias("mid_layer"), "from_path", "from_layer")
+        ended = ways.join(goal, ["mid_path", "mid_layer"]).select("path", "layer", "from_path", "from_layer").checkpoint()
+        if ended.isEmpty():
+            break
+        held = held.unionByName(ended)
+        rest = ways.join(ended.select("path", "layer"), ["path", "layer"], "left_anti")
+        on = ways.select(F.col("path").alias("mid_path"), F.col("layer").alias("mid_layer"), F.col("mid_path").alias("next_path"), F.col("mid_layer").alias("next_layer"))
+        ways = rest.join(on, ["mid_path", "mid_layer"], "left").select("path", "layer", F.coalesce("next_path", "mid_path").alias("mid_path"), F.coalesce("next_layer", "mid_layer").alias("mid_layer")).checkpoint()
+    last = top.groupBy("path").agg(F.max("layer").alias("layer"))
+    shown = last.join(held, ["path", "layer"]).withColumn("to_path", F.col("path"))
+    hidden = shown.select("path", "layer", "to_path", F.explode(chain).alias("above_")).join(hides, "above_").where((F.col("by_") > F.col("layer")) & covers)
+    return shown.join(hidden.select("path").distinct(), "path", "left_anti").select("path", "layer", "from_path", "from_layer")
+
+
 def longest_prefix(rows: DataFrame, path: str, modules: DataFrame, module: str) -> DataFrame:
     """rows with the longest of modules that is the row's path or a leading part of it; null without one.
 

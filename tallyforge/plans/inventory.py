@@ -114,10 +114,10 @@ def cache_only_filter(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.bool_and(F.col("l_returnflag") == "N").alias("x")).where("not x").select("l_orderkey")
 
 
-@query("""SELECT p_partkey, p_size FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_discount > 0.08) AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = p_size)""")
+@query("""SELECT p_partkey, p_size FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 48 AND l_discount > 0.08) AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = p_size AND s_suppkey % 2 = 0)""")
 def claim_anti_join(spark, d):
-    a = table(spark, d, "lineitem").where("l_discount > 0.08").select(F.col("l_partkey").alias("p_partkey"))
-    b = table(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("p_size"))
+    a = table(spark, d, "lineitem").where("l_quantity > 48 and l_discount > 0.08").select(F.col("l_partkey").alias("p_partkey"))
+    b = table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").cast("int").alias("p_size"))
     p = table(spark, d, "part").select("p_partkey", "p_size")
     return filters.unclaimed(filters.unclaimed(p, a, ["p_partkey"]), b, ["p_size"]).select("p_partkey", "p_size")
 

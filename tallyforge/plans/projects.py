@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import jars, maven
+from ..operators import claims, graph, jars, maven
 from ..sources import locks
 from .inventory import query, table
 from .readers import N, package, written
@@ -104,3 +104,31 @@ def transitive_closure(spark, d):
     on_disk = parts(spark, d).where("k % 4 <> 2").select(F.concat(F.lit("g:a"), _text("k"), F.lit(":1")).alias("pom"))
     out = maven.transitive(needed_poms(spark, d), seeds, on_disk=on_disk, declared=True)
     return out.select("pom", "level", "known", "emitted", F.size("depends").alias("n_needs"))
+
+
+@query(f"""{P} SELECT k, {sql_case("'path'", "'canonical'", "'canonical'", 'NULL', "'inode'", 'NULL')} AS claimed_by FROM p""")
+def path_claims(spark, d):
+    """Files as a walk meets them: claimed as they are, through /lib, through links of links, in a circle, by inode only, not at all."""
+    p = parts(spark, d)
+    none = F.lit(None).cast("long")
+    name = package()
+    path = case(F.concat(F.lit("/usr/bin/"), name), F.concat(F.lit("/lib/"), name), F.concat(F.lit("/opt/cur/"), name), F.concat(F.lit("/loop/a/"), name), F.concat(F.lit("/data/"), name), F.concat(F.lit("/opt/v1/"), name))
+    claim = case(F.concat(F.lit("/usr/bin/"), name), F.concat(F.lit("/usr/lib/"), name), F.concat(F.lit("/srv/./v2/"), name), F.lit(None), F.concat(F.lit("/var/x/"), name), F.concat(F.lit("/opt/v2/"), name, F.lit("x")))
+    files = p.select("k", path.alias("path"), F.lit(1).cast("long").alias("device"), F.when(F.col("k") % 6 < 5, F.col("k")).otherwise(none).alias("inode"))
+    held = p.select(claim.alias("path"), F.lit(1).cast("long").alias("device"), F.when(F.col("k") % 6 == 4, F.col("k")).otherwise(none).alias("inode")).where("path is not null")
+    links = table(spark, d, "region").limit(1).select(F.inline(F.array(*(F.struct(F.lit(a).alias("path"), F.lit(b).alias("target")) for a, b in (("/lib", "usr/lib"), ("/opt/cur", "/opt/v2"), ("/opt/v2", "../opt/../srv/v2"), ("/loop/a", "b"), ("/loop/b", "./a"))))))
+    return claims.with_claims(files, held, links).select("k", "claimed_by")
+
+
+@query(f"""{P}, e(path, layer, from_path, from_layer) AS (VALUES ('l0', 0, 'later', 0), ('later', 2, 'later', 2), ('c1', 0, 'f', 0), ('c2', 0, 'f', 0), ('c3', 0, 'f', 0), ('keep', 1, 'later', 0), ('d/new', 2, 'd/new', 2))
+SELECT k || '/' || path AS path, layer, k || '/' || from_path AS from_path, from_layer FROM p, e""")
+def layer_hard_links(spark, d):
+    """In each part's image: a link before its target, a chain of links, a target that is replaced, one that is gone, a circle of links."""
+    rows = (
+        (0, "l0", "hardlink", "later"), (0, "f", "file", None), (0, "later", "file", None), (0, "c1", "hardlink", "c2"), (0, "c2", "hardlink", "c3"), (0, "c3", "hardlink", "f"), (0, "dead", "file", None), (0, "d/old", "hardlink", "f"),
+        (1, "f", "whiteout", None), (1, "dead", "hardlink", "f"), (1, "keep", "hardlink", "later"), (2, "later", "file", None), (2, "x", "hardlink", "y"), (2, "y", "hardlink", "x"), (2, "d", "opaque", None), (2, "d/new", "file", None),
+    )
+    each = F.inline(F.array(*(F.struct(F.lit(n).alias("layer"), F.lit(p).alias("name"), F.lit(kind).alias("kind"), F.lit(to).cast("string").alias("to")) for n, p, kind, to in rows)))
+    own = lambda x: F.when(F.col(x).isNotNull(), F.concat(_text("k"), F.lit("/"), x))
+    entries = parts(spark, d).select("k", each).select("layer", "kind", own("name").alias("path"), own("to").alias("target"))
+    return graph.linked_overlay(entries)

@@ -385,7 +385,7 @@ def jar_coordinates(df: DataFrame) -> DataFrame:
 
 
 def image_entries(df: DataFrame) -> DataFrame:
-    """image, layer, path, kind (file, dir, link, whiteout, opaque), content of the layers of `docker save` archives, in their order.
+    """image, layer, path, kind (file, dir, link, hardlink, whiteout, opaque), content, target (of hard links) of the layers of `docker save` archives, in their order.
 
     Paths are relative; those that are absolute or climb with .. are left out. Whiteouts name what they hide.
     """
@@ -404,14 +404,17 @@ def image_entries(df: DataFrame) -> DataFrame:
                                         continue
                                     folder, _, base = path.rpartition("/")
                                     if base == ".wh..wh..opq":
-                                        out.append((image, layer, folder, "opaque", None))
+                                        out.append((image, layer, folder, "opaque", None, None))
                                     elif base.startswith(".wh."):
-                                        out.append((image, layer, f"{folder}/{base[4:]}" if folder else base[4:], "whiteout", None))
+                                        out.append((image, layer, f"{folder}/{base[4:]}" if folder else base[4:], "whiteout", None, None))
                                     else:
-                                        kind = "file" if m.isfile() else "dir" if m.isdir() else "link"
-                                        out.append((image, layer, path, kind, t.extractfile(m).read() if m.isfile() else None))
+                                        kind = "hardlink" if m.islnk() else "file" if m.isfile() else "dir" if m.isdir() else "link"
+                                        target = m.linkname.removeprefix("./") if m.islnk() else None
+                                        if target is not None and (target.startswith("/") or ".." in target.split("/") or not target):
+                                            continue
+                                        out.append((image, layer, path, kind, t.extractfile(m).read() if kind == "file" else None, target))
                 except (tarfile.TarError, KeyError, TypeError, ValueError, AttributeError):
                     continue
-                yield pd.DataFrame(out, columns=["image", "layer", "path", "kind", "content"])
+                yield pd.DataFrame(out, columns=["image", "layer", "path", "kind", "content", "target"])
 
-    return df.select("path", "content").mapInPandas(read, "image string, layer int, path string, kind string, content binary")
+    return df.select("path", "content").mapInPandas(read, "image string, layer int, path string, kind string, content binary, target string")
