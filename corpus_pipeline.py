@@ -3,7 +3,10 @@
 Documents that toxicity rejects go; of each group of near duplicates one stays; contaminated documents go; personal
 data in what is left is replaced by its kind; and the texts are encoded. A stage's decisions hold for all later ones,
 and each works on all that its predecessor kept. All stages but the last return the columns of documents; the last returns
-doc_id, ids, n_tokens and round_trip.
+doc_id, ids, n_tokens and round_trip, which is true where decoding gives the text back and the sentencepiece library gives the same ids.
+
+Null texts are kept as they are by all stages but the last, which encodes them as empty. Repeated rows are near duplicates of each
+other, of which one stays; an empty table gives no rows. Extra columns go along, up to the last stage.
 """
 
 from __future__ import annotations

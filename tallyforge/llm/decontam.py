@@ -219,7 +219,7 @@ def match_items(docs: DataFrame, items: DataFrame, *, key: str = "item_id", text
                         base = first - int(words.first[row])
                         more = [{"start": base + s, "end": base + e} for s, e in merged(hit)]
                         spans[row] = [{"start": s, "end": e} for s, e in merged([(x["start"], x["end"]) for x in [*(spans[row] or ()), *more]])]
-                        found[row] = sorted({*(found[row] or ()), *own})
+                        found[row] = sorted({*(found[row] or ()), *own}, key=lambda x: (x is None, x or ""))
                 cols = [batch.column(i) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(words.counts(), pa.int64()), pa.array([x or [] for x in spans], _SPANS), pa.array([x or [] for x in found], pa.list_(pa.string()))], names=[*names, "tf_n_words", "tf_hit_spans", "tf_hit_items"])
 
@@ -233,7 +233,10 @@ def hit_columns() -> dict:
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The contract's digest for each document."""
+    """The contract's digest for each document.
+
+    Items without an id count as one item, which the digest of ids leaves out.
+    """
     found = match_items(docs.select("doc_id", "text"), items)
     hit = hit_columns()
     return found.select(

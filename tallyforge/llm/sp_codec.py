@@ -90,12 +90,15 @@ def merges(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
     return [(a, b) for *_, a, b in sorted(found)]
 
 
-def build(proto: Proto):
-    """The tokenizers.Tokenizer that encodes as the model does."""
+def build(proto: Proto, prefix: bool = False):
+    """The tokenizers.Tokenizer that encodes as the model does; prefix: it puts the dummy prefix before what is left of a text after normalising.
+
+    A unigram model matches normal pieces only; the others are named so that no text holds them, and bytes() spells unknown ones.
+    """
     from tokenizers import Tokenizer, decoders, models, normalizers
 
     if proto.kind == 1:
-        model = models.Unigram([(p, s) for p, s, _ in proto.pieces], proto.unknown, proto.byte_fallback)
+        model = models.Unigram([(p, s) if k in (NORMAL, USER) else (f"\ufdd0{i}", 0.0) for i, (p, s, k) in enumerate(proto.pieces)], proto.unknown, False)
     else:
         vocabulary = {p: i for i, (p, _, _) in enumerate(proto.pieces)}
         model = models.BPE(vocabulary, merges(proto.pieces), unk_token=proto.pieces[proto.unknown][0], fuse_unk=True, byte_fallback=proto.byte_fallback)
@@ -104,9 +107,14 @@ def build(proto: Proto):
     if proto.squeeze:
         from tokenizers import Regex
 
-        steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+        steps += [normalizers.Replace(Regex(r"\A +"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
     if proto.escape:
         steps.append(normalizers.Replace(" ", MARK))
+    if prefix and proto.dummy_prefix:
+        steps.append(normalizers.Prepend(MARK if proto.escape else " "))
+    if proto.squeeze:
+        # a text's own markers count as spaces at its end, but not elsewhere
+        steps.append(normalizers.Replace(Regex(rf"{MARK if proto.escape else ' '}+\z"), ""))
     if steps:
         out.normalizer = normalizers.Sequence(steps)
     parts = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
@@ -123,15 +131,17 @@ class Codec:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         self.proto = Proto(model)
-        self.tokenizer = build(self.proto)
         self.cut = self.proto.can_cut() and self.proto.dummy_prefix and not self.proto.squeeze and not self.proto.charsmap
+        # texts that are cut have the prefix put before them here, others by the normaliser
+        self.tokenizer = build(self.proto, prefix=not self.cut)
+        self.unigram = self.proto.kind == 1
+        self.byte_ids = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(self.proto.pieces) if k == BYTE}
         self.marked = np.fromiter((p.startswith(MARK) for p, _, _ in self.proto.pieces), bool, len(self.proto.pieces))
         self.check = None
         if parity:
             import sentencepiece
 
             self.check = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.prefix = " " if self.proto.dummy_prefix else ""
 
     def _batches(self, texts: list[str]) -> Iterator[list[str]]:
         """About 1 MB of texts at a time: an encoding takes many times its text's size."""
@@ -143,11 +153,24 @@ class Codec:
                 at, size = i + 1, 0
 
     def ids(self, texts: list[str]) -> list[list[int]]:
-        """The ids of texts that the prefix has been put before."""
-        return [e.ids for batch in self._batches(texts) for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
+        """The ids of texts, which begin with the prefix if they are cut."""
+        if not (self.unigram and self.proto.byte_fallback):
+            return [e.ids for batch in self._batches(texts) for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
+        # the fast way leaves the text of unknown pieces out
+        found = (e for batch in self._batches(texts) for e in self.tokenizer.encode_batch(batch, add_special_tokens=False))
+        return [self.spelled(e.ids, e.tokens) if self.proto.unknown in e.ids else e.ids for e in found]
+
+    def spelled(self, ids: list[int], tokens: list[str]) -> list[int]:
+        """ids with the bytes of unknown pieces, whose text is their token, in place of these."""
+        return [x for i, t in zip(ids, tokens, strict=True) for x in ([self.byte_ids.get(b, i) for b in t.encode()] if i == self.proto.unknown else [i])]
+
+    def text(self, ids: list[int]) -> str:
+        """The text of a unigram model's ids; control pieces and unknown ones have none."""
+        out = b"".join(bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in map(self.proto.pieces.__getitem__, ids) if k in (BYTE, NORMAL, USER)).decode("utf-8", "replace")
+        return out.removeprefix(" ") if self.proto.dummy_prefix else out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=True)
+        return list(map(self.text, ids)) if self.unigram else self.tokenizer.decode_batch(ids, skip_special_tokens=True)
 
     def chunk_ids(self, chunks: list[str], group: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, their number per chunk, whether decoding and the sentencepiece library, if given, agree).
@@ -180,7 +203,7 @@ class Codec:
         texts = None
         if not self.cut:
             texts = column.to_pylist()
-            own = self.ids([self.prefix + t if t else "" for t in texts])
+            own = self.ids(texts)
             fine = [a == b for a, b in zip(self.decode(own), texts, strict=True)]
             if self.check is not None:
                 fine = [f and self.check.encode(t) == x for f, t, x in zip(fine, texts, own, strict=True)]
@@ -244,8 +267,8 @@ def _run(docs: DataFrame, model: str, threads: int, parity: bool, tail, kinds: s
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {kinds}")
 
 
-def encoded(docs: DataFrame, model: str, threads: int = 2, parity: bool = False) -> DataFrame:
-    """doc_id, ids (array of int), n_tokens, round_trip (decoding gives the text back)."""
+def encoded(docs: DataFrame, model: str, threads: int = 2, parity: bool = True) -> DataFrame:
+    """doc_id, ids (array of int), n_tokens, round_trip (decoding gives the text back; also the sentencepiece library's ids, if parity is asked for)."""
 
     def tail(doc_id, ids, ends, fine):
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))

@@ -252,3 +252,75 @@ def test_steps_over_changes_equal_whole_steps():
         new = np.where(changed[:, None], rng.integers(-2, 3, (5, 2)), old)
         found = centroids.nearest(x, new, owner, distance, changed)
         assert all((a == b).all() for a, b in zip(found, whole(new), strict=True))
+
+
+# ---- op9: unigram models, written by hand
+
+
+def varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def field(n, value):
+    return varint(n << 3) + varint(value) if isinstance(value, int) else varint(n << 3 | 2) + varint(len(value)) + value
+
+
+def model(pieces, kind, fallback, prefix, squeeze):
+    """A model file of pieces (text, score, kind of piece)."""
+    import struct
+
+    rows = b"".join(field(1, field(1, p.encode()) + varint(2 << 3 | 5) + struct.pack("<f", s) + field(3, k)) for p, s, k in pieces)
+    return rows + field(2, field(3, kind) + field(35, int(fallback))) + field(3, field(3, int(prefix)) + field(4, int(squeeze)) + field(5, 1))
+
+
+UNIGRAMS = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+WORDS = [("▁", -3.0, 1), ("▁apple", -4.0, 1), ("▁ban", -4.5, 1), ("ana", -4.2, 1), ("fox", -5.0, 1), ("▁fox", -4.4, 1), ("▁▁", -6.0, 1), *((c, -8.0 - i / 9, 1) for i, c in enumerate("abcdefghijklmnopqrstuvwxyz<>0145/s"[:-1]))]
+BYTES = [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+
+
+@pytest.mark.parametrize("fallback", [False, True])
+@pytest.mark.parametrize("prefix", [False, True])
+@pytest.mark.parametrize("squeeze", [False, True])
+def test_unigram_ids_are_sentencepieces(fallback, prefix, squeeze):
+    import pyarrow as pa
+    from sentencepiece import SentencePieceProcessor
+
+    from tallyforge.llm import sp_codec
+
+    data = model([*UNIGRAMS, *(BYTES if fallback else []), *WORDS], 1, fallback, prefix, squeeze)
+    own = SentencePieceProcessor(model_proto=data)
+    texts = [t or "" for t in TEXTS if t != "x" * 3000] + ["apple banana fox", "fox", " apple  fox ", "<s> </s> <0x41> <unk>", "日本apple", "ÄÖ fox ß", "  ", "applefox banana"]
+    codec = sp_codec.Codec(data, parity=True)
+    ids, ends, fine = codec.encode(pa.array(texts, pa.string()))
+    for t, s, e, ok in zip(texts, [0, *ends[:-1]], ends, fine, strict=True):
+        assert ids[s:e].tolist() == own.encode(t), t
+        # what the library decodes to itself does so here
+        assert not ok or own.decode(own.encode(t)) == t
+    assert fine[texts.index("apple banana fox")] and (not fallback or fine[texts.index("ÄÖ fox ß")])
+
+
+def test_wrong_ids_are_no_round_trip():
+    import pyarrow as pa
+
+    from tallyforge.llm import sp_codec
+
+    data = model([*UNIGRAMS, *WORDS], 1, False, True, False)
+    codec = sp_codec.Codec(data, parity=True)
+    codec.check = type("Other", (), {"encode": staticmethod(lambda t: [0])})
+    assert not codec.encode(pa.array(["apple banana fox"]))[2].any()
+
+
+# ---- op3: items without an id
+
+
+def test_items_without_an_id(spark):
+    from tallyforge.llm import decontam
+
+    line = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, line), (2, "other words"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([("b", line), (None, line), (None, line + " more"), ("a", "w1 w2"), ("c", None)], "item_id string, text string")
+    rows = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.contamination(docs, items).collect()}
+    assert rows[1] == (20, 3, hashlib.sha256(b"a,b").hexdigest(), True) and rows[2][:2] == rows[3][:2] == (0, 0)
