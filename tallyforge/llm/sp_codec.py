@@ -172,6 +172,10 @@ class Codec:
     def decode(self, ids: list[list[int]]) -> list[str]:
         return list(map(self.text, ids)) if self.unigram else self.tokenizer.decode_batch(ids, skip_special_tokens=True)
 
+    def holds(self, text: str, ids: list[int]) -> bool:
+        """Whether ids decode to the text, and are the sentencepiece library's, if that was given."""
+        return self.decode([ids])[0] == text and (self.check is None or self.check.encode(text) == ids)
+
     def chunk_ids(self, chunks: list[str], group: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, their number per chunk, whether decoding and the sentencepiece library, if given, agree).
 
@@ -192,7 +196,8 @@ class Codec:
         sizes, fine = np.zeros(len(chunks), np.int64), np.ones(len(chunks), bool)
         for g, x, h, ok in zip(groups, own, heads, good, strict=True):
             sizes[g] = np.diff(np.append(h, len(x)))
-            fine[g] = ok
+            # one chunk of a group may fail alone
+            fine[g] = ok or (len(g) > 1 and [self.holds(chunks[i], x[a:b]) for i, a, b in zip(g, h, [*h[1:], len(x)], strict=True)])
         placed = np.concatenate(groups) if groups else np.zeros(0, np.int64)
         flat = np.fromiter((i for x in own for i in x), np.int32, int(sizes.sum()))
         return _gathered(flat, np.cumsum(sizes[placed]) - sizes[placed], sizes[placed], np.argsort(placed)), sizes, fine
