@@ -20,9 +20,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -139,17 +138,41 @@ class Aligner:
         # special tokens are not written, so that all characters of an id stand for bytes
         self.side_a = TokenBytes(lambda i: bytes(map(alphabet.__getitem__, self.a.id_to_token(i))))
         self.transducer = Transducer(self.side_a, TokenBytes(of_b))
+        vocabulary = self.a.get_vocab()
+        self.size_a = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.size_a[i] = len(token)
+
+    def encoded_a(self, pieces: list[str], together: int = 256) -> list[list[int]]:
+        """A ids of pieces. Those that don't end in white space are encoded some at a time, as no token crosses the space between them;
+        the ids fall apart where the bytes of the pieces end."""
+        out: list[list[int]] = [[]] * len(pieces)
+        open_ended = [i for i, p in enumerate(pieces) if not p[-1].isspace()]
+        runs = [open_ended[i : i + together] for i in range(0, len(open_ended), together)]
+        alone = [i for i, p in enumerate(pieces) if p[-1].isspace()]
+        for run, e in zip(runs, self.a.encode_batch_fast(["".join([pieces[i] for i in run]) for run in runs], add_special_tokens=False), strict=True):
+            ids = e.ids
+            ends = np.cumsum(self.size_a[ids])
+            wanted = np.cumsum([len(pieces[i].encode()) for i in run])
+            at = np.searchsorted(ends, wanted)
+            if len(ends) and at[-1] < len(ends) and (ends[at] == wanted).all():
+                start = 0
+                for i, to in zip(run, (at + 1).tolist(), strict=True):
+                    out[i] = ids[start:to]
+                    start = to
+            else:  # the tokenizer changes texts, so that bytes don't count
+                alone += run
+        for i, e in zip(alone, self.a.encode_batch_fast([pieces[i] for i in alone], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
 
-    def piece(self, piece: str, a: list[int], b: list[int]) -> list[tuple[int, int]] | None:
-        """Group ends of a piece, or None where a side does not write its bytes."""
-        ends = self.transducer.groups(a, b)
-        return ends if ends is not None and b"".join(map(self.side_a.__getitem__, a)) == piece.encode() else None
-
-    def pieces(self, pieces: list[str]) -> list[tuple[list[int], list[int], list[tuple[int, int]] | None]]:
-        """A ids, B ids and group ends of pieces, which begin with a space."""
-        of_a = [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
+    def pieces(self, pieces: list[str]) -> Pieces:
+        """pieces, which begin with a space, encoded and aligned."""
+        of_a = self.encoded_a(pieces)
         of_b = self.b.encode([p[1:] for p in pieces], num_threads=1)
-        return [(a, b, self.piece(p, a, b)) for p, a, b in zip(pieces, of_a, of_b, strict=True)]
+        groups, written = self.transducer.groups, self.side_a.__getitem__
+        ends = [groups(a, b) if b"".join(map(written, a)) == p.encode() else None for p, a, b in zip(pieces, of_a, of_b, strict=True)]
+        return Pieces(of_a, of_b, ends)
 
     def block(self, texts: list[str | None]) -> Block:
         cut = [CUT.split(" " + t) if t else [] for t in texts]
@@ -158,69 +181,112 @@ class Aligner:
         return Block(self.pieces(list(known)), at, np.array([len(c) for c in cut], np.int64))
 
 
-def linked(a: list[int], b: list[int], ends: list[tuple[int, int]]) -> dict[int, int]:
-    """How many links each pair of ids has, as a << 32 | b; by counts of ids in a group, not by occurrences."""
-    out: dict[int, int] = {}
-    i = j = 0
-    for x, y in ends:
-        if x - i == 1 and y - j == 1:
-            key = a[i] << 32 | b[j]
-            out[key] = out.get(key, 0) + 1
-        else:
-            # large groups repeat ids, as in long runs of one character
-            theirs = Counter(b[j:y]).items()
-            for p, m in Counter(a[i:x]).items():
-                for q, n in theirs:
-                    out[p << 32 | q] = out.get(p << 32 | q, 0) + m * n
-        i, j = x, y
-    return out
+def flat(lists: list) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), np.int64)
+
 
+def ranks(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each of runs of these sizes."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+class Pieces:
+    """Encoded and aligned pieces: a, b are the ids of all one after another, groups the A and B tokens of each group.
+
+    fine: whether both sides write the piece; the others have no tokens here. n: A tokens, B tokens and groups of each piece.
+    """
 
-def grouped(a: list[int], b: list[int], ends: list[tuple[int, int]]) -> str:
-    """a1,a2|b1;a3|b2 of the groups."""
-    starts = [(0, 0), *ends[:-1]]
-    return ";".join(f"{','.join(map(str, a[i:x]))}|{','.join(map(str, b[j:y]))}" for (i, j), (x, y) in zip(starts, ends, strict=True))
+    def __init__(self, of_a: list[list[int]], of_b: list[list[int]], ends: list[list[tuple[int, int]] | None]) -> None:
+        self.fine = np.array([e is not None for e in ends], bool)
+        kept = [(a, b, e) if e is not None else ((), (), ()) for a, b, e in zip(of_a, of_b, ends, strict=True)]
+        self.a, self.b = flat([k[0] for k in kept]), flat([k[1] for k in kept])
+        self.n = np.array([[len(x) for x in k] for k in kept], np.int64).reshape(-1, 3)
+        upto = flat(chain.from_iterable(k[2] for k in kept)).reshape(-1, 2)
+        self.groups = np.diff(upto, axis=0, prepend=0)
+        first = np.cumsum(self.n[:, 2]) - self.n[:, 2]
+        first = first[self.n[:, 2] > 0]
+        self.groups[first] = upto[first]
+
+    def pairs(self, many: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, links, keys of each piece): pairs of ids that share a group, as a << 32 | b, with how many links each has.
+
+        Groups of more than `many` links are counted by distinct ids, as in long runs of one character; a key may come more than once.
+        """
+        piece = np.repeat(np.arange(len(self.n)), self.n[:, 2])
+        n_a, n_b = self.groups.T
+        first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        small = np.flatnonzero(n_a * n_b <= many)
+        sizes = (n_a * n_b)[small]
+        g, r = np.repeat(small, sizes), ranks(sizes)
+        keys = [self.a[first_a[g] + r // np.maximum(n_b[g], 1)] << 32 | self.b[first_b[g] + r % np.maximum(n_b[g], 1)]]
+        owners, links = [piece[g]], [np.ones(len(g), np.int64)]
+        for i in np.flatnonzero(n_a * n_b > many):
+            ours, m = np.unique(self.a[first_a[i] : first_a[i] + n_a[i]], return_counts=True)
+            theirs, n = np.unique(self.b[first_b[i] : first_b[i] + n_b[i]], return_counts=True)
+            keys.append((ours[:, None] << 32 | theirs).ravel())
+            links.append((m[:, None] * n).ravel())
+            owners.append(np.full(len(keys[-1]), piece[i]))
+        owner = np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        return np.concatenate(keys)[order], np.concatenate(links)[order], np.bincount(owner, minlength=len(self.n))
+
+    def texts(self) -> list[bytes]:
+        """Each piece's groups as `a1,a2|b1;a3|b2;`."""
+        sizes = self.groups.sum(axis=1)
+        first = np.cumsum(sizes) - sizes
+        ids, mark = np.empty(sizes.sum(), np.int64), np.full(sizes.sum(), ord(","), np.uint8)
+        n_a, n_b = self.groups.T
+        ids[np.repeat(first, n_a) + ranks(n_a)] = self.a
+        ids[np.repeat(first + n_a, n_b) + ranks(n_b)] = self.b
+        mark[first + n_a - 1], mark[first + sizes - 1] = ord("|"), ord(";")
+        digits = np.ones(len(ids), np.int64)
+        for k in range(1, 10):
+            digits += ids >= 10**k
+        ends = np.cumsum(digits + 1)
+        out = np.empty(ends[-1] if len(ends) else 0, np.uint8)
+        for k in range(int(digits.max(initial=0))):
+            has = digits > k
+            out[ends[has] - 2 - k] = 48 + ids[has] // 10**k % 10
+        out[ends - 1] = mark
+        whole, stops = out.tobytes(), np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(self.n[:, 0] + self.n[:, 1])])].tolist()
+        return [whole[i:j] for i, j in zip(stops, stops[1:], strict=False)]
 
 
 class Block:
     """The rows of a block: of each its numbers, its groups and its pairs.
 
-    at: the piece of each place in all texts; sizes: places of each text; pieces: A ids, B ids and group ends.
+    at: the piece of each place in all texts; sizes: places of each text.
     """
 
-    def __init__(self, pieces: list, at: np.ndarray, sizes: np.ndarray) -> None:
+    def __init__(self, pieces: Pieces, at: np.ndarray, sizes: np.ndarray) -> None:
         rows = len(sizes)
-        fine = np.array([e is not None for *_, e in pieces], bool)
         row = np.repeat(np.arange(rows), sizes)
         good = np.ones(rows, bool)
-        good[row[~fine[at]]] = False
+        good[row[~pieces.fine[at]]] = False
         keep = good[row]
-        self.at, self.row = at[keep], row[keep]
+        self.pieces, self.at = pieces, at[keep]
+        row = row[keep]
         self.sizes = np.where(good, sizes, 0)
-        self.pieces = pieces
-        own = np.array([[len(a), len(b), len(e or ())] for a, b, e in pieces], np.int64).reshape(-1, 3)
         #: A tokens, B tokens and groups of each row
-        self.numbers = np.array([np.bincount(self.row, own[self.at, k], rows).astype(np.int64) for k in range(3)])
-        pairs = [linked(*p) if p[2] is not None else {} for p in pieces]
-        keys = np.fromiter((k for p in pairs for k in p), np.int64)
-        links = np.fromiter((n for p in pairs for n in p.values()), np.int64)
+        self.numbers = np.array([np.bincount(row, pieces.n[self.at, k], rows).astype(np.int64) for k in range(3)])
+        keys, links, n = pieces.pairs()
         #: distinct pairs, and for each row the places of its own among them with their links
         self.keys, place = np.unique(keys, return_inverse=True)
-        n = np.array([len(p) for p in pairs], np.int64)
         starts = np.cumsum(n) - n
         width = max(len(self.keys), 1)
-        each = np.repeat(self.row, n[self.at]) * width + _gathered(place, starts, n, self.at)
+        each = np.repeat(row, n[self.at]) * width + _gathered(place, starts, n, self.at)
         found, where = np.unique(each, return_inverse=True)
-        self.links = np.bincount(where, _gathered(links, starts, n, self.at), len(found)).astype(np.int64)
+        self.links = np.zeros(len(found), np.int64)
+        np.add.at(self.links, where, _gathered(links, starts, n, self.at))
         self.places = found % width
         self.ends = np.searchsorted(found, np.arange(rows + 1) * width)
         self.holders = np.bincount(self.places, minlength=len(self.keys)) if len(self.keys) else np.zeros(0, np.int64)
 
-    def groups(self) -> Iterator[str]:
+    def groups(self) -> Iterator[bytes]:
         """The groups of each row; empty without tokens."""
-        texts = [grouped(*p) if p[2] is not None else "" for p in self.pieces]
+        texts = self.pieces.texts()
         for to, size in zip(accumulate(self.sizes.tolist()), self.sizes.tolist(), strict=True):
-            yield ";".join([texts[i] for i in self.at[to - size : to].tolist()])
+            yield b"".join([texts[i] for i in self.at[to - size : to].tolist()])[:-1]
 
 
 def _aligned(docs: DataFrame, a: str, b: str, block_bytes: int) -> Iterator[tuple]:
@@ -248,7 +314,7 @@ def aligned(docs: DataFrame, a: str, b: str, block_bytes: int = 4 << 20) -> Data
 
     def run(batches):
         for _, part, block in blocks(batches):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(block.groups(), pa.string())], names=["doc_id", "groups"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([g.decode() for g in block.groups()], pa.string())], names=["doc_id", "groups"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, groups string")
 
@@ -266,7 +332,7 @@ def linked_rows(docs: DataFrame, a: str, b: str, block_bytes: int) -> DataFrame:
             rows = part.num_rows
             first = lambda x, kind: pa.array([x] + [None] * (rows - 1), pa.list_(kind))
             of_row = lambda x, kind: pa.ListArray.from_arrays(pa.array(block.ends, pa.int32()), pa.array(x, kind))
-            sha = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in block.groups()]
+            sha = [hashlib.sha256(g).hexdigest() if g else "" for g in block.groups()]
             columns = [pa.array(np.full(rows, n)), part.column("doc_id"), *map(pa.array, block.numbers), pa.array(sha, pa.string()), of_row(block.places, pa.int32()), of_row(block.links, pa.int64()), first(block.keys, pa.int64()), first(block.holders, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["block", "doc_id", *(c.split()[0] for c in _ROW.split(", "))])
 
