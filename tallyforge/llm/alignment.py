@@ -21,7 +21,7 @@ import hashlib
 import os
 import re
 from collections.abc import Callable, Iterator
-from itertools import accumulate, chain
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -120,7 +120,9 @@ class Transducer:
 class Aligner:
     """Both tokenizers, and for blocks of texts their pieces, encoded and aligned."""
 
-    def __init__(self, a: bytes, b: bytes) -> None:
+    def __init__(self, a: bytes, b: bytes, most: int = 150_000) -> None:
+        self.kept: dict[str, tuple] = {}
+        self.most = most  # pieces that are kept, about 100 MB
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
         from sentencepiece import SentencePieceProcessor
@@ -167,12 +169,17 @@ class Aligner:
         return out
 
     def pieces(self, pieces: list[str]) -> Pieces:
-        """pieces, which begin with a space, encoded and aligned."""
-        of_a = self.encoded_a(pieces)
-        of_b = self.b.encode([p[1:] for p in pieces], num_threads=1)
+        """pieces, which begin with a space, encoded and aligned. The first that come, which are the common ones, are kept for later blocks."""
+        new = [p for p in pieces if p not in self.kept]
+        of_a = self.encoded_a(new)
+        of_b = self.b.encode([p[1:] for p in new], num_threads=1)
         groups, written = self.transducer.groups, self.side_a.__getitem__
-        ends = [groups(a, b) if b"".join(map(written, a)) == p.encode() else None for p, a, b in zip(pieces, of_a, of_b, strict=True)]
-        return Pieces(of_a, of_b, ends)
+        made = {p: (a, b, groups(a, b) if b"".join(map(written, a)) == p.encode() else None) for p, a, b in zip(new, of_a, of_b, strict=True)}
+        found = [self.kept.get(p) or made[p] for p in pieces]
+        for p in islice(new, max(0, self.most - len(self.kept))):
+            if len(p) < 64:
+                self.kept[p] = made[p]
+        return Pieces(*zip(*found, strict=True)) if found else Pieces([], [], [])
 
     def block(self, texts: list[str | None]) -> Block:
         cut = [CUT.split(" " + t) if t else [] for t in texts]
