@@ -12,3 +12,9 @@ def checkpoints(spark: SparkSession) -> None:
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    checkpoints(spark)
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")

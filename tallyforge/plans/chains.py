@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import filters, maven, merge, verify
+from ..operators.lineage import shared
 from ..streaming import connections
 from .inventory import query, table
 from .scalars import P, case, cat, parts, sql_case
@@ -166,7 +169,7 @@ def _events(spark, d):
     """Events as those of sockets: a signup opens, a purchase asks, a click writes, a view reads, an error closes."""
     kind = F.when(F.col("event_type") == "signup", "open").when(F.col("event_type").isin("purchase", "click"), "write").when(F.col("event_type") == "view", "read").otherwise("close")
     payload = F.when(F.col("event_type") == "purchase", F.concat(F.lit("GET /"), F.col("event_id").cast("string"), F.lit(" HTTP/1.1\r\nHost: h"), (F.col("event_id") % 5).cast("string"), F.lit("\r\n\r\n"))).when((F.col("event_type") == "view") & (F.col("event_id") % 2 == 0), "HTTP/1.1 200 OK\r\n\r\n").when(F.col("event_id") % 3 == 0, "to pypi.org")
-    return table(spark, d, "events").select(F.col("user_id").alias("conn_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("ord"), kind.alias("kind"), (F.col("event_id") % 100).alias("size"), payload.alias("payload"))
+    return table(spark, d, "events").select(F.col("user_id").alias("conn_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("ord"), kind.alias("kind"), (F.col("event_id") % 100).alias("size"), payload.alias("payload"), (F.col("event_id") % 4 == 0).alias("tls"))
 
 
 _ASSEMBLED = """
@@ -175,7 +178,7 @@ f AS (SELECT *, greatest(count(CASE WHEN t = 'purchase' THEN 1 END) OVER w, 1) A
 g AS (SELECT *, max(nth) OVER (PARTITION BY c, epoch) AS last_nth, max(epoch) OVER (PARTITION BY c) AS last_epoch FROM f WHERE begun),
 h AS (SELECT *, first_value(CASE WHEN t = 'purchase' THEN 'h' || (i % 5) END IGNORE NULLS) OVER (PARTITION BY c, epoch, nth ORDER BY rn) AS own FROM g WHERE epoch = last_epoch OR nth < last_nth),
 n AS (SELECT *, CASE WHEN t IN ('purchase', 'click') THEN coalesce(own, CASE WHEN t = 'click' AND i % 3 = 0 THEN 'pypi.org' END) WHEN t = 'view' AND i % 2 = 1 AND i % 3 = 0 THEN 'pypi.org' END AS named FROM h)
-SELECT c AS conn_id, CASE WHEN count(CASE WHEN t = 'purchase' THEN 1 END) > 0 THEN 'https' ELSE 'tcp' END AS protocol, '/' || min(CASE WHEN t = 'purchase' THEN i END) AS path, arg_min(named, rn) FILTER (WHERE named IS NOT NULL) AS host,
+SELECT c AS conn_id, CASE WHEN count(CASE WHEN t = 'purchase' THEN 1 END) = 0 THEN 'tcp' WHEN bool_or(t IN ('purchase', 'click', 'view') AND i % 4 = 0) THEN 'https' ELSE 'http' END AS protocol, '/' || min(CASE WHEN t = 'purchase' THEN i END) AS path, arg_min(named, rn) FILTER (WHERE named IS NOT NULL) AS host,
   CASE WHEN bool_or(t = 'view' AND i % 2 = 0) THEN 200 END AS status, CAST(sum(CASE WHEN t IN ('purchase', 'click') THEN size ELSE 0 END) AS BIGINT) AS bytes_sent, CAST(sum(CASE WHEN t = 'view' THEN size ELSE 0 END) AS BIGINT) AS bytes_received, count(*) AS events
 FROM n GROUP BY c, epoch, nth"""
 
@@ -185,6 +188,24 @@ def connection_assembly(spark, d):
     return connections.assembled(_events(spark, d)).select("conn_id", "protocol", "path", "host", "status", "bytes_sent", "bytes_received", "events")
 
 
+@query(_ASSEMBLED)
+def connection_stream(spark, d):
+    """The same events as a stream of eight batches, in which they lie out of order by up to an eighth of the time they cover."""
+    events = _events(spark, d)
+    at = f"{shared(spark)}/tallyforge-stream-{uuid.uuid4().hex}"
+    first, last = events.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).head()
+    slice_s = (last - first) // 8 + 1
+    jitter = F.pmod(F.xxhash64("ord"), F.lit(slice_s))
+    dealt = events.withColumn("batch", F.least(F.lit(7), F.floor((F.unix_seconds("ts") - first + jitter) / slice_s)))
+    # a last event far later moves the watermark past all
+    end = events.limit(1).withColumns({"conn_id": F.lit(-1).cast(events.schema["conn_id"].dataType), "ts": F.timestamp_seconds(F.lit(last + 400 * 86400)), "kind": F.lit("close")})
+    for part in [*(dealt.where(f"batch = {i}").drop("batch") for i in range(8)), end]:
+        part.coalesce(1).write.mode("append").parquet(f"{at}/in")
+    stream = connections.assembled_stream(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"), idle="300 days", late=f"{2 * slice_s} seconds")
+    connections.drained(stream, f"{at}/out", f"{at}/checkpoint")
+    return spark.read.schema(stream.schema).parquet(f"{at}/out").select("conn_id", "protocol", "path", "host", "status", "bytes_sent", "bytes_received", "events")
+
+
 @query("""SELECT count(*) AS total, count(DISTINCT props) AS unique_paths, (SELECT string_agg(k || '=' || n, ',' ORDER BY k || '=' || n) FROM (SELECT CASE WHEN event_type IN ('signup', 'view') THEN 'read' ELSE 'write' END AS k, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1)) AS by_kind FROM events WHERE event_type <> 'error'""")
 def file_summary(spark, d):
     kind = F.when(F.col("event_type") == "signup", "open").when(F.col("event_type") == "view", "read").when(F.col("event_type") == "error", "close").otherwise("write")

@@ -1,6 +1,8 @@
 """Connections assembled from captured events: in batch by windows, in streams by state a connection.
 
-Events: conn_id, ts (timestamp), ord, kind (open, write, read, close), size, payload (text of the fragment). An open starts a connection and
+Events: conn_id, ts (timestamp), ord, kind (open, write, read, close), size, payload (text of the fragment), tls (whether the fragment
+was taken from an encrypted stream; may be left out). A connection with a request is https if any of its writes and reads is tls, else
+http; one without is tcp. An open starts a connection and
 drops one that was open; a write starts one where none is open; a second request in a connection ends it and starts the
 next; reads and closes without a connection are dropped; a close only stamps the end. What is open at the end counts.
 
@@ -10,12 +12,14 @@ one socket carries.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
 from ..functions.keys import probed_host
@@ -64,6 +68,7 @@ def parsed(events: DataFrame) -> DataFrame:
     return events.withColumns({
         "request": F.when(F.col("kind") == "write", http_request(F.col("payload"))), "response": F.when(F.col("kind") == "read", http_response(F.col("payload"))),
         "probed": F.when(F.col("kind").isin("write", "read"), probed_host(F.col("payload"))),
+        "tls": F.col("kind").isin("write", "read") & F.coalesce(F.col("tls") if "tls" in events.columns else F.lit(False), F.lit(False)),
     })
 
 
@@ -87,73 +92,149 @@ def assembled(events: DataFrame) -> DataFrame:
     out = rows.groupBy("conn_id", "epoch", "nth").agg(
         F.min("ts").alias("started"), F.max("ts").alias("ended"), F.max(F.when(F.col("request").isNotNull(), 1)).alias("has_request"), first(F.col("request.method"), F.col("request").isNotNull()).alias("method"),
         first(F.col("request.path"), F.col("request").isNotNull()).alias("path"), first(F.col("named"), F.col("named").isNotNull()).alias("host"), first(F.col("response.status"), F.col("response").isNotNull()).alias("status"),
-        F.coalesce(F.sum(F.when(F.col("kind") == "write", F.col("size"))), F.lit(0)).alias("bytes_sent"), F.coalesce(F.sum(F.when(F.col("kind") == "read", F.col("size"))), F.lit(0)).alias("bytes_received"), F.count("*").alias("events"),
+        F.coalesce(F.sum(F.when(F.col("kind") == "write", F.col("size"))), F.lit(0)).alias("bytes_sent"), F.coalesce(F.sum(F.when(F.col("kind") == "read", F.col("size"))), F.lit(0)).alias("bytes_received"), F.count("*").alias("events"), F.bool_or("tls").alias("tls"),
     )
-    return out.withColumn("protocol", F.when(F.col("has_request") == 1, "https").otherwise("tcp")).select(*(f.split()[0] for f in FIELDS.split(", ")))
-
-
-_STATE = "started timestamp, ended timestamp, requests int, method string, path string, own_host string, host string, status int, sent long, received long, events long, open boolean"
-_EMPTY = (None, None, 0, None, None, None, None, None, 0, 0, 0, False)
-
-
-def _row(key, s: tuple) -> tuple:
-    started, ended, requests, method, path, _, host, status, sent, received, events, _ = s
-    return (key[0], started, ended, "https" if requests else "tcp", method, path, host, status, sent, received, events)
-
-
-def _advance(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState, idle_ms: int) -> Iterator[pd.DataFrame]:
-    out: list[tuple] = []
-    s = list(state.get) if state.exists else list(_EMPTY)
-    if state.hasTimedOut:
-        if s[-1]:
-            out.append(_row(key, tuple(s)))
-        state.remove()
-    else:
-        events = pd.concat(list(chunks)).sort_values(["ts", "ord"])
-        for e in events.itertuples():
-            if e.kind == "open":
-                s = [e.ts, e.ts, 0, None, None, None, None, None, 0, 0, 0, True]
-            elif e.kind == "write":
-                if s[-1] and s[2] and e.has_request:
-                    out.append(_row(key, tuple(s)))
-                    s = list(_EMPTY)
-                if not s[-1]:
-                    s = [e.ts, e.ts, 0, None, None, None, None, None, 0, 0, 0, True]
-                if e.has_request:
-                    s[2], s[3], s[4], s[5] = s[2] + 1, e.method, e.path, e.own_host
-                s[6] = s[6] or s[5] or e.probed
-                s[8] += int(e.size)
-            elif not s[-1]:
-                continue
-            elif e.kind == "read":
-                s[6] = s[6] or e.probed
-                s[7] = s[7] if s[7] is not None else (None if pd.isna(e.status) else int(e.status))
-                s[9] += int(e.size)
-            s[1] = e.ts
-            s[10] += 1
-        if s[-1]:
-            state.update(tuple(s))
-            state.setTimeoutTimestamp(max(int(events.ts.max().timestamp() * 1000) + idle_ms, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-    names = [f.split()[0] for f in FIELDS.split(", ")]
-    yield pd.DataFrame(out, columns=names)
+    return out.withColumn("protocol", F.when(F.col("has_request").isNull(), "tcp").when(F.col("tls"), "https").otherwise("http")).select(*(f.split()[0] for f in FIELDS.split(", ")))
+
+
+#: A connection that is open, times in microseconds, and an event as it is held until the watermark has passed it.
+_STATE = "started long, ended long, method string, path string, own_host string, host string, status int, sent long, received long, events long, asked boolean, tls boolean"
+_HELD = "us long, ord long, kind string, size long, has_request boolean, method string, path string, own_host string, probed string, status int, tls boolean"
+_NAMES = [f.split()[0] for f in _HELD.split(", ")]
+
+
+class Assembler(StatefulProcessor):
+    """One connection's events in order of ts and ord, whatever the batches in which they came: an event is held until the watermark
+    has passed it. A gap of more than idle_ms ends a connection."""
+
+    def __init__(self, idle_ms: int) -> None:
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held, self.now = handle.getListState("held", _HELD), handle.getValueState("now", _STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        self.held.appendList([tuple(r[n] for n in _NAMES) for r in rows])
+        yield from self.advance(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self.advance(key, timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+    def advance(self, key, watermark: int) -> Iterator[Row]:
+        """Takes the held events that the watermark has passed, and sets the time at which to look again."""
+        state = tuple(self.now.get()) if self.now.exists() else None
+        held = sorted((tuple(e) for e in self.held.get()), key=lambda e: e[:2])
+        ready = sum(e[0] // 1000 <= watermark for e in held)
+        for e in held[:ready]:
+            if state and e[0] - state[1] > self.idle_ms * 1000:
+                yield finished(key, state)
+                state = None
+            done, state = following(state, dict(zip(_NAMES, e, strict=True)))
+            if done:
+                yield finished(key, done)
+        if state and state[1] // 1000 + self.idle_ms < watermark:
+            yield finished(key, state)
+            state = None
+        if ready:
+            self.held.put(held[ready:]) if ready < len(held) else self.held.clear()
+        if state:
+            self.now.update(state)
+        elif self.now.exists():
+            self.now.clear()
+        for timer in list(self.handle.listTimers()):
+            if timer > watermark:
+                self.handle.deleteTimer(timer)
+        if ready < len(held):
+            self.handle.registerTimer(max(held[ready][0] // 1000 + 1, watermark + 1))
+        elif state:
+            self.handle.registerTimer(max(state[1] // 1000 + self.idle_ms + 1, watermark + 1))
+
+
+def following(state: tuple | None, e: dict) -> tuple[tuple | None, tuple | None]:
+    """(a connection that the event ends, the state after the event)."""
+    new = (e["us"], e["us"], None, None, None, None, None, 0, 0, 0, False, False)
+    done = None
+    if e["kind"] == "open":
+        state = new
+    elif e["kind"] == "write":
+        if state and state[10] and e["has_request"]:
+            done, state = state, None
+        state = state or new
+    elif state is None:
+        return None, None
+    started, _, method, path, own_host, host, status, sent, received, events, asked, tls = state
+    if e["kind"] == "write":
+        if e["has_request"]:
+            method, path, own_host, asked = e["method"], e["path"], e["own_host"], True
+        host, sent = host or own_host or e["probed"], sent + e["size"]
+    elif e["kind"] == "read":
+        host, received = host or e["probed"], received + e["size"]
+        status = e["status"] if status is None else status
+    return done, (started, e["us"], method, path, own_host, host, status, sent, received, events + 1, asked, tls or e["tls"])
+
+
+def finished(key, s: tuple) -> Row:
+    started, ended, method, path, _, host, status, sent, received, events, asked, tls = s
+    return Row(conn_id=key[0], started=started, ended=ended, protocol=("https" if tls else "http") if asked else "tcp", method=method, path=path, host=host, status=status, bytes_sent=sent, bytes_received=received, events=events)
 
 
 def assembled_stream(events: DataFrame, *, idle: str = "10 minutes", late: str = "1 minute") -> DataFrame:
     """FIELDS of connections of a stream of events: a connection is given out when a second request ends it or when no event of
-    it came for `idle` of event time; events more than `late` behind the newest may be lost.
+    it came for `idle` of event time. Events may come out of order, across batches too, by up to `late`; those that are later are
+    dropped, which Losses counts.
 
     The time limit is what bounds the state; a bounded trace has none, so that the last connections there come out only
-    as later events move the watermark past them.
+    as later events move the watermark past them. The session's streams keep their state in RocksDB from here on.
     """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
     rows = parsed(events).withWatermark("ts", late).select(
-        "conn_id", "ts", "ord", "kind", F.coalesce("size", F.lit(0)).alias("size"), F.col("request").isNotNull().alias("has_request"), F.col("request.method").alias("method"), F.col("request.path").alias("path"), F.col("request.host").alias("own_host"), "probed", F.col("response.status").alias("status")
+        "conn_id", "ts", F.unix_micros("ts").alias("us"), "ord", "kind", F.coalesce("size", F.lit(0)).cast("long").alias("size"), F.col("request").isNotNull().alias("has_request"), F.col("request.method").alias("method"), F.col("request.path").alias("path"),
+        F.col("request.host").alias("own_host"), "probed", F.col("response.status").alias("status"), "tls",
     )
-
-    def step(key, chunks, state):
-        rows = (pdf.astype(object).where(pdf.notna(), None) for pdf in chunks)
-        return _advance(key, rows, state, idle_ms)
-
-    return rows.groupBy("conn_id").applyInPandasWithState(step, FIELDS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    out = rows.groupBy("conn_id").transformWithState(Assembler(idle_ms), FIELDS.replace("timestamp", "long"), "append", "eventTime")
+    return out.withColumns({c: F.timestamp_micros(c) for c in ("started", "ended")})
+
+
+class Losses(StreamingQueryListener):
+    """What streams read and dropped as late, counted as their batches end; what is observed under `name` is added up as well."""
+
+    def __init__(self, name: str = "events") -> None:
+        self.name, self.rows, self.late, self.batches, self.seen = name, 0, 0, 0, {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.batches += 1
+        self.rows += p.numInputRows
+        self.late += sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
+        for k, v in (p.observedMetrics[self.name].asDict() if self.name in p.observedMetrics else {}).items():
+            self.seen[k] = self.seen.get(k, 0) + (v or 0)
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.runId))
+
+
+def drained(stream: DataFrame, sink: str, checkpoint: str, losses: Losses | None = None) -> Losses:
+    """Runs a stream over all that its source has now, in its bounded batches, into Parquet at sink; what was lost on the way."""
+    losses, spark = losses or Losses(), stream.sparkSession
+    spark.streams.addListener(losses)
+    try:
+        q = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        until = time.time() + 30
+        while str(q.runId) not in losses.ended and time.time() < until:  # the listener hears of it a little later
+            time.sleep(0.05)
+    finally:
+        spark.streams.removeListener(losses)
+    return losses
