@@ -104,16 +104,33 @@ def composition_lists(components: DataFrame, complete_ecosystems: list[str], tra
     return components.select("target").distinct().join(each, "target", "left").select("target", F.concat(F.array(first), F.coalesce("c_", F.array().cast(each.schema["c_"].dataType))).alias("compositions"))
 
 
+def prepared(components: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What all formats make of components and edges, so that it is done once: (components with parent, properties, licence entries,
+    reduced licences and the digests that ids are made of; distinct edges with those of their ends, and whether both are known).
+
+    Tables that have been prepared come back as they are.
+    """
+    if "props_" in components.columns:
+        return components, edges
+    c = nested(complete(components)).withColumns({
+        "props_": property_list(), "entries_": license_entries(), "declared_": lic.reduced(F.col("licenses")), "concluded_": lic.reduced(F.col("concluded")), "id_": base32_id(F.col("purl")), "parent_id_": base32_id(F.col("parent")),
+    })
+    ids = c.select("target", "purl", "id_").distinct()
+    end = lambda x: ids.select("target", F.col("purl").alias(x), F.col("id_").alias(f"{x}_id_"))
+    e = edges.select("target", "src", "dst", "kind").distinct().join(end("src"), ["target", "src"], "left").join(end("dst"), ["target", "dst"], "left")
+    return c, e.withColumn("known_", F.col("src_id_").isNotNull() & F.col("dst_id_").isNotNull())
+
+
 def cyclonedx(components: DataFrame, edges: DataFrame, *, made_at: str, complete_ecosystems: list[str] = ()) -> DataFrame:
     """target, document: CycloneDX 1.6 JSON."""
-    c = nested(complete(components))
+    c, edges = prepared(components, edges)
     ref = F.when(F.col("parent").isNotNull(), F.concat("purl", F.lit("#"), "parent")).otherwise(F.col("purl"))
     method = F.struct(named(F.col("technique"), TECHNIQUES, F.lit("other")).alias("technique"), F.col("confidence").alias("confidence"))
     evidence = F.struct(F.array(F.struct(F.lit("purl").alias("field"), F.col("confidence"), F.array(method).alias("methods"))).alias("identity"), _or_null(F.transform("paths", lambda p: F.struct(p.alias("location")))).alias("occurrences"))
     one = F.struct(
         F.lit("library").alias("type"), "name", "version", "purl", ref.alias("bom-ref"), evidence.alias("evidence"), _or_null(F.transform("hashes", lambda h: F.struct(named(h["alg"], HASHES).alias("alg"), h["value"].alias("content")))).alias("hashes"),
-        _or_null(license_entries()).alias("licenses"), F.when(F.col("supplier").isNotNull(), F.struct(F.col("supplier").alias("name"))).alias("supplier"), _or_null(F.transform("refs", lambda r: F.struct(r["kind"].alias("type"), r["url"].alias("url")))).alias("externalReferences"),
-        F.get("cpes", 0).alias("cpe"), _or_null(property_list()).alias("properties"),
+        _or_null(F.col("entries_")).alias("licenses"), F.when(F.col("supplier").isNotNull(), F.struct(F.col("supplier").alias("name"))).alias("supplier"), _or_null(F.transform("refs", lambda r: F.struct(r["kind"].alias("type"), r["url"].alias("url")))).alias("externalReferences"),
+        F.get("cpes", 0).alias("cpe"), _or_null(F.col("props_")).alias("properties"),
     )
     rows = c.select("target", "purl", "parent_purl", "parent", "tier", one.alias("entry"))
     kids = rows.where("parent is not null").groupBy("target", F.col("parent").alias("purl")).agg(_list("purl", of=F.col("entry")).alias("kids"))
@@ -133,20 +150,15 @@ def cyclonedx(components: DataFrame, edges: DataFrame, *, made_at: str, complete
     return out.select("target", F.to_json(document).alias("document"))
 
 
-def spdx_id(purl: Column) -> Column:
-    return F.concat(F.lit("SPDXRef-Package-"), base32_id(purl))
+def spdx_id(digest: str) -> Column:
+    """The id of a package, from the column that holds its purl's digest."""
+    return F.concat(F.lit("SPDXRef-Package-"), F.col(digest))
 
 
 #: Edge kinds as SPDX 2.3 names them; the last two are written from the dependency to its user.
 SPDX_KINDS = {"depends_on": "DEPENDS_ON", "dev_depends_on": "DEV_DEPENDENCY_OF", "build_depends_on": "BUILD_DEPENDENCY_OF"}
 
 
-def known_edges(components: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges whose both ends are components of their target."""
-    ids = components.select("target", "purl").distinct()
-    return edges.join(ids.withColumnRenamed("purl", "src"), ["target", "src"], "left_semi").join(ids.withColumnRenamed("purl", "dst"), ["target", "dst"], "left_semi").distinct()
-
-
 def envelope(field: Column, value: Column) -> Column:
     """The JSON text that carries a field the format has no place for."""
     return F.to_json(F.struct(F.lit("sbom-annotation/v1").alias("schema"), field.alias("field"), value.alias("value")))
@@ -154,29 +166,29 @@ def envelope(field: Column, value: Column) -> Column:
 
 def spdx2(components: DataFrame, edges: DataFrame, *, made_at: str) -> DataFrame:
     """target, document: SPDX 2.3 JSON. The document describes its roots: top-level packages that nothing depends on."""
-    c = nested(complete(components))
-    declared, concluded = lic.reduced(F.col("licenses")), lic.reduced(F.col("concluded"))
+    c, edges = prepared(components, edges)
+    declared, concluded = F.col("declared_"), F.col("concluded_")
     people = F.when(F.col("supplier").isNotNull(), F.concat(F.lit("Organization: "), "supplier"))
     refs = F.concat(F.array(F.struct(F.lit("PACKAGE-MANAGER").alias("referenceCategory"), F.lit("purl").alias("referenceType"), F.col("purl").alias("referenceLocator"))), F.transform("cpes", lambda x: F.struct(F.lit("SECURITY").alias("referenceCategory"), F.lit("cpe23Type").alias("referenceType"), x.alias("referenceLocator"))))
-    notes = F.transform(property_list(), lambda p: F.struct(F.lit("OTHER").alias("annotationType"), F.lit("Tool: inventory").alias("annotator"), F.lit(made_at).alias("annotationDate"), envelope(p["name"], p["value"]).alias("comment")))
+    notes = F.transform("props_", lambda p: F.struct(F.lit("OTHER").alias("annotationType"), F.lit("Tool: inventory").alias("annotator"), F.lit(made_at).alias("annotationDate"), envelope(p["name"], p["value"]).alias("comment")))
     package = F.struct(
-        spdx_id(F.col("purl")).alias("SPDXID"), "name", F.col("version").alias("versionInfo"), F.lit("NOASSERTION").alias("downloadLocation"), F.lit(False).alias("filesAnalyzed"), people.alias("supplier"), declared.alias("licenseDeclared"), concluded.alias("licenseConcluded"),
+        spdx_id("id_").alias("SPDXID"), "name", F.col("version").alias("versionInfo"), F.lit("NOASSERTION").alias("downloadLocation"), F.lit(False).alias("filesAnalyzed"), people.alias("supplier"), declared.alias("licenseDeclared"), concluded.alias("licenseConcluded"),
         F.lit("NOASSERTION").alias("copyrightText"), _or_null(F.transform("hashes", lambda h: F.struct(F.upper(h["alg"]).alias("algorithm"), h["value"].alias("checksumValue")))).alias("checksums"), refs.alias("externalRefs"), _or_null(notes).alias("annotations"),
     )
     rows = c.dropDuplicates(["target", "purl"])
     packages = rows.groupBy("target").agg(_list("purl", of=package).alias("packages"))
-    joined = F.explode(F.array("licenses", "concluded"))
-    texts = rows.select("target", joined.alias("l")).where(F.size("l") > 0).select("target", lic.reduced(F.col("l")).alias("licenseId"), F.array_join("l", " AND ").alias("extractedText")).where(F.startswith("licenseId", F.lit("LicenseRef-")))
+    joined = F.inline(F.array(F.struct(F.col("licenses").alias("l"), F.col("declared_").alias("licenseId")), F.struct(F.col("concluded").alias("l"), F.col("concluded_").alias("licenseId"))))
+    texts = rows.select("target", joined).where(F.size("l") > 0).select("target", "licenseId", F.array_join("l", " AND ").alias("extractedText")).where(F.startswith("licenseId", F.lit("LicenseRef-")))
     texts = texts.groupBy("target", "licenseId").agg(F.min("extractedText").alias("extractedText"))
     extracted = texts.groupBy("target").agg(_list("licenseId", of=F.struct("licenseId", "extractedText", F.lit("extracted license").alias("name"))).alias("extracted"))
-    known = known_edges(c, edges)
+    known = edges.where("known_")
     relation = lambda a, kind, b: F.struct(a.alias("spdxElementId"), kind.alias("relationshipType"), b.alias("relatedSpdxElement"))
     turned = F.col("kind") != "depends_on"
-    a, b = F.when(turned, F.col("dst")).otherwise(F.col("src")), F.when(turned, F.col("src")).otherwise(F.col("dst"))
-    depends = known.select("target", relation(spdx_id(a), named(F.col("kind"), SPDX_KINDS, F.lit("DEPENDS_ON")), spdx_id(b)).alias("r"))
-    contains = c.where("parent is not null").select("target", relation(spdx_id(F.col("parent")), F.lit("CONTAINS"), spdx_id(F.col("purl"))).alias("r"))
-    roots = rows.where("parent is null").select("target", "purl").join(known.select("target", F.col("dst").alias("purl")).distinct(), ["target", "purl"], "left_anti")
-    describes = roots.select("target", relation(F.lit("SPDXRef-DOCUMENT"), F.lit("DESCRIBES"), spdx_id(F.col("purl"))).alias("r"))
+    a, b = F.when(turned, spdx_id("dst_id_")).otherwise(spdx_id("src_id_")), F.when(turned, spdx_id("src_id_")).otherwise(spdx_id("dst_id_"))
+    depends = known.select("target", relation(a, named(F.col("kind"), SPDX_KINDS, F.lit("DEPENDS_ON")), b).alias("r"))
+    contains = c.where("parent is not null").select("target", relation(spdx_id("parent_id_"), F.lit("CONTAINS"), spdx_id("id_")).alias("r"))
+    roots = rows.where("parent is null").select("target", "purl", "id_").join(known.select("target", F.col("dst").alias("purl")).distinct(), ["target", "purl"], "left_anti")
+    describes = roots.select("target", relation(F.lit("SPDXRef-DOCUMENT"), F.lit("DESCRIBES"), spdx_id("id_")).alias("r"))
     relations = depends.unionByName(contains).unionByName(describes).distinct().groupBy("target").agg(F.array_sort(F.collect_list("r")).alias("relationships"))
     out = packages.join(extracted, "target", "left").join(relations, "target", "left")
     document = F.struct(
@@ -188,10 +200,11 @@ def spdx2(components: DataFrame, edges: DataFrame, *, made_at: str) -> DataFrame
 
 def spdx3(components: DataFrame, edges: DataFrame, *, made_at: str) -> DataFrame:
     """target, document: SPDX 3 JSON-LD, a graph of elements sorted by their ids. All edge kinds become dependsOn."""
-    c = nested(complete(components))
+    c, edges = prepared(components, edges)
     rows = c.dropDuplicates(["target", "purl"])
     base = F.concat(F.lit("https://inventory.invalid/spdx3/"), base32_id(F.col("target")), F.lit("/"))
     iri = lambda kind, x: F.concat(base, F.lit(kind), base32_id(x))
+    of = lambda digest: F.concat(base, F.lit("package-"), F.col(digest))
     info = F.lit("_:creation")
     el = "spdxId string, type string, creationInfo string, name string, software_packageVersion string, software_packageUrl string, suppliedBy string, verifiedUsing array<struct<type:string,algorithm:string,hashValue:string>>, externalIdentifier array<struct<type:string,externalIdentifierType:string,identifier:string>>, `from` string, `to` array<string>, relationshipType string, simplelicensing_licenseExpression string, simplelicensing_licenseText string, statement string, subject string, annotationType string"
     fields = [f.strip().split(" ", 1) for f in re.split(r", (?=`?\w+`? (?:string|array))", el)]
@@ -201,7 +214,7 @@ def spdx3(components: DataFrame, edges: DataFrame, *, made_at: str) -> DataFrame
 
     identifier = lambda kind, x: F.struct(F.lit("ExternalIdentifier").alias("type"), F.lit(kind).alias("externalIdentifierType"), x.alias("identifier"))
     package = element(
-        spdxId=iri("package-", F.col("purl")), type=F.lit("software_Package"), creationInfo=info, name=F.col("name"), software_packageVersion=F.col("version"), software_packageUrl=F.col("purl"), suppliedBy=F.when(F.col("supplier").isNotNull(), iri("agent-", F.col("supplier"))),
+        spdxId=of("id_"), type=F.lit("software_Package"), creationInfo=info, name=F.col("name"), software_packageVersion=F.col("version"), software_packageUrl=F.col("purl"), suppliedBy=F.when(F.col("supplier").isNotNull(), iri("agent-", F.col("supplier"))),
         verifiedUsing=_or_null(F.transform("hashes", lambda h: F.struct(F.lit("Hash"), h["alg"], h["value"]))),
         externalIdentifier=F.concat(F.array(identifier("packageUrl", F.col("purl"))), F.transform("cpes", lambda x: identifier("cpe23", x))),
     )
@@ -209,18 +222,18 @@ def spdx3(components: DataFrame, edges: DataFrame, *, made_at: str) -> DataFrame
     agents = rows.where("supplier is not null").select("target", "supplier").distinct()
     elements = elements.unionByName(agents.select("target", element(spdxId=iri("agent-", F.col("supplier")), type=F.lit("Organization"), creationInfo=info, name=F.col("supplier")).alias("e")))
     relation = lambda a, kind, b: element(spdxId=iri("relationship-", F.concat_ws("|", a, F.lit(kind), b)), type=F.lit("Relationship"), creationInfo=info, **{"from": a, "to": F.array(b), "relationshipType": F.lit(kind)}).alias("e")
-    declared, concluded = lic.reduced(F.col("licenses")), lic.reduced(F.col("concluded"))
-    says = rows.select("target", "purl", F.explode(F.array(F.struct(F.lit("hasDeclaredLicense").alias("how"), declared.alias("text"), F.array_join("licenses", " AND ").alias("raw")), F.when(concluded != declared, F.struct(F.lit("hasConcludedLicense").alias("how"), concluded.alias("text"), F.array_join("concluded", " AND ").alias("raw"))))).alias("l")).where("l.text is not null and l.text <> 'NOASSERTION'")
+    declared, concluded = F.col("declared_"), F.col("concluded_")
+    says = rows.select("target", "id_", F.explode(F.array(F.struct(F.lit("hasDeclaredLicense").alias("how"), declared.alias("text"), F.array_join("licenses", " AND ").alias("raw")), F.when(concluded != declared, F.struct(F.lit("hasConcludedLicense").alias("how"), concluded.alias("text"), F.array_join("concluded", " AND ").alias("raw"))))).alias("l")).where("l.text is not null and l.text <> 'NOASSERTION'")
     texts = says.select("target", F.col("l.text").alias("t"), F.col("l.raw").alias("raw")).groupBy("target", "t").agg(F.min("raw").alias("raw"))
     spoken = F.when(F.startswith("t", F.lit("LicenseRef-")), F.col("raw"))
     elements = elements.unionByName(texts.select("target", element(spdxId=iri("license-", F.col("t")), type=F.lit("simplelicensing_LicenseExpression"), creationInfo=info, simplelicensing_licenseExpression=F.col("t"), simplelicensing_licenseText=spoken).alias("e")))
     for how in ("hasDeclaredLicense", "hasConcludedLicense"):
-        elements = elements.unionByName(says.where(F.col("l.how") == how).select("target", relation(iri("package-", F.col("purl")), how, iri("license-", F.col("l.text")))))
-    known = known_edges(c, edges).select("target", "src", "dst").distinct()
-    elements = elements.unionByName(known.select("target", relation(iri("package-", F.col("src")), "dependsOn", iri("package-", F.col("dst")))))
-    elements = elements.unionByName(c.where("parent is not null").select("target", "parent", "purl").distinct().select("target", relation(iri("package-", F.col("parent")), "contains", iri("package-", F.col("purl")))))
-    notes = rows.select("target", "purl", F.explode(property_list()).alias("p"))
-    elements = elements.unionByName(notes.select("target", element(spdxId=iri("annotation-", F.concat_ws("|", "purl", F.col("p.name"))), type=F.lit("Annotation"), creationInfo=info, annotationType=F.lit("other"), subject=iri("package-", F.col("purl")), statement=envelope(F.col("p.name"), F.col("p.value"))).alias("e")))
+        elements = elements.unionByName(says.where(F.col("l.how") == how).select("target", relation(of("id_"), how, iri("license-", F.col("l.text")))))
+    known = edges.where("known_").select("target", "src_id_", "dst_id_").distinct()
+    elements = elements.unionByName(known.select("target", relation(of("src_id_"), "dependsOn", of("dst_id_"))))
+    elements = elements.unionByName(c.where("parent is not null").select("target", "parent_id_", "id_").distinct().select("target", relation(of("parent_id_"), "contains", of("id_"))))
+    notes = rows.select("target", "purl", "id_", F.explode("props_").alias("p"))
+    elements = elements.unionByName(notes.select("target", element(spdxId=iri("annotation-", F.concat_ws("|", "purl", F.col("p.name"))), type=F.lit("Annotation"), creationInfo=info, annotationType=F.lit("other"), subject=of("id_"), statement=envelope(F.col("p.name"), F.col("p.value"))).alias("e")))
     packed = elements.groupBy("target").agg(F.array_sort(F.collect_list("e")).alias("elements"))
     head = element(spdxId=F.concat(base, F.lit("document")), type=F.lit("SpdxDocument"), creationInfo=info, name=F.col("target"))
     document = F.struct(F.lit("https://spdx.org/rdf/3.0.1/spdx-context.jsonld").alias("@context"), F.concat(F.array(head), F.col("elements")).alias("@graph"), F.struct(F.lit(made_at).alias("created"), F.lit("3.0.1").alias("specVersion")).alias("creationInfo"))
@@ -264,9 +277,9 @@ def planned(formats: list[str], outputs: list[str] = ()) -> dict[str, str]:
 
 
 def emitted(components: DataFrame, edges: DataFrame, formats: list[str], *, made_at: str) -> DataFrame:
-    """target, format, file, document of every planned format, all made from the same two tables, which are stored once."""
+    """target, format, file, document of every planned format, all made from the same two prepared tables, which are stored once."""
     checkpoints(components.sparkSession)
-    components, edges, out = complete(components).checkpoint(), edges.checkpoint(), None
+    (components, edges), out = (t.checkpoint() for t in prepared(components, edges)), None
     for kind, path in planned(formats).items():
         one = SERIALIZERS[kind](components, edges, made_at=made_at).select("target", F.lit(kind).alias("format"), F.lit(path).alias("file"), "document")
         out = one if out is None else out.unionByName(one)
