@@ -311,3 +311,10 @@ def cpe_and_qualifiers(spark, d):
 
     cpe = case(cat("cpe:2.3:a:x:", "nm", ":", "v", ":*:*:*:*:*:*:*"), cat("cpe:2.3:a:x:", "nm", ":*:*:*:*:*:*:*:*"), cat("cpe:2.3:a::", "nm", ":1:*:*:*:*:*:*:*"))
     return parts(spark, d).select("k", fully_resolved_cpe(cpe).alias("resolved"), keys.sorted_qualifiers(case(cat("z=", "b", "&arch=x&a=1"), F.lit("b=1"), F.lit(""))).alias("qualifiers"))
+
+
+@query(f"""{P} SELECT k, {sql_case("'((MIT AND ISC) OR (Zlib AND (X11)))'", "'GPL-2.0-only WITH Classpath-exception-2.0 AND MIT'", "repeat('(', k % 9) || 'MIT+ OR LicenseRef-' || b || repeat(')', k % 9)", 'NULL', 'NULL', 'NULL', 'NULL', 'NULL')} AS expression FROM p""")
+def license_expressions(spark, d):
+    deep = F.concat(F.repeat(F.lit("( "), F.col("k").cast("int") % 9), cat("MIT+   OR LicenseRef-", "b"), F.repeat(F.lit(")"), F.col("k").cast("int") % 9))
+    some = ("(( MIT  AND ISC )OR(Zlib AND (X11) ))", "GPL-2.0-only WITH Classpath-exception-2.0 AND MIT", None, "(MIT AND ISC", "MIT AND OR ISC", "(MIT) WITH Classpath-exception-2.0", "MIT WITH ISC", "MIT ISC")
+    return parts(spark, d).select("k", licenses.canonical(case(*(deep if x is None else F.lit(x) for x in some))).alias("expression"))
