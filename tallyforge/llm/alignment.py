@@ -25,6 +25,7 @@ from itertools import accumulate, chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,9 @@ from .sp_codec import MARK, _gathered
 #: A place where neither tokenizer joins: before spaces that follow what isn't white space and are followed by more text.
 CUT = re.compile(r"(?<=\S)(?= +[^ ])")
 
+#: What makes a text odd: a space at an end, or one after white space. In others every space is such a place.
+ODD = r"^ | $|[\s\x0b\x1c-\x1f\x{85}\p{Z}] "
+
 #: What a state says: neither side is ahead, A is, or B is.
 EVEN, A_LEADS, B_LEADS = 0, 1, 2
 
@@ -97,24 +101,26 @@ class Transducer:
             self.forget()
         memo, leads, ends = self.memo, self.leads, []
         i = j = state = 0
-        while i < len(a) or j < len(b):
+        n_a, n_b = len(a), len(b)
+        while True:
             if leads[state] == A_LEADS:
-                if j == len(b):
+                if j == n_b:
                     return None
                 token = b[j]
                 j += 1
-            else:
-                if i == len(a):
-                    return None
+            elif i < n_a:
                 token = a[i]
                 i += 1
-            to = memo.get(state << 32 | token)
-            state = self.step(state, token) if to is None else to
+            else:
+                return ends if state == 0 and j == n_b else None
+            try:
+                state = memo[state << 32 | token]
+            except KeyError:
+                state = self.step(state, token)
             if state < 0:
                 return None
             if state == 0:
                 ends.append((i, j))
-        return None if state else ends
 
 
 class Aligner:
@@ -145,47 +151,54 @@ class Aligner:
         for token, i in vocabulary.items():
             self.size_a[i] = len(token)
 
-    def encoded_a(self, pieces: list[str], together: int = 256) -> list[list[int]]:
-        """A ids of pieces. Those that don't end in white space are encoded some at a time, as no token crosses the space between them;
-        the ids fall apart where the bytes of the pieces end."""
-        out: list[list[int]] = [[]] * len(pieces)
+    def written(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.side_a.__getitem__, ids))
+
+    def encoded_a(self, pieces: list[str], together: int = 256) -> list[list[int] | None]:
+        """A ids of space+piece, None where they write other bytes. Pieces that don't end in white space are encoded some at a time, as no
+        token crosses the space between them; the ids fall apart where the bytes of the pieces end."""
+        out: list[list[int] | None] = [None] * len(pieces)
+        runs, alone = [], [i for i, p in enumerate(pieces) if p[-1].isspace()]
         open_ended = [i for i, p in enumerate(pieces) if not p[-1].isspace()]
         runs = [open_ended[i : i + together] for i in range(0, len(open_ended), together)]
-        alone = [i for i, p in enumerate(pieces) if p[-1].isspace()]
-        for run, e in zip(runs, self.a.encode_batch_fast(["".join([pieces[i] for i in run]) for run in runs], add_special_tokens=False), strict=True):
+        texts = ["".join([f" {pieces[i]}" for i in run]) for run in runs]
+        for run, text, e in zip(runs, texts, self.a.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = e.ids
-            ends = np.cumsum(self.size_a[ids])
-            wanted = np.cumsum([len(pieces[i].encode()) for i in run])
+            ends, wanted = np.cumsum(self.size_a[ids]), np.cumsum([1 + len(pieces[i].encode()) for i in run])
             at = np.searchsorted(ends, wanted)
-            if len(ends) and at[-1] < len(ends) and (ends[at] == wanted).all():
+            if self.written(ids) == text.encode() and (ends[at] == wanted).all():
                 start = 0
                 for i, to in zip(run, (at + 1).tolist(), strict=True):
                     out[i] = ids[start:to]
                     start = to
-            else:  # the tokenizer changes texts, so that bytes don't count
+            else:
                 alone += run
-        for i, e in zip(alone, self.a.encode_batch_fast([pieces[i] for i in alone], add_special_tokens=False), strict=True):
-            out[i] = e.ids
+        for i, e in zip(alone, self.a.encode_batch_fast([f" {pieces[i]}" for i in alone], add_special_tokens=False), strict=True):
+            out[i] = e.ids if self.written(e.ids) == f" {pieces[i]}".encode() else None
         return out
 
     def pieces(self, pieces: list[str]) -> Pieces:
-        """pieces, which begin with a space, encoded and aligned. The first that come, which are the common ones, are kept for later blocks."""
+        """pieces, which stand behind a space, encoded and aligned. The first that come, which are the common ones, are kept for later blocks."""
         new = [p for p in pieces if p not in self.kept]
-        of_a = self.encoded_a(new)
-        of_b = self.b.encode([p[1:] for p in new], num_threads=1)
-        groups, written = self.transducer.groups, self.side_a.__getitem__
-        made = {p: (a, b, groups(a, b) if b"".join(map(written, a)) == p.encode() else None) for p, a, b in zip(new, of_a, of_b, strict=True)}
+        of_a, of_b = self.encoded_a(new), self.b.encode(new, num_threads=1)
+        groups = self.transducer.groups
+        made = {p: (a, b, None if a is None else groups(a, b)) for p, a, b in zip(new, of_a, of_b, strict=True)}
         found = [self.kept.get(p) or made[p] for p in pieces]
         for p in islice(new, max(0, self.most - len(self.kept))):
             if len(p) < 64:
                 self.kept[p] = made[p]
-        return Pieces(*zip(*found, strict=True)) if found else Pieces([], [], [])
+        return Pieces(*([f[k] for f in found] for k in range(3)))
 
-    def block(self, texts: list[str | None]) -> Block:
-        cut = [CUT.split(" " + t) if t else [] for t in texts]
-        known: dict[str, int] = {}
-        at = np.fromiter((known.setdefault(p, len(known)) for c in cut for p in c), np.int64)
-        return Block(self.pieces(list(known)), at, np.array([len(c) for c in cut], np.int64))
+    def block(self, column: pa.Array) -> Block:
+        column = pc.fill_null(column.cast(pa.string()), "")
+        odd = pc.or_(pc.match_substring_regex(column, ODD), pc.equal(column, "")).to_numpy(zero_copy_only=False)
+        even = pc.split_pattern(column.filter(pa.array(~odd)), " ")
+        rest = pa.array([[p[1:] for p in CUT.split(" " + t)] if t else [] for t in column.filter(pa.array(odd)).to_pylist()], pa.list_(pa.string()))
+        place = np.empty(len(column), np.int64)
+        place[np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])] = np.arange(len(column))
+        lists = pa.concat_arrays([even, rest]).take(pa.array(place))
+        coded = lists.flatten().dictionary_encode()
+        return Block(self.pieces(coded.dictionary.to_pylist()), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
 
 
 def flat(lists: list) -> np.ndarray:
@@ -204,11 +217,12 @@ class Pieces:
     """
 
     def __init__(self, of_a: list[list[int]], of_b: list[list[int]], ends: list[list[tuple[int, int]] | None]) -> None:
-        self.fine = np.array([e is not None for e in ends], bool)
-        kept = [(a, b, e) if e is not None else ((), (), ()) for a, b, e in zip(of_a, of_b, ends, strict=True)]
-        self.a, self.b = flat([k[0] for k in kept]), flat([k[1] for k in kept])
-        self.n = np.array([[len(x) for x in k] for k in kept], np.int64).reshape(-1, 3)
-        upto = flat(chain.from_iterable(k[2] for k in kept)).reshape(-1, 2)
+        self.fine = np.fromiter((e is not None for e in ends), bool, len(ends))
+        if not self.fine.all():
+            of_a, of_b, ends = ([x if e is not None else () for x, e in zip(side, ends, strict=True)] for side in (of_a, of_b, ends))
+        self.a, self.b = flat(of_a), flat(of_b)
+        self.n = np.stack([np.fromiter(map(len, x), np.int64, len(x)) for x in (of_a, of_b, ends)], axis=1)
+        upto = flat(chain.from_iterable(ends)).reshape(-1, 2)
         self.groups = np.diff(upto, axis=0, prepend=0)
         first = np.cumsum(self.n[:, 2]) - self.n[:, 2]
         first = first[self.n[:, 2] > 0]
@@ -309,7 +323,7 @@ def _aligned(docs: DataFrame, a: str, b: str, block_bytes: int) -> Iterator[tupl
         n = 0
         for batch in batches:
             for part in text_slices([batch], block_bytes):
-                yield task + n, part, aligner.block(part.column("text").to_pylist())
+                yield task + n, part, aligner.block(part.column("text"))
                 n += 1
 
     return blocks

@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string"
 TEXTS = [
     None, "", " ", "  ", "a", " a", "a ", "a  b", "tab\t x\n y \n\n z", "été 東京 タワー 𝒳🙂", "<s> </s> <unk> <|endoftext|> <0x41>", "a ▁b", "▁", "café  x", "one two", "one two",
-    "x" * 3000, "ab" * 2000 + " " + "zq7" * 500, "don't we'll 123456 12,5 --- ###", "​　 a\x00b", "line one\n  indented\n\n\tline\r\nend ", "日本語" * 50,
+    "x" * 3000, "ab" * 2000 + " " + "zq7" * 500, "don't we'll 123456 12,5 --- ###", "​　 a\x00b", "line one\n  indented\n\n\tline\r\nend ", "日本語" * 50, "a\u3000 \u3000b\u2028 c\x85 \x1cd \u00a0e", "a\n \nb  c\t ", "\ta b",
 ]
 
 
