@@ -126,9 +126,9 @@ class Transducer:
 class Aligner:
     """Both tokenizers, and for blocks of texts their pieces, encoded and aligned."""
 
-    def __init__(self, a: bytes, b: bytes, most: int = 150_000) -> None:
+    def __init__(self, a: bytes, b: bytes, most: int = 100_000) -> None:
         self.kept: dict[str, tuple] = {}
-        self.most = most  # pieces that are kept, about 100 MB
+        self.most = most  # pieces that are kept, about 70 MB
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
         from sentencepiece import SentencePieceProcessor
@@ -236,12 +236,17 @@ class Pieces:
         piece = np.repeat(np.arange(len(self.n)), self.n[:, 2])
         n_a, n_b = self.groups.T
         first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
-        small = np.flatnonzero(n_a * n_b <= many)
-        sizes = (n_a * n_b)[small]
-        g, r = np.repeat(small, sizes), ranks(sizes)
-        keys = [self.a[first_a[g] + r // np.maximum(n_b[g], 1)] << 32 | self.b[first_b[g] + r % np.maximum(n_b[g], 1)]]
-        owners, links = [piece[g]], [np.ones(len(g), np.int64)]
-        for i in np.flatnonzero(n_a * n_b > many):
+        sizes = np.where(n_a * n_b <= many, n_a * n_b, 0)
+        g, r = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), ranks(sizes).astype(np.int32)
+        width = np.maximum(n_b, 1).astype(np.int32)[g]
+        keys = self.a[first_a[g] + r // width] << 32
+        keys |= self.b[first_b[g] + r % width]
+        count = np.bincount(piece, sizes, len(self.n)).astype(np.int64)
+        large = np.flatnonzero(n_a * n_b > many)
+        if not len(large):
+            return keys, np.ones(len(keys), np.int64), count
+        owners, keys, links = [piece[g]], [keys], [np.ones(len(g), np.int64)]
+        for i in large:
             ours, m = np.unique(self.a[first_a[i] : first_a[i] + n_a[i]], return_counts=True)
             theirs, n = np.unique(self.b[first_b[i] : first_b[i] + n_b[i]], return_counts=True)
             keys.append((ours[:, None] << 32 | theirs).ravel())
@@ -329,7 +334,7 @@ def _aligned(docs: DataFrame, a: str, b: str, block_bytes: int) -> Iterator[tupl
     return blocks
 
 
-def aligned(docs: DataFrame, a: str, b: str, block_bytes: int = 4 << 20) -> DataFrame:
+def aligned(docs: DataFrame, a: str, b: str, block_bytes: int = 2 << 20) -> DataFrame:
     """doc_id, groups: of every row of docs (doc_id, text) its groups as `a1,a2|b1;a3|b2,b3`, ids in order; empty without tokens."""
     blocks = _aligned(docs, a, b, block_bytes)
 
@@ -369,7 +374,7 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     return held.join(F.broadcast(most), of_a == F.col("of_a_")).select("key", "n", (F.col("n") == F.col("most_")).alias("best"))
 
 
-def alignment(docs: DataFrame, a: str, b: str, block_bytes: int = 4 << 20) -> DataFrame:
+def alignment(docs: DataFrame, a: str, b: str, block_bytes: int = 2 << 20) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row of docs (doc_id, text)."""
     rows = stored(linked_rows(docs, a, b, block_bytes), "aligned")
     counts = pair_counts(rows)
