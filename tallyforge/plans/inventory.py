@@ -35,10 +35,13 @@ def joined(x: str) -> F.Column:
     return F.array_join(F.col(x), "|").alias(x)
 
 
-@query("""SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text)) AS size FROM documents WHERE octet_length(encode(text)) <= 4096 AND source IN ('src1', 'src2')""")
+MOST_BYTES = 256 << 20
+
+
+@query(f"""SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text)) AS size FROM documents WHERE octet_length(encode(text)) <= {MOST_BYTES}""")
 def scan_hash_filter(spark, d):
     size = F.octet_length("text").cast("bigint")
-    return table(spark, d, "documents").where(F.col("source").isin("src1", "src2") & (size <= 4096)).select("doc_id", F.sha2("text", 256).alias("sha256"), size.alias("size"))
+    return table(spark, d, "documents").where(size <= MOST_BYTES).select("doc_id", F.sha2("text", 256).alias("sha256"), size.alias("size"))
 
 
 @query("""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import claims, graph, jars, maven
-from ..sources import locks
+from ..operators import claims, graph, jars, maven, snapshots
+from ..operators.lineage import shared
+from ..sources import locks, registry
 from .inventory import query, table
 from .readers import N, package, written
 from .scalars import P, case, cat, parts, sql_case
@@ -132,3 +135,59 @@ def layer_hard_links(spark, d):
     own = lambda x: F.when(F.col(x).isNotNull(), F.concat(_text("k"), F.lit("/"), x))
     entries = parts(spark, d).select("k", each).select("layer", "kind", own("name").alias("path"), own("to").alias("target"))
     return graph.linked_overlay(entries)
+
+
+def mixed_tree(spark, d):
+    """path and text of a tree with four kinds of package files a brand, and some that no reader wants; each part is in one of them, every eighth in two."""
+    p = parts(spark, d)
+    name = package()
+    kinds = (
+        ("var/lib/dpkg/status", 0, F.concat(F.lit("Package: "), name, F.lit("\nStatus: install ok installed\nArchitecture: amd64\nVersion: "), "v", F.lit("\n\n"))),
+        ("requirements.txt", 1, F.concat(name, F.lit("=="), "v", F.lit("\n"))),
+        ("go.sum", 2, F.concat(F.lit("m.io/"), name, cat(" v", "v", " h1:AAAA\n"))),
+        ("Gemfile.lock", 3, F.concat(F.lit("GEM\n  specs:\n    "), name, cat(" (", "v", ")\n\n"))),
+        ("sub/requirements-dev.txt", 1, F.when(F.col("k") % 8 == 1, F.concat(name, F.lit("=="), "v", F.lit("\n"))).otherwise("")),
+        ("README.md", 0, F.lit("a\n")),
+    )
+    out = None
+    for path, k, line in kinds:
+        own = written(p.where(f"k % 4 = {k}"), line, suffix=f"/{path}")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query(f"""{P}, r AS (SELECT *, {sql_case("'pkg:deb/debian/' || nm || '-' || k || '@' || v || '?arch=amd64'", "'pkg:pypi/' || nm || '-' || k || '@' || v", "'pkg:golang/m.io/' || nm || '-' || k || '@v' || v", "'pkg:gem/' || nm || '-' || k || '@' || v")} AS purl, {sql_case("'dpkg'", "'requirements'", "'go.sum'", "'gemfile'")} AS reader FROM p)
+SELECT purl, reader, CASE WHEN k % 4 = 0 THEN 'deployed' ELSE 'source' END AS tier, 'b' || b || {sql_case("'/var/lib/dpkg/status'", "'/requirements.txt'", "'/go.sum'", "'/Gemfile.lock'")} AS path, CASE WHEN k % 8 = 1 THEN 2 ELSE 1 END AS n_rows FROM r""")
+def tree_inventory(spark, d):
+    """A mixed tree, written as files and read back through the data source; one row a purl by precedence, with the number of rows before."""
+    root = f"{shared(spark)}/tallyforge-tree-{uuid.uuid4().hex}"
+    registry.write_tree(mixed_tree(spark, d), root)
+    rows = registry.tree_inventory(spark, root)
+    counts = rows.groupBy("purl").agg(F.count("*").cast("int").alias("n_rows"))
+    return registry.first_by_precedence(rows).join(counts, "purl").select("purl", "reader", "tier", "path", "n_rows")
+
+
+def index_snapshot(spark, d, buckets=8):
+    """The index knows the content of two parts of three, as packages of six systems, and of every part as one of a seventh."""
+    system = case(*map(F.lit, ("CARGO", "npm", "GO", "MAVEN", "PyPI", "NUGET")))
+    name = F.when(F.col("k") % 6 == 3, F.concat(F.lit("org.o:"), package())).otherwise(package())
+    p = parts(spark, d)
+    known = p.where("k % 3 < 2").select(F.sha2(package(), 256).alias("sha256"), system.alias("system"), name.alias("name"), F.col("v").alias("version"))
+    other = p.select(F.sha2(package(), 256).alias("sha256"), F.lit("RUBY").alias("system"), package().alias("name"), F.col("v").alias("version"))
+    unique = uuid.uuid4().hex
+    return snapshots.saved(known.unionByName(known).unionByName(other), f"tallyforge_index_{unique}", "sha256", f"{shared(spark)}/tallyforge-index-{unique}", buckets)
+
+
+@query(f"""{P} SELECT k, {sql_case("'pkg:cargo/' || nm || '-' || k", "'pkg:npm/' || nm || '-' || k", 'NULL', "'pkg:maven/org.o/' || nm || '-' || k", "'pkg:pypi/' || nm || '-' || k", 'NULL')} || '@' || v AS purl, 'hash_match' AS technique, CAST(0.9 AS DOUBLE) AS confidence FROM p WHERE k % 3 < 2""")
+def index_hash_query(spark, d):
+    files = parts(spark, d).select("k", F.upper(F.sha2(package(), 256)).alias("sha256"))
+    return snapshots.by_hash(files, index_snapshot(spark, d)).select("k", "purl", "technique", "confidence")
+
+
+@query(f"""{P} SELECT {N} AS name, CASE WHEN k % 4 < 3 THEN sha256(CASE WHEN k % 4 = 1 THEN 'arch' ELSE 'plain' END || k) END AS sha256 FROM p""")
+def package_list_hashes(spark, d):
+    p = parts(spark, d)
+    text = lambda kind: F.concat(F.lit(kind), _text("k")).alias("text")
+    lists = p.where("k % 4 in (0, 2)").select(package().alias("file"), text("plain")).unionByName(p.where("k % 4 in (0, 1)").select(F.concat(package(), F.lit(":amd64")).alias("file"), text("arch")))
+    packages = p.select(package().alias("name"), F.when(F.col("k") % 4 == 2, F.lit("")).otherwise("amd64").alias("arch"))
+    return snapshots.package_hashes(packages, lists).select("name", "sha256")

@@ -9,9 +9,9 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import claims, graph, jars, maven
+from tallyforge.operators import claims, graph, jars, maven, snapshots
 from tallyforge.plans import projects
-from tallyforge.sources import binary
+from tallyforge.sources import binary, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -195,3 +195,44 @@ def test_image_with_hard_links(spark):
     shown = graph.linked_overlay(e)
     files = e.where("kind = 'file'").select(F.col("path").alias("from_path"), F.col("layer").alias("from_layer"), F.col("content").cast("string").alias("content"))
     assert {(r.path, r.layer, r.content) for r in shown.join(files, ["from_path", "from_layer"]).collect()} == {("bin/first", 0, "1"), ("bin/late", 1, "1")}
+
+
+def test_tree_source_prunes_by_reader(spark, tmp_path):
+    files = projects.mixed_tree(spark, SF)
+    n = registry.write_tree(files, str(tmp_path / "tree"))
+    assert n == files.count()
+    tree = registry.tree(spark, str(tmp_path / "tree"), part_files=1)
+    wanted = files.where("path not like '%README.md'").select(F.regexp_replace("path", "^/", "").alias("path"), "text")
+    assert sorted((r.path, r.text) for r in tree.collect()) == sorted((r.path, r.text) for r in wanted.collect())
+    go = registry.tree(spark, str(tmp_path / "tree"), only="go.sum", part_files=1)
+    some = wanted.where("path like '%go.sum'").count()
+    # a partition a file, and only those of the reader
+    assert go.rdd.getNumPartitions() == some == go.count() < tree.rdd.getNumPartitions() == wanted.count()
+    # filters are Spark's own, also where a plan uses a frame twice
+    assert tree.where("reader = 'dpkg'").unionByName(tree.where("reader = 'gemfile'")).groupBy("reader").count().count() == 2
+    assert registry.tree(spark, str(tmp_path / "tree"), most_bytes=-1).count() == 0
+
+
+def test_more_evidence_joins_the_readers(spark):
+    files = spark.createDataFrame([("a/requirements.txt", "One_Two==1\nfree>=2\n"), ("a/package.json", '{"dependencies": {"x": "^1"}}'), ("a/other.txt", "z")], "path string, text string")
+    binaries = registry.evidence(spark.createDataFrame([("bin/x", "one-two", "1"), ("bin/y", "y", "2")], "path string, name string, version string"), registry.Reader("binary", "pypi", "", lambda df: df, tier="analyzed"), 99)
+    rows = registry.inventory(files, registry.READERS, binaries)
+    assert rows.columns == list(registry.EVIDENCE) and rows.count() == 5
+    best = {(r.purl or r.name): (r.reader, r.tier) for r in registry.first_by_precedence(rows).collect()}
+    assert best == {"pkg:pypi/one-two@1": ("requirements", "source"), "pkg:pypi/free": ("requirements", "design"), "x": ("package-json", "design"), "pkg:pypi/y@2": ("binary", "analyzed")}
+
+
+def test_lookups_leave_the_snapshot_where_it_lies(spark):
+    snapshot = projects.index_snapshot(spark, SF, buckets=4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        files = projects.parts(spark, SF).select("k", F.sha2(projects.package(), 256).alias("sha256"))
+        plan = snapshots.by_hash(files, snapshot)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joined = plan[plan.index("SortMergeJoin") :]
+    # one exchange below the join, that of the files; the snapshot is scanned by buckets
+    assert joined.count("Exchange hashpartitioning(sha256") == 1 and "SelectedBucketsCount: 4 out of 4" in joined
+    odd = spark.createDataFrame([(1, None), (2, "zz"), (3, "")], "k int, sha256 string")
+    assert snapshots.by_hash(odd, snapshot).count() == 0
