@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import accumulate, chain, islice
 
@@ -126,9 +127,9 @@ class Transducer:
 class Aligner:
     """Both tokenizers, and for blocks of texts their pieces, encoded and aligned."""
 
-    def __init__(self, a: bytes, b: bytes, most: int = 100_000) -> None:
+    def __init__(self, a: bytes, b: bytes, most: int = 200_000) -> None:
         self.kept: dict[str, tuple] = {}
-        self.most = most  # pieces that are kept, about 70 MB
+        self.most = most  # pieces that are kept, about 80 MB
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
         from sentencepiece import SentencePieceProcessor
@@ -182,12 +183,12 @@ class Aligner:
         new = [p for p in pieces if p not in self.kept]
         of_a, of_b = self.encoded_a(new), self.b.encode(new, num_threads=1)
         groups = self.transducer.groups
-        made = {p: (a, b, None if a is None else groups(a, b)) for p, a, b in zip(new, of_a, of_b, strict=True)}
+        made = {p: packed(a, b, None if a is None else groups(a, b)) for p, a, b in zip(new, of_a, of_b, strict=True)}
         found = [self.kept.get(p) or made[p] for p in pieces]
         for p in islice(new, max(0, self.most - len(self.kept))):
             if len(p) < 64:
                 self.kept[p] = made[p]
-        return Pieces(*([f[k] for f in found] for k in range(3)))
+        return Pieces(found)
 
     def block(self, column: pa.Array) -> Block:
         column = pc.fill_null(column.cast(pa.string()), "")
@@ -201,8 +202,13 @@ class Aligner:
         return Block(self.pieces(coded.dictionary.to_pylist()), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
 
 
-def flat(lists: list) -> np.ndarray:
-    return np.fromiter(chain.from_iterable(lists), np.int64)
+def packed(a: list[int] | None, b: list[int], ends: list[tuple[int, int]] | None) -> tuple[bytes, bytes, bytes] | tuple[()]:
+    """A ids, B ids and group ends of a piece as 32-bit numbers; empty where the sides don't write it."""
+    return () if ends is None else (array("I", a).tobytes(), array("I", b).tobytes(), array("I", chain.from_iterable(ends)).tobytes())
+
+
+def flat(parts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), np.uint32).astype(np.int64)
 
 
 def ranks(sizes: np.ndarray) -> np.ndarray:
@@ -216,13 +222,13 @@ class Pieces:
     fine: whether both sides write the piece; the others have no tokens here. n: A tokens, B tokens and groups of each piece.
     """
 
-    def __init__(self, of_a: list[list[int]], of_b: list[list[int]], ends: list[list[tuple[int, int]] | None]) -> None:
-        self.fine = np.fromiter((e is not None for e in ends), bool, len(ends))
-        if not self.fine.all():
-            of_a, of_b, ends = ([x if e is not None else () for x, e in zip(side, ends, strict=True)] for side in (of_a, of_b, ends))
-        self.a, self.b = flat(of_a), flat(of_b)
-        self.n = np.stack([np.fromiter(map(len, x), np.int64, len(x)) for x in (of_a, of_b, ends)], axis=1)
-        upto = flat(chain.from_iterable(ends)).reshape(-1, 2)
+    def __init__(self, found: list[tuple[bytes, bytes, bytes] | tuple[()]]) -> None:
+        self.fine = np.fromiter(map(bool, found), bool, len(found))
+        kept = found if self.fine.all() else [f or (b"", b"", b"") for f in found]
+        sides = [[f[k] for f in kept] for k in range(3)]
+        self.a, self.b, upto = map(flat, sides)
+        upto = upto.reshape(-1, 2)
+        self.n = np.stack([np.fromiter(map(len, x), np.int64, len(x)) for x in sides], axis=1) // np.array([4, 4, 8])
         self.groups = np.diff(upto, axis=0, prepend=0)
         first = np.cumsum(self.n[:, 2]) - self.n[:, 2]
         first = first[self.n[:, 2] > 0]
@@ -334,7 +340,7 @@ def _aligned(docs: DataFrame, a: str, b: str, block_bytes: int) -> Iterator[tupl
     return blocks
 
 
-def aligned(docs: DataFrame, a: str, b: str, block_bytes: int = 2 << 20) -> DataFrame:
+def aligned(docs: DataFrame, a: str, b: str, block_bytes: int = 3 << 20) -> DataFrame:
     """doc_id, groups: of every row of docs (doc_id, text) its groups as `a1,a2|b1;a3|b2,b3`, ids in order; empty without tokens."""
     blocks = _aligned(docs, a, b, block_bytes)
 
@@ -374,7 +380,7 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     return held.join(F.broadcast(most), of_a == F.col("of_a_")).select("key", "n", (F.col("n") == F.col("most_")).alias("best"))
 
 
-def alignment(docs: DataFrame, a: str, b: str, block_bytes: int = 2 << 20) -> DataFrame:
+def alignment(docs: DataFrame, a: str, b: str, block_bytes: int = 3 << 20) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row of docs (doc_id, text)."""
     rows = stored(linked_rows(docs, a, b, block_bytes), "aligned")
     counts = pair_counts(rows)

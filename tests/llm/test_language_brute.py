@@ -51,7 +51,7 @@ class Dictionaries:
 def corpus():
     rng = random.Random(6)
     letters = {"x": "abcde", "y": "cdefgh"}
-    return [(i, " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randint(1, 6))) for _ in range(12)), lang) for i in range(60) for lang in [rng.choice("xy")]]
+    return [(i, " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randint(1, 6))) for _ in range(12)), lang) for i in range(160) for lang in [rng.choice("xy")]]
 
 
 def learned(corpus):
@@ -107,7 +107,7 @@ def test_pairs_of_large_groups():
     rng = np.random.default_rng(3)
     a, b = ([rng.integers(0, 5, n).tolist() for n in sizes] for sizes in ((7, 3, 9), (5, 4, 8)))
     ends = [[(4, 2), (7, 5)], None, [(9, 8)]]
-    pieces = alignment.Pieces(a, b, ends)
+    pieces = alignment.Pieces([alignment.packed(*x) for x in zip(a, b, ends)])
     want = collections.Counter()
     for i, e in enumerate(ends):
         for (x0, y0), (x, y) in zip([(0, 0), *(e or [])], e or []):
