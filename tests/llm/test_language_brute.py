@@ -94,7 +94,9 @@ def test_long_texts_ties_and_rejection(spark, corpus):
     # length counts up to a limit in the score, not in the prediction
     assert rows[1000].lang_pred == "x" and abs(rows[1000].score - short.score) < 1e-6
     assert rows[1002].lang_pred == rows[1003].lang_pred == "und" and rows[1002].score == rows[1003].score == 0
-    assert rows[1004].rejected and rows[1002].rejected and not rows[1000].rejected
+    assert rows[1004].rejected and rows[1002].rejected
+    # of the rows that the limits come from nearly none is rejected
+    assert sum(rows[i].rejected for i, *_ in corpus if not rows[i].held_out) < 0.1 * len(corpus)
     # two languages that learned the same: the first in the alphabet
     same = [(i, "abc abd", lang) for i, lang in enumerate(("b", "a") * 8)]
     held = [i for i, *_ in same if zlib.crc32(str(i).encode()) % 4 == 2]
