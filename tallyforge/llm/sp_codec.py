@@ -144,11 +144,11 @@ class Codec:
             self.check = sentencepiece.SentencePieceProcessor(model_proto=model)
 
     def _batches(self, texts: list[str]) -> Iterator[list[str]]:
-        """About 1 MB of texts at a time: an encoding takes many times its text's size."""
+        """About 256 KB of texts at a time: an encoding takes many times its text's size."""
         at = size = 0
         for i, t in enumerate(texts):
             size += len(t) + 16
-            if size > 1 << 20 or i + 1 == len(texts):
+            if size > 1 << 18 or i + 1 == len(texts):
                 yield texts[at : i + 1]
                 at, size = i + 1, 0
 
