@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoints(spark: SparkSession) -> None:
@@ -18,3 +18,18 @@ def shared(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     checkpoints(spark)
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
+
+
+def measured(df: DataFrame) -> DataFrame:
+    """df as a side of a join that isn't planned by what df is estimated to hold.
+
+    A checkpoint keeps the estimate of the plan that it was made from, and that goes by the bytes of compressed files, whatever was
+    generated from them since; by it a table of any size would be sent through the driver to be broadcast.
+    """
+    return df.hint("merge")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt over all cores by its keys: few bytes on disk make few tasks, however much is then made of each row."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import graph
+from ..operators.lineage import checkpoints, measured
 from ..sources import binary
 from .inventory import query
 from .scalars import P, case, cat, parts, sql_case
@@ -216,7 +217,8 @@ def jar_metadata(spark, d):
 @query(f"{P} SELECT k, x.path, CASE WHEN x.path = 'etc/keep' THEN '1' ELSE {N} END AS content FROM p, LATERAL (SELECT unnest(['etc/keep', 'opt/' || {N}]) AS path) x")
 def image_overlay(spark, d):
     rows = named(spark, d).select(F.col("k").cast("string").alias("path"), made(make_image, "name", "k").alias("content"))
-    e = binary.image_entries(rows)
+    checkpoints(spark)
+    e = binary.image_entries(rows).checkpoint()  # the images are read once
     shown = graph.layer_overlay(e.where("kind in ('file', 'whiteout', 'opaque')").select(F.concat_ws("/", "image", "path").alias("path"), "layer", "kind"))
-    out = shown.join(e.where("kind = 'file'").select(F.concat_ws("/", "image", "path").alias("path"), "layer", "content"), ["path", "layer"])
+    out = shown.join(measured(e.where("kind = 'file'").select(F.concat_ws("/", "image", "path").alias("path"), "layer", "content")), ["path", "layer"])
     return out.select(F.substring_index("path", "/", 1).cast("bigint").alias("k"), F.regexp_replace("path", "^[^/]*/", "").alias("path"), F.col("content").cast("string").alias("content"))

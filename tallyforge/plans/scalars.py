@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import keys, licenses, wire
+from ..operators.lineage import spread
 from .inventory import query, table
 
 #: name, brand number and version of each part; k deals parts over the cases.
@@ -16,7 +17,8 @@ def parts(spark, d):
     k = F.col("p_partkey")
     dot = F.lit(".")
     v = F.concat(F.col("p_size").cast("string"), dot, (k % 7).cast("string"), dot, (k % 3).cast("string"))
-    return table(spark, d, "part").select(k.alias("k"), F.replace(F.col("p_name"), F.lit(" "), F.lit("-")).alias("nm"), F.regexp_extract("p_brand", "[0-9]+", 0).alias("b"), v.alias("v"), F.col("p_type").alias("t"))
+    rows = table(spark, d, "part").select(k.alias("k"), F.replace(F.col("p_name"), F.lit(" "), F.lit("-")).alias("nm"), F.regexp_extract("p_brand", "[0-9]+", 0).alias("b"), v.alias("v"), F.col("p_type").alias("t"))
+    return spread(rows, "k")
 
 
 def cat(*xs) -> Column:
