@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .lineage import checkpoints
+from .lineage import checkpoints, measured
 
 
 def normal_name(ecosystem: Column, name: Column) -> Column:
@@ -49,12 +49,14 @@ def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     the lineage.
     """
     checkpoints(edges.sparkSession)
+    # dealt and sorted once, so that a level moves its frontier only
+    edges = edges.select("src", "dst").repartition("src").sortWithinPartitions("src").checkpoint()
     front, level = seeds.select("node").distinct().withColumn("level", F.lit(0)).checkpoint(), 0
     seen = front
     while True:
         level += 1
-        step = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node")).distinct()
-        front = step.join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(level)).checkpoint()
+        step = front.join(measured(edges), front.node == edges.src).select(F.col("dst").alias("node")).distinct()
+        front = step.join(measured(seen.select("node")), "node", "left_anti").withColumn("level", F.lit(level)).checkpoint()
         if front.isEmpty():
             return seen
         # levels stay apart as they were written; they are put together now and then, so that plans stay short
@@ -76,8 +78,8 @@ def layer_overlay(entries: DataFrame) -> DataFrame:
     hides = entries.where("kind <> 'file'").groupBy(F.col("path").alias("above_"), F.col("kind").alias("how_")).agg(F.max("layer").alias("by_"))
     parts = F.split("path", "/")
     chain = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-    hidden = top.select("path", "layer", F.explode(chain).alias("above_")).join(hides, "above_").where((F.col("by_") > F.col("layer")) & ((F.col("how_") == "whiteout") | (F.col("above_") != F.col("path"))))
-    return top.join(hidden.select("path").distinct(), "path", "left_anti")
+    hidden = top.select("path", "layer", F.explode(chain).alias("above_")).join(measured(hides), "above_").where((F.col("by_") > F.col("layer")) & ((F.col("how_") == "whiteout") | (F.col("above_") != F.col("path"))))
+    return top.join(measured(hidden.select("path").distinct()), "path", "left_anti")
 
 
 def linked_overlay(entries: DataFrame) -> DataFrame:
@@ -99,25 +101,25 @@ def linked_overlay(entries: DataFrame) -> DataFrame:
 
     links = top.where("is_link and target is not null").select("path", "layer", F.col("target").alias("to_path"))
     there = top.select(F.col("path").alias("to_path"), F.col("layer").alias("to_layer"))
-    seen = links.join(there, "to_path").where("to_layer <= layer").groupBy("path", "layer", "to_path").agg(F.max("to_layer").alias("to_layer"))
-    gone = seen.withColumn("above_", F.explode(chain)).join(hides, "above_").where((F.col("by_") > F.col("to_layer")) & (F.col("by_") <= F.col("layer")) & covers)
-    seen = seen.join(gone.select("path", "layer").distinct(), ["path", "layer"], "left_anti")
+    seen = links.join(measured(there), "to_path").where("to_layer <= layer").groupBy("path", "layer", "to_path").agg(F.max("to_layer").alias("to_layer"))
+    gone = seen.withColumn("above_", F.explode(chain)).join(measured(hides), "above_").where((F.col("by_") > F.col("to_layer")) & (F.col("by_") <= F.col("layer")) & covers)
+    seen = seen.join(measured(gone.select("path", "layer").distinct()), ["path", "layer"], "left_anti")
     files = top.where("not is_link").select("path", "layer", F.col("path").alias("from_path"), F.col("layer").alias("from_layer"))
     ways = seen.select("path", "layer", F.col("to_path").alias("mid_path"), F.col("to_layer").alias("mid_layer")).checkpoint()
     held = files
     while True:
         goal = held.select(F.col("path").alias("mid_path"), F.col("layer").alias("mid_layer"), "from_path", "from_layer")
-        ended = ways.join(goal, ["mid_path", "mid_layer"]).select("path", "layer", "from_path", "from_layer").checkpoint()
+        ended = ways.join(measured(goal), ["mid_path", "mid_layer"]).select("path", "layer", "from_path", "from_layer").checkpoint()
         if ended.isEmpty():
             break
         held = held.unionByName(ended)
-        rest = ways.join(ended.select("path", "layer"), ["path", "layer"], "left_anti")
+        rest = ways.join(measured(ended.select("path", "layer")), ["path", "layer"], "left_anti")
         on = ways.select(F.col("path").alias("mid_path"), F.col("layer").alias("mid_layer"), F.col("mid_path").alias("next_path"), F.col("mid_layer").alias("next_layer"))
-        ways = rest.join(on, ["mid_path", "mid_layer"], "left").select("path", "layer", F.coalesce("next_path", "mid_path").alias("mid_path"), F.coalesce("next_layer", "mid_layer").alias("mid_layer")).checkpoint()
+        ways = rest.join(measured(on), ["mid_path", "mid_layer"], "left").select("path", "layer", F.coalesce("next_path", "mid_path").alias("mid_path"), F.coalesce("next_layer", "mid_layer").alias("mid_layer")).checkpoint()
     last = top.groupBy("path").agg(F.max("layer").alias("layer"))
-    shown = last.join(held, ["path", "layer"]).withColumn("to_path", F.col("path"))
-    hidden = shown.select("path", "layer", "to_path", F.explode(chain).alias("above_")).join(hides, "above_").where((F.col("by_") > F.col("layer")) & covers)
-    return shown.join(hidden.select("path").distinct(), "path", "left_anti").select("path", "layer", "from_path", "from_layer")
+    shown = last.join(measured(held), ["path", "layer"]).withColumn("to_path", F.col("path"))
+    hidden = shown.select("path", "layer", "to_path", F.explode(chain).alias("above_")).join(measured(hides), "above_").where((F.col("by_") > F.col("layer")) & covers)
+    return shown.join(measured(hidden.select("path").distinct()), "path", "left_anti").select("path", "layer", "from_path", "from_layer")
 
 
 def longest_prefix(rows: DataFrame, path: str, modules: DataFrame, module: str) -> DataFrame:
