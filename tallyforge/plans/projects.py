@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import claims, graph, jars, maven, snapshots
-from ..operators.lineage import shared
+from ..operators.lineage import measured, shared
 from ..sources import locks, registry
 from .inventory import query, table
 from .readers import N, package, written
@@ -95,7 +95,7 @@ def needed_poms(spark, d):
     above = F.lit("<project><groupId>g</groupId><artifactId>parent</artifactId><version>1</version><properties><own>g</own><v>1</v></properties></project>")
     parent = table(spark, d, "region").limit(1).select(F.lit("parent").alias("path"), above.alias("text"), F.lit(False).alias("in_tree"))
     files = each.unionByName(lists).unionByName(parent)
-    return maven.parsed(files).join(files.select("path", "in_tree"), "path")
+    return maven.parsed(files).join(measured(files.select("path", "in_tree")), "path")
 
 
 @query(f"""WITH RECURSIVE p AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 5 <> 4),
