@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions.types import STRING
 from ..functions.wire import requirement_name
+from ..operators.lineage import spread
 from .text import _lines
 
 NO_TEXTS = "array<string>"
@@ -48,17 +49,36 @@ def poetry_lock(df: DataFrame, include_dev: bool = False) -> DataFrame:
     return out if include_dev else out.where(~F.col("is_dev"))
 
 
+def pieces(df: DataFrame) -> DataFrame:
+    """path, part, piece: TOML files (path, text) cut before each line that begins with [[package]], dealt over the cores."""
+    return spread(df.where("text is not null").select("path", F.posexplode(F.split("text", r"(?m)^(?=\[\[package\]\])")).alias("part", "piece")), "path", "part")
+
+
 def cargo_lock(df: DataFrame) -> DataFrame:
     """path, ord, name, version, source_type (registry, git, path), checksum, depends of Cargo.lock 3 and 4.
 
-    Older versions raise an error; packages without a source are the workspace's own and give no rows.
+    Older versions raise an error; packages without a source are the workspace's own and give no rows. A file is parsed a package at
+    a time; where that might not give what the whole file does (a piece that isn't TOML, two packages in one, a key in two pieces),
+    the file is parsed as a whole.
     """
     one = "struct<name:string,version:string,source:string,checksum:string,dependencies:array<string>>"
-    doc = F.from_json(toml_json("text"), f"version int, package array<{one}>")
-    rows = df.select("path", doc.alias("doc")).where("doc is not null and doc.package is not null")
-    old = F.coalesce(F.col("doc.version"), F.lit(1)) < 3
-    packages = F.when(old, F.raise_error(F.concat(F.lit("lock file version is not supported: "), F.coalesce(F.col("doc.version"), F.lit(1)).cast("string"))).cast(f"array<{one}>")).otherwise(F.col("doc.package"))
-    rows = rows.select("path", F.posexplode(packages).alias("ord", "p")).where(F.col("p.source").isNotNull())
+    form = f"version int, package array<{one}>"
+    read = pieces(df).select("path", "part", toml_json("piece").alias("json")).withColumns({"doc": F.from_json("json", form), "keys": F.json_object_keys("json")})
+    others = F.array_except("keys", F.when(F.col("part") > 0, F.array(F.lit("package"))).otherwise(F.array().cast(NO_TEXTS)))
+    file = Window.partitionBy("path")
+    alone = F.max("part").over(file) == 0
+    # version stands in the first piece; other keys may stand in one of the pieces each
+    each = F.col("json").isNotNull() & F.when(F.col("part") > 0, F.size("doc.package") == 1).otherwise(~F.array_contains("keys", "package") | alone)
+    judged = read.withColumn("others", others).withColumns({
+        "sound": F.bool_and(F.coalesce(each, F.lit(False))).over(file) & (F.coalesce(F.sum(F.size("others")).over(file), F.lit(0)) == F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.size("others") > 0, F.col("others"))).over(file))))),
+        "version": F.max(F.when(F.col("part") == 0, F.col("doc.version"))).over(file),
+    })
+    whole = df.join(judged.where("not sound").select("path").distinct(), "path", "left_semi").select("path", F.from_json(toml_json("text"), form).alias("doc")).where("doc is not null and doc.package is not null")
+    rows = judged.where("sound and doc.package is not null").select("path", "version", F.greatest(F.col("part") - 1, F.lit(0)).alias("at"), F.col("doc.package").alias("package"))
+    rows = rows.unionByName(whole.select("path", F.col("doc.version").alias("version"), F.lit(0).alias("at"), F.col("doc.package").alias("package")))
+    version = F.coalesce("version", F.lit(1))
+    packages = F.when(version < 3, F.raise_error(F.concat(F.lit("lock file version is not supported: "), version.cast("string"))).cast(f"array<{one}>")).otherwise(F.col("package"))
+    rows = rows.select("path", "at", F.posexplode(packages).alias("ord", "p")).withColumn("ord", F.col("at") + F.col("ord")).where(F.col("p.source").isNotNull())
     kind = F.when(F.startswith("p.source", F.lit("git+")), "git").when(F.startswith("p.source", F.lit("path+")), "path").otherwise("registry")
     return rows.select("path", "ord", F.col("p.name").alias("name"), F.col("p.version").alias("version"), kind.alias("source_type"), F.col("p.checksum").alias("checksum"), F.coalesce(F.transform("p.dependencies", lambda d: F.substring_index(d, " ", 1)), _none()).alias("depends"))
 
