@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import measured
+
 #: Folders that a shared library is looked for in.
 LIBRARY_DIRS = "lib/x86_64-linux-gnu lib/aarch64-linux-gnu usr/lib/x86_64-linux-gnu usr/lib/aarch64-linux-gnu lib64 usr/lib64 lib usr/lib".split()
 
@@ -37,8 +39,8 @@ def listed_hashes(paths: DataFrame, sums: DataFrame) -> DataFrame:
 def documented(packages: DataFrame, texts: DataFrame) -> DataFrame:
     """packages (name) with the text of the first documentation folder there is: the name alone, then with an architecture."""
     wanted = packages.select("name", F.posexplode(F.array(*(F.concat("name", F.lit(s)) for s in DOC_SUFFIXES))).alias("rank_", "folder"))
-    best = wanted.join(texts.select("folder", "text"), "folder").groupBy("name").agg(F.min_by("text", "rank_").alias("text"))
-    return packages.join(best, "name", "left")
+    best = wanted.join(measured(texts.select("folder", "text")), "folder").groupBy("name").agg(F.min_by("text", "rank_").alias("text"))
+    return packages.join(measured(best), "name", "left")
 
 
 def appended(rows: DataFrame, found: DataFrame, keys: list[str], value: str, mark: str | None = None) -> DataFrame:
