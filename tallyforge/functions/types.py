@@ -13,4 +13,3 @@ def struct(fields: str) -> StructType:
 
 
 STRING = StringType()
-FACTS = ArrayType(struct("row_id string, value string"))

@@ -1,6 +1,7 @@
 """Whether the documents of one target say the same: facts are taken from each format, then compared row by row.
 
-facts(): target, format, row_id, value. A row of the table has a rule: `equal` sets, the first format's facts `within` the
+facts(): target, format, row_id, value. What a document says by itself is read from it in a task; ends of edges may stand in another
+volume of the target, so that documents give their nodes (id, purl, whether it is for development) and edges by ids, which are joined. A row of the table has a rule: `equal` sets, the first format's facts `within` the
 others', or facts that must only be `present`. The report counts, per row, in which formats there is any fact.
 """
 
@@ -8,13 +9,14 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.types import FACTS
 from .documents import PREFIX
-from .lineage import checkpoints
+from .lineage import checkpoints, measured
 
 #: Row id: label and rule. Rows from C1 on are the properties named.
 ROWS = {
@@ -43,10 +45,11 @@ def _atoms(text: str) -> list[str]:
     return [text if not isinstance(x, str) else x]
 
 
-def _cyclonedx(doc: dict) -> set[tuple[str, str]]:
-    out, dev = set(), set()
+def _cyclonedx(doc: dict) -> tuple[set, dict, set]:
+    out, nodes, edges = set(), {}, set()
     for c, parent in _walk(doc.get("components")):
         p = c["purl"]
+        nodes.setdefault(p, [p, False])
         out |= {("A1", p), ("A2", f"{p} {c.get('name')}"), ("A3", f"{p} {c.get('version')}")}
         if "supplier" in c:
             out.add(("A4", f"{p} {c['supplier']['name']}"))
@@ -63,12 +66,12 @@ def _cyclonedx(doc: dict) -> set[tuple[str, str]]:
             key = q["name"].removeprefix(PREFIX)
             out |= {(row, f"{p} {a}") for row, name in PROPERTIES.items() if name == key for a in _atoms(q["value"])}
             if key == "dev-dependency":
-                dev.add(p)
+                nodes[p][1] = True
     target = doc["metadata"]["component"]["bom-ref"]
     for d in doc.get("dependencies", ()):
         if d["ref"] != target:
-            out |= {("B2" if t in dev else "B1", f"{d['ref']} {t}") for t in d.get("dependsOn", ())}
-    return out | {("B4", doc["metadata"]["component"]["name"]), ("G1", "inventory")}
+            edges |= {("edge", d["ref"], t) for t in d.get("dependsOn", ())}
+    return out | {("B4", doc["metadata"]["component"]["name"]), ("G1", "inventory")}, nodes, edges
 
 
 def _annotated(text: str) -> tuple[str, str] | None:
@@ -87,8 +90,8 @@ def _license_parts(x: str) -> list[str]:
     return [x]
 
 
-def _spdx2(doc: dict) -> set[tuple[str, str]]:
-    out = set()
+def _spdx2(doc: dict) -> tuple[set, dict, set]:
+    out, edges = set(), set()
     purl = {p["SPDXID"]: next((r["referenceLocator"] for r in p.get("externalRefs", ()) if r["referenceType"] == "purl"), None) for p in doc.get("packages", ())}
     texts = {x["licenseId"]: x["extractedText"] for x in doc.get("hasExtractedLicensingInfos", ())}
     for c in doc.get("packages", ()):
@@ -105,20 +108,21 @@ def _spdx2(doc: dict) -> set[tuple[str, str]]:
             if own := _annotated(a["comment"]):
                 out |= {(row, f"{p} {x}") for row, name in PROPERTIES.items() if name == own[0] for x in _atoms(own[1])}
     for r in doc.get("relationships", ()):
-        a, kind, b = purl.get(r["spdxElementId"]), r["relationshipType"], purl.get(r["relatedSpdxElement"])
+        a, kind, b = r["spdxElementId"], r["relationshipType"], r["relatedSpdxElement"]
         if kind == "DEPENDS_ON":
-            out.add(("B1", f"{a} {b}"))
+            edges.add(("B1", a, b))
         elif kind in ("DEV_DEPENDENCY_OF", "BUILD_DEPENDENCY_OF"):
-            out.add(("B2", f"{b} {a}"))
+            edges.add(("B2", b, a))
         elif kind == "CONTAINS":
-            out.add(("B3", f"{a} {b}"))
+            edges.add(("B3", a, b))
         elif kind == "DESCRIBES":
             out.add(("B4", doc["name"]))
-    return out | {("G1", c.removeprefix("Tool: ").split("-")[0]) for c in doc["creationInfo"]["creators"] if c.startswith("Tool: ")}
+    out |= {("G1", c.removeprefix("Tool: ").split("-")[0]) for c in doc["creationInfo"]["creators"] if c.startswith("Tool: ")}
+    return out, {i: [p, False] for i, p in purl.items()}, edges
 
 
-def _spdx3(doc: dict) -> set[tuple[str, str]]:
-    out, by = set(), {e["spdxId"]: e for e in doc["@graph"]}
+def _spdx3(doc: dict) -> tuple[set, dict, set]:
+    edges, out, by = set(), set(), {e["spdxId"]: e for e in doc["@graph"]}
     purl = {i: e["software_packageUrl"] for i, e in by.items() if e["type"] == "software_Package"}
     dev = set()
     for e in by.values():
@@ -138,28 +142,46 @@ def _spdx3(doc: dict) -> set[tuple[str, str]]:
             kind, a = e["relationshipType"], e["from"]
             for b in e["to"]:
                 if kind == "dependsOn":
-                    out.add(("B2" if b in dev else "B1", f"{purl[a]} {purl[b]}"))
+                    edges.add(("edge", a, b))
                 elif kind == "contains":
-                    out.add(("B3", f"{purl[a]} {purl[b]}"))
+                    edges.add(("B3", a, b))
                 elif kind in ("hasDeclaredLicense", "hasConcludedLicense"):
                     rows = ("A7", "A8") if kind == "hasDeclaredLicense" else ("A8",)
                     out |= {(rows[0], f"{purl[a]} {x}") for x in _license_parts(by[b].get("simplelicensing_licenseText", by[b]["simplelicensing_licenseExpression"]))}
         elif e["type"] == "SpdxDocument":
             out |= {("B4", e["name"]), ("G1", "inventory")}
-    return out
+    return out, {i: [p, i in dev] for i, p in purl.items()}, edges
 
 
 _EXTRACTORS = {"cyclonedx-json": _cyclonedx, "spdx-2.3-json": _spdx2, "spdx-3-json": _spdx3}
 
 
-@F.pandas_udf(FACTS)
-def _facts(kind: pd.Series, document: pd.Series) -> pd.Series:
-    return pd.Series([[{"row_id": r, "value": v} for r, v in sorted(_EXTRACTORS[k](json.loads(d)))] for k, d in zip(kind, document, strict=True)])
+_READ = "target string, format string, row_id string, value string, src string, dst string, dev boolean"
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Facts, nodes (row_id node: src is the id, value the purl) and edges (src, dst) of documents, one document after the other."""
+    names = [f.split()[0] for f in _READ.split(", ")]
+    kinds = [pa.bool_() if f.endswith("boolean") else pa.string() for f in _READ.split(", ")]
+    for batch in batches:
+        for target, kind, document in zip(*(batch.column(c) for c in ("target", "format", "document")), strict=True):
+            found, nodes, edges = _EXTRACTORS[kind.as_py()](json.loads(document.as_py()))
+            rows = [(r, v, None, None, None) for r, v in found] + [("node", p, i, None, dev) for i, (p, dev) in nodes.items()] + [(r, None, a, b, None) for r, a, b in edges]
+            same = [[target.as_py()] * len(rows), [kind.as_py()] * len(rows)]
+            columns = [*same, *zip(*rows, strict=True)] if rows else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
 def facts(documents: DataFrame) -> DataFrame:
-    """target, format, row_id, value of documents (target, format, document)."""
-    return documents.select("target", "format", F.explode(_facts("format", "document")).alias("f")).select("target", "format", "f.row_id", "f.value")
+    """target, format, row_id, value of documents (target, format, document), volumes of a target taken together."""
+    checkpoints(documents.sparkSession)
+    read = documents.select("target", "format", "document").mapInArrow(_read, _READ).checkpoint()  # documents are read once
+    nodes = read.where("row_id = 'node'").groupBy("target", "format", F.col("src").alias("id")).agg(F.max("value").alias("purl"), F.max("dev").alias("dev"))
+    end = lambda x: measured(nodes.select("target", "format", F.col("id").alias(x), F.col("purl").alias(f"{x}_purl"), F.col("dev").alias(f"{x}_dev")))
+    edges = read.where("dst is not null").select("target", "format", "row_id", "src", "dst").join(end("src"), ["target", "format", "src"], "left").join(end("dst"), ["target", "format", "dst"], "left")
+    row = F.when(F.col("row_id") != "edge", F.col("row_id")).when(F.col("dst_dev"), "B2").otherwise("B1")
+    edges = edges.select("target", "format", row.alias("row_id"), F.concat_ws(" ", F.coalesce("src_purl", "src"), F.coalesce("dst_purl", "dst")).alias("value"))
+    return read.where("dst is null and row_id <> 'node'").select("target", "format", "row_id", "value").unionByName(edges).distinct()
 
 
 def _rules() -> Column:

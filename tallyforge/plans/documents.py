@@ -83,7 +83,9 @@ def cyclonedx_metadata(spark, d):
     rows = out.cyclonedx(components(spark, d), edges(spark, d), made_at=MADE_AT, complete_ecosystems=["gem", "deb"]).select("target", doc.alias("d"))
     own = F.filter("d.dependencies", lambda x: x["ref"] == F.concat("target", F.lit("@0.0.0")))[0]["dependsOn"]
     first = F.col("d.compositions")[0]
-    return rows.select("target", F.array_join(F.transform("d.metadata.lifecycles", lambda p: p["phase"]), "|").alias("phases"), F.array_join(own, "|").alias("roots"), F.concat_ws(":", first["aggregate"], first["assemblies"][0]).alias("composition"), F.size(F.col("d.compositions")[1]["assemblies"]).cast("bigint").alias("n_complete"))
+    each = rows.select("target", F.array_join(F.transform("d.metadata.lifecycles", lambda p: p["phase"]), "|").alias("phases"), own.alias("roots"), F.concat_ws(":", first["aggregate"], first["assemblies"][0]).alias("composition"), F.size(F.col("d.compositions")[1]["assemblies"]).cast("bigint").alias("n"))
+    # the volumes of a target taken together
+    return each.groupBy("target", "phases", "composition").agg(F.array_join(F.array_sort(F.flatten(F.collect_list("roots"))), "|").alias("roots"), F.sum("n").alias("n_complete")).select("target", "phases", "roots", "composition", "n_complete")
 
 
 @query(f"""{P} SELECT 'b' || b AS target, 'CVE-' || (k % 3) AS advisory, string_agg({PURL}, '|' ORDER BY {PURL}) AS products, 'under_investigation' AS status FROM p WHERE k % 4 = 0 GROUP BY 1, 2""")

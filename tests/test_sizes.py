@@ -3,10 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import graph, maven
+from tallyforge.operators import documents, graph, maven, parity
 from tallyforge.plans import binaries, projects
+from tallyforge.plans import documents as plans
 from tallyforge.plans.scalars import parts
-from tallyforge.sources import binary
+from tallyforge.sources import binary, locks
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,3 +56,34 @@ def test_closure_of_edges_with_copies_and_circles(spark):
     edges = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (3, 1), (1, 3), (8, 9)], "src long, dst long")
     found = graph.closure(edges, spark.createDataFrame([(1,)], "node long"))
     assert {(r.node, r.level) for r in found.collect()} == {(1, 0), (2, 1), (3, 1)}
+
+
+def test_facts_of_volumes_are_those_of_whole_documents(spark, monkeypatch):
+    read = lambda: {tuple(r) for r in parity.facts(emitted).collect()}
+    emitted = plans.emitted(spark, SF, *documents.SERIALIZERS)
+    whole = read()
+    monkeypatch.setattr(documents, "VOLUME", 3)
+    emitted = plans.emitted(spark, SF, *documents.SERIALIZERS).checkpoint()
+    assert emitted.groupBy("target", "format").count().agg(F.max("count")).head()[0] > 2 and emitted.select("target", "file").distinct().count() == emitted.count()
+    assert read() == whole
+
+
+def test_lock_file_is_read_by_packages(spark):
+    one = lambda k, more="": f'[[package]]\nname = "n{k}"\nversion = "{k}"\nsource = "registry+x"\n{more}\n'
+    head = "version = 3\n\n"
+    files = {
+        "plain": head + one(1) + one(2), "text": head + one(1, 'note = """\n[[package]]\n"""') + one(2), "bad": head + one(1) + "x = = 1\n" + one(2), "twice": head + one(1, "[m]\na = 1") + one(2, "[m]\na = 2"),
+        "tail": head + one(1) + one(2, "[m]\na = 1"), "indented": head + one(1) + " " + one(2), "both": head + "package = []\n" + one(1), "empty": head,
+    }
+    rows = locks.cargo_lock(spark.createDataFrame(list(files.items()), "path string, text string")).collect()
+    both = [(0, "n1"), (1, "n2")]
+    found = {p: sorted((r.ord, r.name) for r in rows if r.path == p) for p in files}
+    assert found == {"plain": both, "text": both, "bad": [], "twice": [], "tail": both, "indented": both, "both": [], "empty": []}
+    # the parser gets a package at a time
+    assert locks.pieces(spark.createDataFrame([("plain", files["plain"])], "path string, text string")).count() == 3
+
+
+def test_copyright_texts_are_not_broadcast_by_estimates(spark):
+    from tallyforge.plans import inventory
+
+    assert "Broadcast" not in planned(inventory.queries()["copyright_join"](spark, SF))
