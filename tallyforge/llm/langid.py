@@ -7,8 +7,8 @@ probabilities and back-off weights by language. All grams enter it, rare ones to
 rest on those; it grows with the corpus and is held by the driver and by each worker. A text gets the language of the
 lowest cross-entropy per character.
 
-Rejection: scores of at most `calibrate` labelled rows that are not held out give a temperature, and per language the cross-entropy
-that 99.9 % of its rows stay under; texts above it (or whose score is under 0.5) are marked `rejected`. lang_pred
+Rejection: the scores of all labelled rows that are not held out give a temperature, and per language the cross-entropy
+that 99.9 % of its rows stay under (to STEP nats); the rows are counted and their losses summed in Spark. Texts above it (or whose score is under 0.5) are marked `rejected`. lang_pred
 is filled all the same, as its contract asks.
 
 Null texts and texts without a letter are `und` with score 0, as are all texts when nothing can be learned. Ties go to
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import Words, held_out, text_slices
 
 ORDER = 4
+#: Width in nats of the bins in which cross-entropies are counted, and the temperatures that are tried.
+STEP, TEMPERATURES = 1e-4, [2.0**t for t in range(-2, 8)]
 #: Bytes that end a word: ASCII other than letters.
 _BREAK = bytes([*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 
@@ -197,30 +199,44 @@ def trained(docs: DataFrame) -> Model:
     return Model(gram_counts(docs.where(~held_out())).toArrow().to_pandas(strings_to_categorical=True))
 
 
-def calibrated(model: Model, docs: DataFrame, calibrate: int, evidence: int) -> tuple[float, np.ndarray]:
-    """(temperature, per language the highest cross-entropy that isn't rejected) from at most `calibrate` rows."""
-    ids = docs.where(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibrate)
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(ids.distinct()), "doc_id")
+def calibrated(model: Model, docs: DataFrame, evidence: int) -> tuple[float, np.ndarray]:
+    """(temperature, per language the highest cross-entropy that isn't rejected) from all labelled rows that aren't held out.
+
+    Tasks give counts by language and bin of cross-entropy, and sums of losses by temperature in millionths, so that the order of
+    rows changes nothing; the driver gets the sums, whose number is bounded by the bins.
+    """
+    k = len(model.languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = letter_table()
-        for batch in text_slices(batches):
+        letters, place = letter_table(), {x: i for i, x in enumerate(model.languages)}
+        for batch in text_slices(batches, 4 << 20):
             ce, n = model.of_texts(batch.column("text"), letters)
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(ce.tolist(), pa.list_(pa.float64())), pa.array(n)], names=["lang", "ce", "n"])
-
-    found = rows.mapInArrow(run, "lang string, ce array<double>, n double").toPandas()
-    found = found[(found.n > 0) & found.lang.isin(model.languages)]
-    k = len(model.languages)
+            own = np.array([place.get(x, -1) for x in batch.column("lang").to_pylist()], np.int64)
+            kept = np.flatnonzero((n > 0) & (own >= 0))
+            if not len(kept):
+                continue
+            ce, n, own, row = ce[kept], n[kept], own[kept], np.arange(len(kept))
+            bins, count = np.unique(np.stack([own, np.round(ce[row, own] / STEP).astype(np.int64)]), axis=1, return_counts=True)
+            z = -ce * np.minimum(n, evidence)[:, None]
+            loss = [int(np.round(-np.log(np.maximum(_softmax(z / t)[row, own], 1e-12)) * 1e6).astype(np.int64).sum()) for t in TEMPERATURES]
+            # temperatures stand behind the languages
+            which = np.concatenate([bins[0], k + np.arange(len(loss))])
+            yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(np.concatenate([bins[1], np.zeros(len(loss), np.int64)])), pa.array(np.concatenate([count, np.array(loss, np.int64)]).astype(np.int64))], names=["which", "bin", "n"])
+
+    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    found = rows.mapInArrow(run, "which long, bin long, n long").groupBy("which", "bin").agg(F.sum("n").alias("n")).toPandas().sort_values(["which", "bin"])
     limits = np.full(k, np.inf)
-    if not len(found):
-        return 1.0, limits
-    ce, own = np.array(found.ce.tolist()).reshape(len(found), k), np.array([model.languages.index(x) for x in found.lang])
     for i in range(k):
-        if (own == i).sum() >= 20:
-            limits[i] = np.quantile(ce[own == i, i], 0.999) + 0.05
-    z = -ce * np.minimum(found.n.to_numpy(), evidence)[:, None]
-    best = min((2.0**t for t in range(-2, 8)), key=lambda t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(own)), own], 1e-12)).mean())
-    return best, limits
+        own = found[found.which == i]
+        upto = own.n.to_numpy().cumsum()
+        if len(own) and upto[-1] >= 20:
+            at = (upto[-1] - 1) * 0.999
+            low, high = own.bin.to_numpy()[np.searchsorted(upto, [np.floor(at), np.ceil(at)], side="right")] * STEP
+            limits[i] = low + (high - low) * (at - np.floor(at)) + 0.05
+    if not len(found) or not (found.which < k).any():
+        return 1.0, limits
+    losses = found[found.which >= k].n.to_numpy()
+    return TEMPERATURES[int(losses.argmin())], limits
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -228,7 +244,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def languages(docs: DataFrame, *, calibrate: int = 2000, evidence: int = 200) -> DataFrame:
+def languages(docs: DataFrame, *, evidence: int = 200) -> DataFrame:
     """The contract's rows, with cross_entropy (bits per character) and rejected beside them.
 
     score is the softmax of the languages' log probabilities over a temperature, which is fitted; a text counts in it with its
@@ -236,7 +252,7 @@ def languages(docs: DataFrame, *, calibrate: int = 2000, evidence: int = 200) ->
     The prediction and cross_entropy are of the whole text.
     """
     model = trained(docs)
-    temperature, limits = calibrated(model, docs, calibrate, evidence) if model.languages else (1.0, np.zeros(0))
+    temperature, limits = calibrated(model, docs, evidence) if model.languages else (1.0, np.zeros(0))
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

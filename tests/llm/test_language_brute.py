@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +55,21 @@ def corpus():
     return [(i, " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randint(1, 6))) for _ in range(12)), lang) for i in range(160) for lang in [rng.choice("xy")]]
 
 
+def test_limits_and_temperature_come_from_all_labelled_rows(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join("".join(rng.choice("abcde" if i % 2 else "cdefgh") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 9))), "xy"[i % 2]) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.trained(docs)
+    temperature, limits = langid.calibrated(model, docs, 200)
+    own = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    assert len(own) > 2500
+    ce, n = model.of_texts(pa.array([r[1] for r in own]), langid.letter_table())
+    at = np.array([model.languages.index(r[2]) for r in own])
+    assert limits == pytest.approx([np.quantile(ce[at == i, i], 0.999) + 0.05 for i in (0, 1)], abs=langid.STEP)
+    z = -ce * np.minimum(n, 200)[:, None]
+    assert temperature == min(langid.TEMPERATURES, key=lambda t: -np.log(np.maximum(langid._softmax(z / t)[np.arange(len(own)), at], 1e-12)).mean())
+
+
 def learned(corpus):
     out = {}
     for lang in "xy":
