@@ -87,3 +87,10 @@ def test_copyright_texts_are_not_broadcast_by_estimates(spark):
     from tallyforge.plans import inventory
 
     assert "Broadcast" not in planned(inventory.queries()["copyright_join"](spark, SF))
+
+
+def test_process_tree_is_not_broadcast_by_estimates(spark):
+    from tallyforge.plans import chains
+
+    assert "Broadcast" not in planned(chains.process_tree(spark, SF))
+    assert chains.process_tree(spark, SF).count() == 200
