@@ -23,7 +23,8 @@ def parsed(df: DataFrame) -> DataFrame:
     Group and version fall to the parent's; files without a coordinate after that have null as pom. Text that isn't XML gives no row.
     """
     doc = F.from_xml("text", POM, {"mode": "PERMISSIVE", "attributePrefix": "_"})
-    rows = df.where(F.contains("text", F.lit("<project"))).select("path", doc.alias("d"))
+    # behind a generator, as a filter on what is made of the document would else be pushed down and parse the text for each field it names
+    rows = df.where(F.contains("text", F.lit("<project"))).select("path", F.explode(F.array(doc)).alias("d"))
     colon = lambda *xs: F.when(~F.exists(F.array(*xs), lambda x: F.coalesce(x, F.lit("")) == ""), F.concat_ws(":", *xs))
     group, version = F.coalesce("d.groupId", "d.parent.groupId"), F.coalesce("d.version", "d.parent.version")
     entry = lambda a: F.coalesce(F.transform(a, lambda x: F.struct(x["groupId"].alias("group"), x["artifactId"].alias("artifact"), x["version"].alias("version"), x["scope"].alias("scope"), x["type"].alias("kind"))), F.array().cast("array<struct<group:string,artifact:string,version:string,scope:string,kind:string>>"))

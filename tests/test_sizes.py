@@ -94,3 +94,10 @@ def test_process_tree_is_not_broadcast_by_estimates(spark):
 
     assert "Broadcast" not in planned(chains.process_tree(spark, SF))
     assert chains.process_tree(spark, SF).count() == 200
+
+
+def test_poms_are_parsed_once(spark):
+    from tallyforge.plans import chains
+
+    poms = chains._poms(spark, SF).where("pom is not null")
+    assert poms._jdf.queryExecution().optimizedPlan().toString().count("from_xml") == 1
