@@ -164,8 +164,12 @@ def rpm_files_reader(spark, d):
     return r.select(F.col("path").cast("bigint").alias("k"), "name", "version", "release", "epoch", binary.rpm_vendor_slug(F.col("vendor"), F.lit("rhel")).alias("vendor"), F.array_join("requires", "|").alias("requires"), F.array_join("paths", "|").alias("paths"))
 
 
+#: Keys of parts that share a database of their brand; one of 25 of them is of the brand.
+DATABASE_KEYS = 25_000
+
+
 def _database(spark, d):
-    """A package database a brand, with a header blob in most rows and text columns in the others."""
+    """The package databases of a brand, one for each DATABASE_KEYS keys, with a header blob in most rows and text columns in the others."""
     import pandas
 
     def build(pdf: pandas.DataFrame) -> pandas.DataFrame:
@@ -177,15 +181,17 @@ def _database(spark, d):
             blob = make_rpm_header(r.name, r.v, r.k) + b"\0" * 5000 if r.k % 3 else b"broken"
             con.execute("INSERT INTO Packages (blob, small, name, version) VALUES (?, ?, ?, ?)", (blob, b"x", r.name if not r.k % 3 else None, r.v))
         con.commit()
-        return pandas.DataFrame({"path": [f"/b{pdf.b.iloc[0]}"], "content": [con.serialize()]})
+        out = pandas.DataFrame({"path": [f"/b{pdf.b.iloc[0]}/{pdf.i.iloc[0]}"], "content": [con.serialize()]})
+        con.close()
+        return out
 
-    rows = named(spark, d).withColumnRenamed("name", "nm2").select("k", "v", "b", F.col("nm2").alias("name"))
-    return rows.groupBy("b").applyInPandas(lambda pdf: build(pdf.rename(columns={"Name": "name"})), "path string, content binary")
+    rows = named(spark, d).withColumnRenamed("name", "nm2").select("k", "v", "b", F.col("nm2").alias("name"), F.floor(F.col("k") / DATABASE_KEYS).alias("i"))
+    return rows.groupBy("b", "i").applyInPandas(lambda pdf: build(pdf.rename(columns={"Name": "name"})), "path string, content binary")
 
 
 @query(f"{P} SELECT '/b' || b AS path, {N} AS name, v AS version, CASE WHEN k % 3 <> 0 THEN 'MIT' END AS license FROM p")
 def rpm_database_reader(spark, d):
-    return binary.rpm_databases(_database(spark, d)).select("path", "name", "version", "license")
+    return binary.rpm_databases(_database(spark, d)).select(F.substring_index("path", "/", 2).alias("path"), "name", "version", "license")
 
 
 @query(f"{P} SELECT k, 'debian' AS a, {sql_case("'redhat'", "'fedora'", "'oracle'", "'rpm'")} AS vendor FROM p")

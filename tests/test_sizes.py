@@ -89,6 +89,13 @@ def test_copyright_texts_are_not_broadcast_by_estimates(spark):
     assert "Broadcast" not in planned(inventory.queries()["copyright_join"](spark, SF))
 
 
+def test_poms_are_parsed_once(spark):
+    from tallyforge.plans import chains
+
+    poms = chains._poms(spark, SF).where("pom is not null")
+    assert poms._jdf.queryExecution().optimizedPlan().toString().count("from_xml") == 1
+
+
 def test_process_tree_is_not_broadcast_by_estimates(spark):
     from tallyforge.plans import chains
 
@@ -96,8 +103,10 @@ def test_process_tree_is_not_broadcast_by_estimates(spark):
     assert chains.process_tree(spark, SF).count() == 200
 
 
-def test_poms_are_parsed_once(spark):
-    from tallyforge.plans import chains
-
-    poms = chains._poms(spark, SF).where("pom is not null")
-    assert poms._jdf.queryExecution().optimizedPlan().toString().count("from_xml") == 1
+def test_package_databases_are_bounded(spark, monkeypatch):
+    read = lambda: sorted(tuple(r) for r in binaries.rpm_database_reader(spark, SF).collect())
+    whole = read()
+    monkeypatch.setattr(binaries, "DATABASE_KEYS", 50)
+    most = parts(spark, SF).groupBy("b", F.floor(F.col("k") / 50)).count().agg(F.max("count")).head()[0]
+    assert binaries._database(spark, SF).agg(F.max(F.length("content"))).head()[0] < 20_000 * (most + 1)
+    assert binaries._database(spark, SF).count() > 25 and read() == whole
