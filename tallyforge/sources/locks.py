@@ -162,9 +162,12 @@ def metadata(df: DataFrame) -> DataFrame:
 
     name, version, license_expression, license, classifiers, depends, author.
     """
-    head = F.regexp_replace(F.get(F.split(F.replace(F.col("text"), F.lit("\r"), F.lit("")), "\n\n"), 0), r"\n[ \t]+", " ")
-    lines = F.split(head, "\n")
-    every = lambda k: F.transform(F.filter(lines, lambda x: F.startswith(F.lower(x), F.lit(f"{k}:"))), lambda x: F.trim(F.regexp_replace(x, "^[^:]*:", "")))
+    head = F.regexp_replace(F.substring_index(F.replace(F.col("text"), F.lit("\r"), F.lit("")), "\n\n", 1), r"\n[ \t]+", " ")
+    named = F.filter(F.split(head, "\n"), lambda x: F.instr(x, ":") > 0)
+    pairs = F.transform(named, lambda x: F.struct(F.lower(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v")))
+    # behind a generator, so that the headers are cut once and not again for each field that is taken of them
+    df = df.select("path", F.explode(F.array(pairs)).alias("headers"))
+    every = lambda k: F.transform(F.filter("headers", lambda x: x["k"] == k), lambda x: x["v"])
     first = lambda k: F.nullif(F.get(every(k), 0), F.lit(""))
     depends = F.array_distinct(F.array_compact(F.transform(every("requires-dist"), requirement_name)))
     author = F.coalesce(first("author"), first("author-email"), first("maintainer"))

@@ -152,3 +152,13 @@ def test_a_batch_of_events_reads_its_state_once():
     assert not [*a.advance((1,), 25, [])] and calls == ["get", 31, "update"]
     found = [*a.advance((1,), 2000, [])]
     assert [(r.started, r.ended, r.events) for r in found] == [(10_000, 30_000, 3)] and a.kept.value is None
+
+
+def test_metadata_headers_are_cut_once(spark):
+    files = {
+        "plain": "NAME: a\r\nVersion: 1:2\r\nname: b\r\nLicense\r\nAuthor:\r\nAuthor-Email: me\r\nClassifier: x ::\r\n  y\r\nRequires-Dist: P>1\r\nRequires-Dist: q; extra == 'dev'\r\n\r\nLicense: MIT\r\n",
+        "colon": "Name\nVersion: 1\n", "late": "\n\nName: a\nVersion: 1\n", "none": None,
+    }
+    rows = locks.metadata(spark.createDataFrame(list(files.items()), "path string, text string"))
+    assert [tuple(r) for r in rows.collect()] == [("plain", "a", "1:2", None, None, ["x :: y"], ["P"], "me")]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("replace(text") == 1
