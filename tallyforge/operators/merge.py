@@ -111,11 +111,12 @@ def fold_declared(rows: DataFrame) -> DataFrame:
     return out.withColumn("sbom_tier", F.when(raised, F.lit("deployed")).otherwise(F.col("sbom_tier"))).drop("mark_")
 
 
-def first_seen(rows: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
-    """The first row of each key in the given order, by an aggregate that is combined before the shuffle."""
+def first_seen(rows: DataFrame, keys: list[str], *order: Column | str, count: str | None = None) -> DataFrame:
+    """The first row of each key in the given order, by an aggregate that is combined before the shuffle; with count, also how many rows the key has."""
     place = F.struct(*((F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)))
-    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*(c for c in rows.columns if c not in keys)), place).alias("best_"))
-    return best.select(*(F.col(c) if c in keys else F.col(f"best_.{c}").alias(c) for c in rows.columns))
+    number = [F.count("*").cast("int").alias(count)] if count else []
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*(c for c in rows.columns if c not in keys)), place).alias("best_"), *number)
+    return best.select(*(F.col(c) if c in keys else F.col(f"best_.{c}").alias(c) for c in rows.columns), *([count] if count else []))
 
 
 def without_override(existing: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:

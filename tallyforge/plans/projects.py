@@ -162,9 +162,7 @@ def tree_inventory(spark, d):
     """A mixed tree, written as files and read back through the data source; one row a purl by precedence, with the number of rows before."""
     root = f"{shared(spark)}/tallyforge-tree-{uuid.uuid4().hex}"
     registry.write_tree(mixed_tree(spark, d), root)
-    rows = registry.tree_inventory(spark, root)
-    counts = rows.groupBy("purl").agg(F.count("*").cast("int").alias("n_rows"))
-    return registry.first_by_precedence(rows).join(counts, "purl").select("purl", "reader", "tier", "path", "n_rows")
+    return registry.counted_by_precedence(registry.tree_inventory(spark, root)).select("purl", "reader", "tier", "path", "n_rows")
 
 
 def index_snapshot(spark, d, buckets=8):

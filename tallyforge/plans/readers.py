@@ -17,7 +17,7 @@ N = "nm || '-' || k"
 
 def written(rows: DataFrame, line: Column, head: str = "", tail: str = "", suffix: str = "", sep: str = "") -> DataFrame:
     """path and text of a file a brand: the lines of its parts in order of k between head and tail."""
-    each = rows.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("k", line.alias("line")))).alias("all"))
+    each = rows.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("k", line.alias("line")))).alias("all"))
     body = F.array_join(F.transform("all", lambda x: x["line"]), sep)
     return each.select(F.concat(F.lit("/b"), "b", F.lit(suffix)).alias("path"), F.concat(F.lit(head), body, F.lit(tail)).alias("text"))
 

@@ -66,7 +66,9 @@ def evidence(rows: DataFrame, reader: Reader, rank: int) -> DataFrame:
     value |= {"reader": F.lit(reader.name), "rank": F.lit(rank), "ecosystem": F.lit(reader.ecosystem)}
     value["tier"] = F.coalesce(own("tier"), F.lit(reader.tier)) if "tier" in have else F.lit(reader.tier)
     if "purl" not in have:
-        value["purl"] = F.when(value["version"].isNotNull() | F.lit(reader.ecosystem == "pypi"), package_purl(F.lit(reader.ecosystem), value["name"], value["version"], arch=arch, vendor=F.lit(reader.vendor)))
+        own_purl = F.when(value["version"].isNotNull() | F.lit(reader.ecosystem == "pypi"), package_purl(F.lit(reader.ecosystem), value["name"], value["version"], arch=arch, vendor=F.lit(reader.vendor)))
+        # behind a generator, as a filter on purls would else make each a second time
+        rows, value["purl"] = rows.select("*", F.explode(F.array(own_purl)).alias("purl")), F.col("purl")
     return rows.select(*(value[c].cast(kind).alias(c) for c, kind in EVIDENCE.items()))
 
 
@@ -97,7 +99,12 @@ def tree_inventory(spark: SparkSession, root: str, readers: tuple[Reader, ...] =
 
 def first_by_precedence(rows: DataFrame) -> DataFrame:
     """One row a purl: the first by rank, path and place. Rows without a purl stay as they are."""
-    return first_seen(rows.where("purl is not null"), ["purl"], "rank", "path", "ord").unionByName(rows.where("purl is null"))
+    return counted_by_precedence(rows).drop("n_rows").unionByName(rows.where("purl is null"))
+
+
+def counted_by_precedence(rows: DataFrame) -> DataFrame:
+    """One row a purl as in first_by_precedence(), and n_rows, how many rows it had, in one pass over rows. Those without a purl are left out."""
+    return first_seen(rows.where("purl is not null"), ["purl"], "rank", "path", "ord", count="n_rows")
 
 
 # ---- the data source
@@ -118,24 +125,28 @@ def file_system(root: str):
 
 
 class TreeReader(DataSourceReader):
-    def __init__(self, root: str, patterns: list[list[str]], only: str | None, part_bytes: int, part_files: int, most_bytes: int) -> None:
-        self.root, self.patterns, self.only, self.part_bytes, self.part_files, self.most_bytes = root, patterns, only, part_bytes, part_files, most_bytes
+    def __init__(self, root: str, patterns: list[list[str]], only: str | None, part_bytes: int, part_files: int, most_bytes: int, parts: int) -> None:
+        self.root, self.patterns, self.only, self.part_bytes, self.part_files, self.most_bytes, self.parts = root, patterns, only, part_bytes, part_files, most_bytes, parts
 
     def partitions(self) -> list[Files]:
-        """The listing, cut into runs of files of about part_bytes; larger files than most_bytes are left out."""
+        """The listing, cut into runs of files of about part_bytes, or of less but 1 MB for `parts` of them; larger files than most_bytes are left out."""
         from pyarrow.fs import FileSelector, FileType
 
         fs, base = file_system(self.root)
         readers = [(n, re.compile(p)) for n, p in self.patterns]
-        out, run, size = [], [], 0
+        found = []
         for info in sorted(fs.get_file_info(FileSelector(base, recursive=True)), key=lambda i: i.path):
             path = info.path[len(base) :].lstrip("/")
             name = next((n for n, p in readers if p.search(path)), None) if info.type == FileType.File else None
             if name is None or info.size > self.most_bytes or self.only not in (None, name):
                 continue
-            run.append((name, path, info.size))
-            size += info.size
-            if size >= self.part_bytes or len(run) >= self.part_files:
+            found.append((name, path, info.size))
+        enough = min(self.part_bytes, max(sum(f[2] for f in found) // self.parts, 1 << 20))
+        out, run, size = [], [], 0
+        for file in found:
+            run.append(file)
+            size += file[2]
+            if size >= enough or len(run) >= self.part_files:
                 out.append(Files(run))
                 run, size = [], 0
         return [*out, Files(run)] if run or not out else out
@@ -149,7 +160,7 @@ class TreeReader(DataSourceReader):
 
 
 class TreeSource(DataSource):
-    """spark.read.format("inventory_tree").load(root): options readers (JSON pairs of name and pattern), only (one of them), part_bytes, part_files and most_bytes."""
+    """spark.read.format("inventory_tree").load(root): options readers (JSON pairs of name and pattern), only (one of them), part_bytes, part_files, most_bytes and parts."""
 
     @classmethod
     def name(cls) -> str:
@@ -160,13 +171,14 @@ class TreeSource(DataSource):
 
     def reader(self, schema) -> TreeReader:
         number = lambda k, default: int(self.options.get(k, default))
-        return TreeReader(self.options["path"].rstrip("/"), json.loads(self.options["readers"]), self.options.get("only"), number("part_bytes", 32 << 20), number("part_files", 2000), number("most_bytes", 64 << 20))
+        return TreeReader(self.options["path"].rstrip("/"), json.loads(self.options["readers"]), self.options.get("only"), number("part_bytes", 32 << 20), number("part_files", 2000), number("most_bytes", 64 << 20), number("parts", 1))
 
 
 def tree(spark: SparkSession, root: str, readers: tuple[Reader, ...] = READERS, only: str | None = None, **options: int) -> DataFrame:
     """reader, path, size, text of the files under root that some reader wants, or that go to the one that is named."""
     spark.dataSource.register(TreeSource)
     patterns = json.dumps([(r.name, r.pattern) for r in readers])
+    options = {"parts": spark.sparkContext.defaultParallelism, **options}
     frame = spark.read.format("inventory_tree").option("readers", patterns).options(**{k: str(v) for k, v in options.items()})
     return (frame.option("only", only) if only else frame).load(root)
 

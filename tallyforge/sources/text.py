@@ -55,10 +55,13 @@ def stanzas(df: DataFrame, sep: str = ":") -> DataFrame:
     blocks = df.select("path", F.posexplode(F.split(F.replace(F.col("text"), F.lit("\r"), F.lit("")), r"\n[ \t]*\n+")).alias("stanza", "block"))
     lines = F.filter(F.split(F.regexp_replace("block", r"\n[ \t]+", " "), "\n"), lambda x: F.instr(x, sep) > 0)
     pair = lambda x: F.struct(F.trim(F.substring_index(x, sep, 1)).alias("k"), F.trim(F.regexp_replace(x, f"^[^{sep}]*{sep}", "")).alias("v"))
-    seen = F.transform(lines, pair)
+    # lines and fields each behind a generator, as they would else be made again for each field that is taken of them
+    seen = blocks.select("path", "stanza", F.explode(F.array(F.transform(lines, pair))).alias("seen"))
+    names = F.transform("seen", lambda x: x["k"])
     # the last of repeated names counts
-    once = F.filter(seen, lambda x, i: ~F.exists(F.slice(seen, i + 2, F.size(seen)), lambda y: y["k"] == x["k"]))
-    return blocks.select("path", "stanza", F.map_from_entries(once).alias("fields")).where(F.size("fields") > 0)
+    once = F.filter("seen", lambda x, i: ~F.exists(F.slice("seen", i + 2, F.size("seen")), lambda y: y["k"] == x["k"]))
+    once = F.when(F.size(F.array_distinct(names)) == F.size(names), F.col("seen")).otherwise(once)
+    return seen.where(F.size("seen") > 0).select("path", "stanza", F.explode(F.array(F.map_from_entries(once))).alias("fields"))
 
 
 def dpkg_depends(x: Column) -> Column:

@@ -7,7 +7,7 @@ from tallyforge.operators import documents, graph, maven, parity
 from tallyforge.plans import binaries, projects
 from tallyforge.plans import documents as plans
 from tallyforge.plans.scalars import parts
-from tallyforge.sources import binary, locks
+from tallyforge.sources import binary, locks, registry, text
 
 SF = "/root/testdata/sf0.001"
 
@@ -162,3 +162,26 @@ def test_metadata_headers_are_cut_once(spark):
     rows = locks.metadata(spark.createDataFrame(list(files.items()), "path string, text string"))
     assert [tuple(r) for r in rows.collect()] == [("plain", "a", "1:2", None, None, ["x :: y"], ["P"], "me")]
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("replace(text") == 1
+
+
+def test_tree_is_read_as_often_as_its_rows_are(spark, tmp_path):
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("inventory_tree")
+    out = projects.tree_inventory(spark, SF)
+    assert scans(out) == scans(registry.tree_inventory(spark, str(tmp_path))) > 0
+    assert sorted(r.n_rows for r in out.select("n_rows").collect()) == [1] * 175 + [2] * 25
+
+
+def test_stanzas_are_cut_once(spark):
+    files = {"a": "Package: x\nStatus: install ok installed\nVersion: 1\nVersion: 2\n\nno fields\n\nPackage: y\nStatus: install ok installed\nVersion: 3\n", "none": None}
+    rows = text.dpkg(spark.createDataFrame(list(files.items()), "path string, text string"))
+    assert sorted((r.path, r.ord, r.name, r.version) for r in rows.collect()) == [("a", 0, "x", "2"), ("a", 2, "y", "3")]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(block") == 1
+
+
+def test_tree_is_dealt_over_cores(tmp_path):
+    for i in range(8):
+        (tmp_path / f"{i}").mkdir()
+        (tmp_path / f"{i}" / "go.sum").write_text("x" * (1 << 20))
+    patterns = [[r.name, r.pattern] for r in registry.READERS]
+    cut = lambda parts: [len(p.files) for p in registry.TreeReader(str(tmp_path), patterns, "go.sum", 32 << 20, 2000, 64 << 20, parts).partitions()]
+    assert cut(1) == [8] and cut(4) == [2] * 4 and cut(100) == [1] * 8
