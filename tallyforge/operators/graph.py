@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .lineage import checkpoints, measured
+from .lineage import checkpoints, gathered, measured
+
+#: Rows of a frontier that may be broadcast, by count.
+FEW = 250_000
 
 
 def normal_name(ecosystem: Column, name: Column) -> Column:
@@ -45,23 +48,23 @@ def roots(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """node, level: what the seeds (node) reach, each at its least level; cycles end the walk.
 
-    The frontier is joined with the edges level by level and met with what was seen, until it is empty; checkpoint() cuts
-    the lineage.
+    Level by level the edges are met with the frontier and their ends with what was seen, until the frontier is empty; checkpoint()
+    cuts the lineage. A frontier of at most FEW rows, by count, is sent to the edges, so that these stay where they lie; larger ones
+    don't overlap, so no more than nodes / FEW levels move the edges. A level's tasks don't grow with the levels before it.
     """
     checkpoints(edges.sparkSession)
-    # dealt and sorted once, so that a level moves its frontier only
-    edges = edges.select("src", "dst").repartition("src").sortWithinPartitions("src").checkpoint()
+    edges = edges.select("src", "dst").distinct().checkpoint()
     front, level = seeds.select("node").distinct().withColumn("level", F.lit(0)).checkpoint(), 0
     seen = front
-    while True:
+    while rows := front.count():
         level += 1
-        step = front.join(measured(edges), front.node == edges.src).select(F.col("dst").alias("node")).distinct()
-        front = step.join(measured(seen.select("node")), "node", "left_anti").withColumn("level", F.lit(level)).checkpoint()
-        if front.isEmpty():
-            return seen
+        at = front.select(F.col("node").alias("src"))
+        step = edges.join(F.broadcast(at) if rows <= FEW else measured(at), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        front = step.join(measured(gathered(seen.select("node"))), "node", "left_anti").withColumn("level", F.lit(level)).checkpoint()
         # levels stay apart as they were written; they are put together now and then, so that plans stay short
         seen = seen.unionByName(front)
-        seen = seen.checkpoint() if level % 16 == 0 else seen
+        seen = gathered(seen).checkpoint() if level % 16 == 0 else seen
+    return gathered(seen)
 
 
 def inherited(values: DataFrame, ancestors: DataFrame) -> DataFrame:

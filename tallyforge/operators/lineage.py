@@ -29,7 +29,15 @@ def measured(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """df in no more tasks than a shuffle has: a union has those of all its parts."""
+    return df.coalesce(_dealt(df.sparkSession))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df dealt over all cores by its keys: few bytes on disk make few tasks, however much is then made of each row."""
-    spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+    return df.repartition(_dealt(df.sparkSession), *keys)
+
+
+def _dealt(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -58,6 +58,28 @@ def test_closure_of_edges_with_copies_and_circles(spark):
     assert {(r.node, r.level) for r in found.collect()} == {(1, 0), (2, 1), (3, 1)}
 
 
+def test_closure_moves_only_small_frontiers_and_few_tasks(spark, monkeypatch):
+    edges = spark.range(24).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    seeds, plans_of = spark.range(1).select(F.col("id").alias("node")), []
+    kind = type(edges)
+    plain = kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda df, *a, **k: (plans_of.append(planned(df)), plain(df, *a, **k))[1])
+
+    def walked():
+        plans_of.clear()
+        found = graph.closure(edges, seeds)
+        # the tasks of a level, and of what reads the result, don't add up over levels
+        assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        levels = [p for p in plans_of if "LeftAnti" in p]
+        assert len(levels) == 25 and all("Coalesce" in p for p in levels)
+        assert {(r.node, r.level) for r in found.collect()} == {(k, k) for k in range(25)}
+        return levels
+
+    assert all("BroadcastHashJoin" in p for p in walked())
+    monkeypatch.setattr(graph, "FEW", 0)
+    assert not any("Broadcast" in p for p in walked())
+
+
 def test_facts_of_volumes_are_those_of_whole_documents(spark, monkeypatch):
     read = lambda: {tuple(r) for r in parity.facts(emitted).collect()}
     emitted = plans.emitted(spark, SF, *documents.SERIALIZERS)
