@@ -1,5 +1,7 @@
 """What keeps queries within their limits on larger tables: work dealt over cores, nothing that grows in broadcasts or in one row."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +92,16 @@ def test_facts_of_volumes_are_those_of_whole_documents(spark, monkeypatch):
     assert read() == whole
 
 
+def test_openvex_is_not_cut_in_volumes(spark, monkeypatch):
+    monkeypatch.setattr(documents, "VOLUME", 3)
+    rows = [("t", f"pkg:gem/a{i}@1", ["CVE-1", "CVE-2"] if i % 2 else ["CVE-1"]) for i in range(10)] + [("none", "pkg:gem/b@1", None)]
+    out = documents.openvex(spark.createDataFrame(rows, "target string, purl string, advisories array<string>"), made_at=plans.MADE_AT)
+    assert out.columns == ["target", "document"]
+    (one,) = out.collect()
+    found = {s["vulnerability"]["name"]: [p["@id"] for p in s["products"]] for s in json.loads(one.document)["statements"]}
+    assert one.target == "t" and found == {a: [p for _, p, of in rows if a in (of or [])] for a in ("CVE-1", "CVE-2")}
+
+
 def test_lock_file_is_read_by_packages(spark):
     one = lambda k, more="": f'[[package]]\nname = "n{k}"\nversion = "{k}"\nsource = "registry+x"\n{more}\n'
     head = "version = 3\n\n"
