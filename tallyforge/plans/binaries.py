@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import io
 import json
 import struct
@@ -111,16 +112,19 @@ def make_jar(name: str, version: str, k: int) -> bytes:
     return out.getvalue()
 
 
+@functools.lru_cache(64)
+def _tar_header(path: str, size: int | None) -> bytes:
+    """Of a file of that size, or of a directory."""
+    info = tarfile.TarInfo(path)
+    info.type = tarfile.DIRTYPE if size is None else tarfile.REGTYPE
+    info.size = size or 0
+    return info.tobuf(tarfile.DEFAULT_FORMAT, tarfile.ENCODING, "surrogateescape")
+
+
 def make_image(name: str, k: int) -> bytes:
     def tar(entries: list[tuple[str, bytes | None]]) -> bytes:
-        out = io.BytesIO()
-        with tarfile.open(fileobj=out, mode="w") as t:
-            for path, body in entries:
-                info = tarfile.TarInfo(path)
-                info.type = tarfile.DIRTYPE if body is None else tarfile.REGTYPE
-                info.size = len(body or b"")
-                t.addfile(info, io.BytesIO(body or b""))
-        return out.getvalue()
+        blocks = (_tar_header(path, None if body is None else len(body)) + _pad(body or b"", tarfile.BLOCKSIZE) for path, body in entries)
+        return _pad(b"".join(blocks) + b"\0" * 2 * tarfile.BLOCKSIZE, tarfile.RECORDSIZE)
 
     low = tar([("etc", None), ("etc/keep", b"1"), ("etc/gone", b"2"), (f"opt/{name}", b"3"), ("opt/old", b"4"), ("../evil", b"5")])
     high = tar([("etc/.wh.gone", b""), ("opt/.wh..wh..opq", b""), (f"opt/{name}", name.encode()), ("/abs", b"6")])
@@ -220,11 +224,19 @@ def jar_metadata(spark, d):
     return binary.jar_coordinates(rows).select("artifact", "version", "is_primary")
 
 
+def _image_entries(spark, d):
+    """What a part's image holds. An image is read where it is made, and gone before the next, as a batch of them between JVM and Python would be as large as 10,000 images."""
+
+    def read(batches):
+        return binary.entry_batches((path, make_image(name, k)) for b in batches for path, name, k in zip(*(b.column(c).to_pylist() for c in ("path", "name", "k")), strict=True))
+
+    return named(spark, d).select(F.col("k").cast("string").alias("path"), "name", "k").mapInArrow(read, binary.ENTRIES)
+
+
 @query(f"{P} SELECT k, x.path, CASE WHEN x.path = 'etc/keep' THEN '1' ELSE {N} END AS content FROM p, LATERAL (SELECT unnest(['etc/keep', 'opt/' || {N}]) AS path) x")
 def image_overlay(spark, d):
-    rows = named(spark, d).select(F.col("k").cast("string").alias("path"), made(make_image, "name", "k").alias("content"))
     checkpoints(spark)
-    e = binary.image_entries(rows).checkpoint()  # the images are read once
-    shown = graph.layer_overlay(e.where("kind in ('file', 'whiteout', 'opaque')").select(F.concat_ws("/", "image", "path").alias("path"), "layer", "kind"))
+    e = _image_entries(spark, d).where("kind in ('file', 'whiteout', 'opaque')").select("image", "layer", "path", "kind", "content").checkpoint()  # the images are read once
+    shown = graph.layer_overlay(e.select(F.concat_ws("/", "image", "path").alias("path"), "layer", "kind"))
     out = shown.join(measured(e.where("kind = 'file'").select(F.concat_ws("/", "image", "path").alias("path"), "layer", "content")), ["path", "layer"])
     return out.select(F.substring_index("path", "/", 1).cast("bigint").alias("k"), F.regexp_replace("path", "^[^/]*/", "").alias("path"), F.col("content").cast("string").alias("content"))

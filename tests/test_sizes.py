@@ -33,6 +33,20 @@ def test_images_of_a_batch_come_in_one_frame(spark):
     assert sorted((r.image, r.layer, r.path, bytes(r.content)) for r in rows if r.path.startswith("opt/") and r.path != "opt/old") == [("1", 0, "opt/a", b"3"), ("1", 1, "opt/a", b"a"), ("2", 0, "opt/b", b"3"), ("2", 1, "opt/b", b"b")]
 
 
+def test_images_are_gone_before_the_next(spark, monkeypatch):
+    taken = []
+    images = (taken.append(k) or (str(k), binaries.make_image(f"n{k}", k)) for k in range(3000))
+    assert next(binary.entry_batches(images)).num_rows == 10_000 and len(taken) == 1250
+    assert sum(b.num_rows for b in binary.entry_batches(images)) == 8 * 1750 and len(taken) == 3000
+    # neither JVM nor a batch between it and Python ever holds one
+    kind, plans_of = type(spark.range(1)), []
+    plain = kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda df, *a, **k: (plans_of.append(planned(df)), plain(df, *a, **k))[1])
+    assert binaries.image_overlay(spark, SF).count() == 400
+    (plan,) = plans_of
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan and "MapInPandas" not in plan
+
+
 def test_overlays_are_not_broadcast_by_estimates(spark):
     assert "Broadcast" not in planned(projects.layer_hard_links(spark, SF))
     assert "Broadcast" not in planned(binaries.image_overlay(spark, SF))
