@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import io
 import json
 import struct
@@ -112,7 +111,6 @@ def make_jar(name: str, version: str, k: int) -> bytes:
     return out.getvalue()
 
 
-@functools.lru_cache(64)
 def _tar_header(path: str, size: int | None) -> bytes:
     """Of a file of that size, or of a directory."""
     info = tarfile.TarInfo(path)
@@ -121,9 +119,14 @@ def _tar_header(path: str, size: int | None) -> bytes:
     return info.tobuf(tarfile.DEFAULT_FORMAT, tarfile.ENCODING, "surrogateescape")
 
 
+#: Headers that all images have, made once.
+_TAR_HEADERS = {x: _tar_header(*x) for x in (("etc", None), ("etc/keep", 1), ("etc/gone", 1), ("opt/old", 1), ("../evil", 1), ("etc/.wh.gone", 0), ("opt/.wh..wh..opq", 0), ("/abs", 1), ("a.tar", 10240), ("b.tar", 10240), ("manifest.json", 33))}
+
+
 def make_image(name: str, k: int) -> bytes:
     def tar(entries: list[tuple[str, bytes | None]]) -> bytes:
-        blocks = (_tar_header(path, None if body is None else len(body)) + _pad(body or b"", tarfile.BLOCKSIZE) for path, body in entries)
+        head = lambda *x: _TAR_HEADERS.get(x) or _tar_header(*x)
+        blocks = (head(path, None if body is None else len(body)) + _pad(body or b"", tarfile.BLOCKSIZE) for path, body in entries)
         return _pad(b"".join(blocks) + b"\0" * 2 * tarfile.BLOCKSIZE, tarfile.RECORDSIZE)
 
     low = tar([("etc", None), ("etc/keep", b"1"), ("etc/gone", b"2"), (f"opt/{name}", b"3"), ("opt/old", b"4"), ("../evil", b"5")])
@@ -226,9 +229,10 @@ def jar_metadata(spark, d):
 
 def _image_entries(spark, d):
     """What a part's image holds. An image is read where it is made, and gone before the next, as a batch of them between JVM and Python would be as large as 10,000 images."""
+    entries = binary.entry_batches  # itself, as its module would be sent to the workers whole
 
     def read(batches):
-        return binary.entry_batches((path, make_image(name, k)) for b in batches for path, name, k in zip(*(b.column(c).to_pylist() for c in ("path", "name", "k")), strict=True))
+        return entries((path, make_image(name, k)) for b in batches for path, name, k in zip(*(b.column(c).to_pylist() for c in ("path", "name", "k")), strict=True))
 
     return named(spark, d).select(F.col("k").cast("string").alias("path"), "name", "k").mapInArrow(read, binary.ENTRIES)
 

@@ -1,6 +1,8 @@
 """What keeps queries within their limits on larger tables: work dealt over cores, nothing that grows in broadcasts or in one row."""
 
+import io
 import json
+import tarfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,11 +44,35 @@ def test_images_are_gone_before_the_next(spark, monkeypatch):
     kind, plans_of = type(spark.range(1)), []
     plain = kind.checkpoint
     monkeypatch.setattr(kind, "checkpoint", lambda df, *a, **k: (plans_of.append(planned(df)), plain(df, *a, **k))[1])
+    binaries.binary_identities(spark, SF)  # its module then holds what can't be sent to workers
     assert binaries.image_overlay(spark, SF).count() == 400
     (plan,) = plans_of
     assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan and "MapInPandas" not in plan
 
 
+def test_plain_archives_are_read_as_tarfile_reads_them(monkeypatch):
+    def tar(entries, form):
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w", format=form) as t:
+            for path, kind, linked, body in entries:
+                info = tarfile.TarInfo(path)
+                info.type, info.linkname, info.size = kind, linked, len(body)
+                t.addfile(info, io.BytesIO(body))
+        return out.getvalue()
+
+    plain = [("./d/", tarfile.DIRTYPE, "", b""), ("./d/x", tarfile.REGTYPE, "", b"1" * 600), ("y", tarfile.LNKTYPE, "./d/x", b""), ("z", tarfile.SYMTYPE, "y", b""), ("d/.wh.q", tarfile.REGTYPE, "", b""), ("../up", tarfile.REGTYPE, "", b"2")]
+    other = [("n" * 150, tarfile.REGTYPE, "", b"3"), ("\u00e9", tarfile.REGTYPE, "", b"4"), ("old/", tarfile.AREGTYPE, "", b""), ("pipe", tarfile.FIFOTYPE, "", b"")]
+    images = []
+    for form in (tarfile.GNU_FORMAT, tarfile.PAX_FORMAT):
+        for layer in (plain, *([x] for x in other), [*plain, *other], []):
+            images.append(tar([("manifest.json", tarfile.REGTYPE, "", b'[{"Layers": ["l"]}]'), ("l", tarfile.REGTYPE, "", tar(layer, form))], form))
+    images += [bytes([*images[0][:at], 1, *images[0][at + 1 :]]) for at in (100, 124, 150, 156, 345, 600, 1024, 1536, 2000)] + [images[0][:n] for n in (0, 100, 512, 1536, 3000, 4600)]
+    found = [binary._entries("i", x) for x in images]
+    assert len(found[0]) == 5 and len(found[5]) == 9
+    monkeypatch.setattr(binary, "_plain_members", lambda *_: None)
+    assert [binary._entries("i", x) for x in images] == found
+
+
 def test_overlays_are_not_broadcast_by_estimates(spark):
     assert "Broadcast" not in planned(projects.layer_hard_links(spark, SF))
     assert "Broadcast" not in planned(binaries.image_overlay(spark, SF))
