@@ -125,11 +125,11 @@ def file_system(root: str):
 
 
 class TreeReader(DataSourceReader):
-    def __init__(self, root: str, patterns: list[list[str]], only: str | None, part_bytes: int, part_files: int, most_bytes: int, parts: int) -> None:
+    def __init__(self, root: str, patterns: list[list[str]], only: str | None, part_bytes: int, part_files: int, most_bytes: int | None, parts: int) -> None:
         self.root, self.patterns, self.only, self.part_bytes, self.part_files, self.most_bytes, self.parts = root, patterns, only, part_bytes, part_files, most_bytes, parts
 
     def partitions(self) -> list[Files]:
-        """The listing, cut into runs of files of about part_bytes, or of less but 1 MB for `parts` of them; larger files than most_bytes are left out."""
+        """The listing, cut into runs of files of about part_bytes, or of less but 1 MB for `parts` of them; larger files than most_bytes are left out where it is given."""
         from pyarrow.fs import FileSelector, FileType
 
         fs, base = file_system(self.root)
@@ -138,7 +138,7 @@ class TreeReader(DataSourceReader):
         for info in sorted(fs.get_file_info(FileSelector(base, recursive=True)), key=lambda i: i.path):
             path = info.path[len(base) :].lstrip("/")
             name = next((n for n, p in readers if p.search(path)), None) if info.type == FileType.File else None
-            if name is None or info.size > self.most_bytes or self.only not in (None, name):
+            if name is None or self.most_bytes is not None and info.size > self.most_bytes or self.only not in (None, name):
                 continue
             found.append((name, path, info.size))
         enough = min(self.part_bytes, max(sum(f[2] for f in found) // self.parts, 1 << 20))
@@ -170,8 +170,8 @@ class TreeSource(DataSource):
         return "reader string, path string, size bigint, text string"
 
     def reader(self, schema) -> TreeReader:
-        number = lambda k, default: int(self.options.get(k, default))
-        return TreeReader(self.options["path"].rstrip("/"), json.loads(self.options["readers"]), self.options.get("only"), number("part_bytes", 32 << 20), number("part_files", 2000), number("most_bytes", 64 << 20), number("parts", 1))
+        number = lambda k, default: int(x) if (x := self.options.get(k, default)) is not None else None
+        return TreeReader(self.options["path"].rstrip("/"), json.loads(self.options["readers"]), self.options.get("only"), number("part_bytes", 32 << 20), number("part_files", 2000), number("most_bytes", None), number("parts", 1))
 
 
 def tree(spark: SparkSession, root: str, readers: tuple[Reader, ...] = READERS, only: str | None = None, **options: int) -> DataFrame:

@@ -4,6 +4,7 @@ import io
 import json
 import posixpath
 import random
+import re
 import tarfile
 
 import pytest
@@ -213,6 +214,18 @@ def test_tree_source_prunes_by_reader(spark, tmp_path):
     assert registry.tree(spark, str(tmp_path / "tree"), most_bytes=-1).count() == 0
 
 
+def test_mixed_tree_holds_all_parts_and_large_files_are_listed(spark, tmp_path):
+    lines = [x.text for x in projects.mixed_tree(spark, SF).where("path not like '%README.md'").collect()]
+    parts = projects.parts(spark, SF).select("k", projects.package().alias("name")).collect()
+    found = re.findall(r"(?:Package: |m\.io/|^    |^)([a-z-]+-\d+)(?= |==|$)", "\n".join(lines), re.M)
+    assert sorted(found) == sorted([p.name for p in parts] + [p.name for p in parts if p.k % 8 == 1])
+    with open(tmp_path / "requirements.txt", "wb") as f:
+        f.truncate((64 << 20) + 1)
+    options = {"path": str(tmp_path), "readers": json.dumps([(r.name, r.pattern) for r in registry.READERS])}
+    listed = lambda **more: [f for p in registry.TreeSource(options | more).reader(None).partitions() for f in p.files]
+    assert listed() == [("requirements", "requirements.txt", (64 << 20) + 1)] and listed(most_bytes="10") == []
+
+
 def test_more_evidence_joins_the_readers(spark):
     files = spark.createDataFrame([("a/requirements.txt", "One_Two==1\nfree>=2\n"), ("a/package.json", '{"dependencies": {"x": "^1"}}'), ("a/other.txt", "z")], "path string, text string")
     binaries = registry.evidence(spark.createDataFrame([("bin/x", "one-two", "1"), ("bin/y", "y", "2")], "path string, name string, version string"), registry.Reader("binary", "pypi", "", lambda df: df, tier="analyzed"), 99)
